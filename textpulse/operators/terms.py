@@ -121,11 +121,11 @@ def term_document_vectors(
     if not table:
         raise ValueError("no terms")
     vectoriser = CountVectorizerModel.from_vocabulary([r["term"] for r in table], inputCol=tokens, outputCol="__tf")
+    per_length = Interaction(inputCols=["__per_length", "__tf"], outputCol="__share")
     weigh = ElementwiseProduct(
-        scalingVec=Vectors.dense([r["idf"] for r in table]), inputCol="__tf", outputCol="__weighed"
+        scalingVec=Vectors.dense([r["idf"] for r in table]), inputCol="__share", outputCol=out
     )
-    per_length = Interaction(inputCols=["__per_length", "__weighed"], outputCol=out)
-    counted = weigh.transform(vectoriser.transform(df)).withColumn(
+    counted = vectoriser.transform(df).withColumn(
         "__per_length", F.coalesce(F.try_divide(F.lit(1.0), F.size(tokens)), F.lit(0.0))
     )
-    return per_length.transform(counted).select(*df.columns, out), terms
+    return weigh.transform(per_length.transform(counted)).select(*df.columns, out), terms

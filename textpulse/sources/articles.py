@@ -32,10 +32,10 @@ TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """One file, or one folder of files with the same header. All columns are strings.
 
-    An empty field is the empty string, not null; a record with too few or too many fields fails.
+    A record with too few or too many fields fails.
     """
     return spark.read.csv(
-        path, header=True, quote='"', escape='"', mode="FAILFAST", multiLine=multi_line, emptyValue="", nullValue="\x00",
+        path, header=True, quote='"', escape='"', mode="FAILFAST", multiLine=multi_line,
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
 
@@ -56,7 +56,8 @@ def shape_articles(raw: DataFrame) -> DataFrame:
             wrong = F.raise_error(F.concat(F.lit(f"{name} is not a number: "), F.coalesce(name, F.lit("null"))))
             typed.append(F.when(number.isNotNull(), number).otherwise(wrong).cast("int").alias(name))
         else:
-            typed.append(F.col(name))
+            # Text is never null: an empty field is the empty string.
+            typed.append(F.coalesce(name, F.lit("")).alias(name))
     return df.select(*typed)
 
 
