@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textpulse.sources.tables import spread_rows
+
 DIGITS = 6
 
 
@@ -102,7 +104,7 @@ COMMENTS_SQL = """comments AS (
 
 def comments(spark: SparkSession, folder: str) -> DataFrame:
     documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
-    return documents.join(labels, "doc_id", "left").select(
+    return spread_rows(documents, "doc_id").join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("commentID"),
         F.col("text").alias("commentBody"),
         F.concat_ws("-", "source", "lang").alias("articleID"),

@@ -12,7 +12,7 @@ from textpulse.operators import embeddings, learning, lemmas, lsa, sampling, sen
 from textpulse.operators.engagement import normalise_in_group
 from textpulse.operators.tests_stat import chi_square_ml
 from textpulse.plans.reports import sentiment_anova
-from textpulse.session import scratch_path
+from textpulse.session import scratch_path, stage
 from textpulse.sources.tables import load_word_model, save_word_model
 
 QUERIES = {}
@@ -124,15 +124,15 @@ def _tree_input(spark, d) -> DataFrame:
     """Labelled comments with text vector, sentiment, length, page and both classes."""
     rows = comments(spark, d).where(F.col("editorsSelection").isNotNull())
     texts = rows.select("commentID", "commentBody")
-    tokens = lemmas.text_lemmas(texts, "commentID", "commentBody", STOP)
-    postings = terms.smoothed_tfidf(tokens, "commentID", "tokens")
+    tokens = stage(lemmas.text_lemmas(texts, "commentID", "commentBody", STOP), "tokens")
+    postings = stage(terms.smoothed_tfidf(tokens, "commentID", "tokens"), "postings")
     vectors = embeddings.text_vectors(
         postings, _word_vectors(spark, d, lemmas.vocabulary(tokens, "tokens")), "commentID", DIMS
     )
     profile = sentiment.sentiment_profile(texts, "commentID", "commentBody", polarity(spark)).select(
         "commentID", "positive", "negative", "neutral"
     )
-    joined = rows.drop("commentBody").join(vectors, "commentID").join(profile, "commentID")
+    joined = stage(rows.drop("commentBody").join(vectors, "commentID").join(profile, "commentID"), "features")
     return normalise_in_group(joined, "articleID", "recommandations").withColumn("text_vector", array_to_vector("vector"))
 
 

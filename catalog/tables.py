@@ -97,7 +97,7 @@ FROM long GROUP BY 1"""
 @query("target_summary", TARGET_SUMMARY_SQL)
 def target_summary(spark, d):
     rows = reports.target_report(_lines(spark, d), "l_orderkey", "l_quantity")["rows"]
-    out = profiles.describe(rows, ["l_quantity", "share", "log_value"], quartiles=True, accuracy=10_000_000)
+    out = profiles.describe(rows, ["l_quantity", "share", "log_value"], quartiles=True, accuracy=200_000)
     return rounded(out, "mean", "stddev", "min", "q25", "q50", "q75", "max")
 
 

@@ -14,6 +14,8 @@ from textpulse.functions.vectors import as_doubles
 from textpulse.operators import embeddings, lemmas, lsa, sentiment, terms, wikipages
 from textpulse.operators.learning import total_inertia
 from textpulse.plans import prepare, reports
+from textpulse.session import stage
+from textpulse.sources.tables import spread_rows
 
 QUERIES = {}
 ORACLE = {}
@@ -30,7 +32,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread_rows(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
 def _tokens(spark, d):
@@ -284,8 +286,8 @@ def _word_vectors(spark, d, vocabulary: DataFrame) -> DataFrame:
     FROM (SELECT DISTINCT doc_id FROM post) p CROSS JOIN range({DIMS}) g(dim) LEFT JOIN mean ON mean.doc_id = p.doc_id AND mean.dim = g.dim""",
 )
 def text_vectors(spark, d):
-    tokens = _tokens(spark, d)
-    postings = terms.smoothed_tfidf(tokens, "doc_id", "tokens")
+    tokens = stage(_tokens(spark, d), "tokens")
+    postings = stage(terms.smoothed_tfidf(tokens, "doc_id", "tokens"), "postings")
     known = _word_vectors(spark, d, lemmas.vocabulary(tokens, "tokens"))
     out = embeddings.text_vectors(postings, known, "doc_id", DIMS)
     return rounded(out.select("doc_id", F.posexplode("vector").alias("dim", "value")), "value")
@@ -546,12 +548,8 @@ def page_paragraphs(spark, d):
 @query("prepared_comments")
 def prepared_comments(spark, d):
     rows = comments(spark, d)
-    vocabulary = lemmas.vocabulary(
-        lemmas.text_lemmas(rows.select("commentID", "commentBody"), "commentID", "commentBody", STOP), "tokens"
-    )
-    out = prepare.prepare(
-        rows, _word_vectors(spark, d, vocabulary), DIMS, polarity(spark), STOP, rate_selected=1.0, rate_others=0.5
-    )
+    vectors = stage(_word_vectors(spark, d, lemmas.vocabulary(_tokens(spark, d), "tokens")), "words")
+    out = prepare.prepare(rows, vectors, DIMS, polarity(spark), STOP, rate_selected=1.0, rate_others=0.5)
     return out.select(
         "commentID", "articleID", "label", "selectionDone", F.size("tokens").alias("n_tokens"), "sentiment", "vector",
         "sum_recommandations", "share", "log_value", "count_class", "share_class",

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
+import dataclasses
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 QUARTILES = (0.25, 0.5, 0.75)
-ACCURACY = 100_000
-RANK_BUCKETS = 1024
+ACCURACY = 10_000
+RANK_ROWS = 1_000_000
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -96,78 +99,111 @@ def object_describe(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: tuple[float, ...] = QUARTILES) -> DataFrame:
-    """Exact quantiles with linear interpolation, rows ``(prob, quantile)``.
+def exact_quantiles(
+    df: DataFrame, columns: list[str], probs: tuple[float, ...] = QUARTILES, rank_rows: int = RANK_ROWS
+) -> DataFrame:
+    """Exact quantiles with linear interpolation, rows ``(column, prob, quantile)``.
 
-    Equal values are counted first. Approximate cut points then split the distinct values into
-    buckets of similar size; the buckets' counts say which of them hold the wanted ranks, and only
-    their values are ranked, each bucket by itself. No task sees more than one bucket.
+    Each wanted rank gets an interval of values that surely holds it. While an interval has more than
+    ``rank_rows`` rows, approximate quantiles cut it down and its rows are counted exactly; all
+    columns share each pass. Only then are the values inside counted and ranked, one task per
+    interval and at most ``rank_rows`` values in it. The driver gets a few numbers per rank.
     """
     spark = df.sparkSession
-    counts = (
-        df.select(F.col(value).cast("double").alias("v"))
-        .where(F.col("v").isNotNull() & ~F.isnan("v"))
-        .groupBy("v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    # A bounded list of cut points. As literals they are the same wherever the plan runs again.
-    steps = [i / RANK_BUCKETS for i in range(1, RANK_BUCKETS)]
-    cuts = counts.agg(F.percentile_approx("v", steps, 10 * RANK_BUCKETS)).first()[0] or []
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    placed = Bucketizer(splits=splits, inputCol="v", outputCol="b").transform(counts)
-
-    buckets = placed.groupBy("b").agg(F.sum("n").alias("n"))  # at most RANK_BUCKETS rows
-    running = buckets.select(
-        "b", "n", (F.sum("n").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")).alias("before")
+    values = df.select(
+        *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)]
     )
-    total = counts.agg(F.sum("n")).scalar()
-    wanted = spark.createDataFrame([(float(p),) for p in probs], "prob double")
-    ranks = wanted.select("prob", ((total - 1) * F.col("prob")).alias("place")).select(
-        "prob",
-        "place",
-        F.explode(F.array(F.floor("place"), F.ceil("place"))).alias("rank"),
+    totals = values.agg(*[F.count(v) for v in values.columns]).first()
+    ranks = []
+    for i, total in enumerate(totals):
+        for p in probs:
+            place = (total - 1) * p
+            for rank in sorted({math.floor(place), math.ceil(place)}) if total else []:
+                ranks.append(_Rank(i, float(p), place, rank, inside=total))
+
+    margin = 2 / ACCURACY
+    while wide := [r for r in ranks if r.inside > rank_rows and r.low != r.high]:
+        cuts = values.agg(*[F.percentile_approx(r.within(), r.around(margin), ACCURACY) for r in wide]).first()
+        narrow = [dataclasses.replace(r, low=max(r.low, c[0]), high=min(r.high, c[1])) for r, c in zip(wide, cuts)]
+        sizes = values.agg(*[n for r in narrow for n in (F.count_if(r.value() < r.low), F.count(r.within()))]).first()
+        smaller = False
+        for r, cut, before, inside in zip(wide, narrow, sizes[::2], sizes[1::2]):
+            if before <= r.rank < before + inside and inside < r.inside:
+                r.low, r.high, r.before, r.inside, smaller = cut.low, cut.high, before, inside, True
+        if not smaller:
+            margin *= 4
+            if margin >= 1:
+                break  # many equal values: they are one row each once counted
+
+    targets = spark.createDataFrame(
+        [(r.interval(), columns[r.column], r.prob, r.place, r.rank - r.before) for r in ranks],
+        "interval string, column string, prob double, place double, rank long",
     )
-    targets = ranks.join(
-        F.broadcast(running), (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))
-    ).select("prob", "place", "rank", "b", "before").distinct()
-
-    needed = targets.select("b", "before").distinct()
-    ranked = placed.join(F.broadcast(needed), "b").select(
-        "b",
-        "v",
-        (F.col("before") + F.sum("n").over(W.partitionBy("b").orderBy("v")) - F.col("n")).alias("first"),
-        "n",
+    intervals = {r.interval(): r for r in ranks}
+    pairs = [F.struct(F.lit(key).alias("interval"), r.within().alias("v")) for key, r in intervals.items()]
+    if not pairs:
+        return spark.createDataFrame([], "column string, prob double, quantile double")
+    counted = (
+        values.select(F.inline(F.array(*pairs)))
+        .where(F.col("v").isNotNull())
+        .groupBy("interval", "v")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    at = F.broadcast(targets.drop("before").withColumnRenamed("b", "tb"))
-    hits = ranked.join(
-        at,
-        (F.col("b") == F.col("tb")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")),
+    ranked = counted.withColumn("first", F.sum("n").over(W.partitionBy("interval").orderBy("v")) - F.col("n"))
+    hits = ranked.join(F.broadcast(targets), "interval").where(
+        (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n"))
     )
     low, high = F.min_by("v", "rank"), F.max_by("v", "rank")
-    return hits.groupBy("prob").agg((low + (F.max("place") - F.min("rank")) * (high - low)).alias("quantile"))
+    share = F.max("place") - F.floor(F.max("place"))
+    return hits.groupBy("column", "prob").agg((low + share * (high - low)).alias("quantile"))
+
+
+@dataclass
+class _Rank:
+    """A wanted rank of a column and the closed interval of values known to hold it."""
 
+    column: int
+    prob: float
+    place: float
+    rank: int
+    inside: int
+    before: int = 0
+    low: float = float("-inf")
+    high: float = float("inf")
 
-def _quantile_row(df: DataFrame, value: str, probs: tuple[float, ...], names: tuple[str, ...]) -> DataFrame:
-    rows = exact_quantiles(df, value, probs)
-    return rows.agg(*[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n) for p, n in zip(probs, names)])
+    def value(self) -> Column:
+        return F.col(f"v{self.column}")
+
+    def within(self) -> Column:
+        return F.when(self.value().between(self.low, self.high), self.value())
+
+    def around(self, margin: float) -> list[float]:
+        middle = (self.rank - self.before) / self.inside
+        return [max(middle - margin, 0.0), min(middle + margin, 1.0)]
+
+    def interval(self) -> str:
+        return f"{self.column}:{self.low!r}:{self.high!r}"
+
+
+def _quartile_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(column, q25, q50, q75)``."""
+    rows = exact_quantiles(df, columns)
+    names = ("q25", "q50", "q75")
+    return rows.groupBy("column").agg(
+        *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n) for p, n in zip(QUARTILES, names)]
+    )
 
 
 def numeric_describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, deviation, extremes and exact linear quartiles, one row per column."""
-    out = None
-    for name in columns:
-        quartiles = _quantile_row(df, name, QUARTILES, ("q25", "q50", "q75"))
-        moments = describe(df, [name])
-        row = moments.join(
-            F.broadcast(quartiles.withColumn("column", F.lit(name))), "column"
-        ).select("column", "n", "mean", "stddev", "min", "q25", "q50", "q75", "max")
-        out = row if out is None else out.unionByName(row)
-    return out
+    # One row per column on both sides.
+    joined = describe(df, columns).join(F.broadcast(_quartile_rows(df, columns)), "column", "left")
+    return joined.select("column", "n", "mean", "stddev", "min", "q25", "q50", "q75", "max")
 
 
 def box_plot(df: DataFrame, value: str, whisker: float = 1.5) -> DataFrame:
     """Quartiles, fences, whisker ends and the number of values outside."""
-    quartiles = _quantile_row(df, value, QUARTILES, ("q25", "q50", "q75"))
+    quartiles = _quartile_rows(df, [value]).drop("column")
     fences = quartiles.withColumn("lower_fence", F.col("q25") - whisker * (F.col("q75") - F.col("q25"))).withColumn(
         "upper_fence", F.col("q75") + whisker * (F.col("q75") - F.col("q25"))
     )

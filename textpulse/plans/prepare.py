@@ -14,6 +14,7 @@ from textpulse.operators.lemmas import text_lemmas
 from textpulse.operators.sampling import sample_by_group
 from textpulse.operators.sentiment import sentiment_profile
 from textpulse.operators.terms import non_empty, smoothed_tfidf
+from textpulse.session import stage
 
 # Rates of articles with and without a selected comment.
 RATE_SELECTED = 0.1
@@ -40,24 +41,27 @@ def prepare(
     normalised target and label. Comments whose TF-IDF vanishes drop out.
 
     ``row_id`` is unique. Text features are made from ``(row_id, text)`` only and joined back once,
-    so the wide comment rows are not carried through the text steps.
+    so the wide comment rows are not carried through the text steps. What several steps read (the
+    sampled rows, tokens, postings, features) is written once to the shared folder.
     """
-    sampled = sample_by_group(
-        comments, names.group, F.col(names.flag), rate_selected, rate_others, seed, out="selectionDone"
+    sampled = stage(
+        sample_by_group(comments, names.group, F.col(names.flag), rate_selected, rate_others, seed, out="selectionDone"),
+        "sampled",
     )
     texts = sampled.select(names.row_id, names.text)
-    tokens = text_lemmas(texts, names.row_id, names.text, stop, lemmas)
+    tokens = stage(text_lemmas(texts, names.row_id, names.text, stop, lemmas), "tokens")
     profile = sentiment_profile(texts, names.row_id, names.text, polarity).select(
         names.row_id, F.array("positive", "negative", "neutral").alias("sentiment")
     )
-    postings = smoothed_tfidf(tokens, names.row_id, "tokens")
+    postings = stage(smoothed_tfidf(tokens, names.row_id, "tokens"), "postings")
     vectors = text_vectors(postings, word_vectors, names.row_id, size)
     kept = non_empty(postings, names.row_id).select(names.row_id)
-    featured = (
+    featured = stage(
         sampled.join(tokens, names.row_id)
         .join(profile, names.row_id)
         .join(vectors, names.row_id)
-        .join(kept, names.row_id, "left_semi")
+        .join(kept, names.row_id, "left_semi"),
+        "featured",
     )
     target = normalise_in_group(featured, names.group, names.measure, out=f"sum_{names.measure}")
     return target.withColumn("label", flag_int(names.flag))

@@ -6,8 +6,11 @@ from pyspark.ml.feature import Word2VecModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textpulse.operators.joins import estimated_bytes
+
 PAGE_START = "<page>"
 PAGE_END = "</page>"
+SPREAD_BYTES = 16 * 1024 * 1024
 
 
 def read_prepared(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
@@ -20,6 +23,16 @@ def write_prepared(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def spread_rows(df: DataFrame, key: str, bytes_per_core: int = SPREAD_BYTES) -> DataFrame:
+    """Deal the rows of a small scan out over all cores before heavy work per row.
+
+    Only for input that is too small to give each core a split (one file of one row group runs as one
+    task); larger input is left as it is scanned.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if estimated_bytes(df) <= bytes_per_core * cores else df
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Raw text of each ``<page>...</page>``, column ``xml``.
 
