@@ -125,7 +125,8 @@ def _tree_input(spark, d) -> DataFrame:
     rows = comments(spark, d).where(F.col("editorsSelection").isNotNull())
     texts = rows.select("commentID", "commentBody")
     tokens = stage(lemmas.text_lemmas(texts, "commentID", "commentBody", STOP), "tokens")
-    postings = stage(terms.smoothed_tfidf(tokens, "commentID", "tokens"), "postings")
+    counts = stage(terms.term_counts(tokens, "commentID", "tokens"), "counts")
+    postings = terms.smoothed_tfidf(tokens, "commentID", "tokens", postings=counts)
     vectors = embeddings.text_vectors(
         postings, _word_vectors(spark, d, lemmas.vocabulary(tokens, "tokens")), "commentID", DIMS
     )

@@ -14,6 +14,7 @@ from textpulse.operators.histogram import equal_width_histogram
 from textpulse.operators.joins import name_rows
 from textpulse.operators.learning import class_scores, confusion_matrix, rmse
 from textpulse.operators.tests_stat import anova, chi_square, contingency
+from textpulse.operators.unnest import unnest, unnest_structs
 from textpulse.plans import reports
 
 QUERIES = {}
@@ -274,7 +275,7 @@ def author_number(spark, d):
     SELECT "articleID", value FROM names""",
 )
 def bylines_parsed(spark, d):
-    return articles(spark, d).select("articleID", F.explode(parse_byline("byline")).alias("value"))
+    return unnest(articles(spark, d), ["articleID"], parse_byline("byline"), "value")
 
 
 KEYWORDS_SQL = """words AS (SELECT "articleID", trim(replace(unnest(string_split(regexp_replace(regexp_replace("keywords", '^\\[', ''), '\\]$', ''), ''', ''')), '''', '')) AS value FROM articles)"""
@@ -292,7 +293,7 @@ def keyword_number(spark, d):
 
 @query("keywords_parsed", f"""WITH {ARTICLES_SQL}, {KEYWORDS_SQL} SELECT "articleID", value FROM words""")
 def keywords_parsed(spark, d):
-    return articles(spark, d).select("articleID", F.explode(parse_keywords("keywords")).alias("value"))
+    return unnest(articles(spark, d), ["articleID"], parse_keywords("keywords"), "value")
 
 
 @query(
@@ -514,7 +515,7 @@ def burt_matrix(spark, d):
 )
 def normalised_indicators(spark, d):
     rows = factors.normalised_indicators(table(spark, d, "orders"), "o_orderkey", FACTOR_COLUMNS)
-    return rounded(rows.select("o_orderkey", F.inline("profile")), "value")
+    return rounded(unnest_structs(rows, ["o_orderkey"], F.col("profile"), "variable"), "value")
 
 
 # --- reports and evaluation ----------------------------------------------------------------------

@@ -13,6 +13,7 @@ from textpulse.functions.tokens import token_count, words
 from textpulse.functions.vectors import as_doubles
 from textpulse.operators import embeddings, lemmas, lsa, sentiment, terms, wikipages
 from textpulse.operators.learning import total_inertia
+from textpulse.operators.unnest import unnest, unnest_structs
 from textpulse.plans import prepare, reports
 from textpulse.session import stage
 from textpulse.sources.tables import spread_rows
@@ -287,8 +288,9 @@ def _word_vectors(spark, d, vocabulary: DataFrame) -> DataFrame:
 )
 def text_vectors(spark, d):
     tokens = stage(_tokens(spark, d), "tokens")
-    postings = stage(terms.smoothed_tfidf(tokens, "doc_id", "tokens"), "postings")
-    known = _word_vectors(spark, d, lemmas.vocabulary(tokens, "tokens"))
+    counts = stage(terms.term_counts(tokens, "doc_id", "tokens"), "counts")
+    postings = terms.smoothed_tfidf(tokens, "doc_id", "tokens", postings=counts)
+    known = stage(_word_vectors(spark, d, lemmas.vocabulary(tokens, "tokens")), "words")
     out = embeddings.text_vectors(postings, known, "doc_id", DIMS)
     return rounded(out.select("doc_id", F.posexplode("vector").alias("dim", "value")), "value")
 
@@ -422,7 +424,8 @@ PAGES_SQL = """xmls AS (SELECT d.doc_id, '<page>' || chr(10) || '<title>Caf&eacu
 
 
 def _page_xml(spark, d) -> DataFrame:
-    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    documents = spread_rows(table(spark, d, "documents"), "doc_id")
+    rows = documents.join(table(spark, d, "labels"), "doc_id", "left")
     key, lang, source = F.col("doc_id").cast("string"), F.col("lang"), F.col("source")
 
     def text(*parts) -> Column:
@@ -507,7 +510,7 @@ plain AS (SELECT doc_id, t, string_split(string_split(t, '|')[1], '#')[1] AS tar
     f"""WITH {LINKS_SQL} SELECT doc_id, CASE WHEN contains(t, '|') THEN substr(t, strpos(t, '|') + 1) ELSE target END AS anchor, target FROM plain WHERE target <> ''""",
 )
 def wiki_links(spark, d):
-    return _page_xml(spark, d).select("doc_id", F.inline(wiki.links("xml")))
+    return unnest_structs(_page_xml(spark, d), ["doc_id"], wiki.links("xml"), "target")
 
 
 @query(
@@ -538,8 +541,8 @@ PAGE_TEXT_SQL = r"""plain AS (SELECT page_id, regexp_replace(regexp_replace(rege
     SELECT page_id, line FROM p WHERE line <> ''""",
 )
 def page_paragraphs(spark, d):
-    plain = table(spark, d, "pages").select("page_id", wiki.without_markup("html").alias("content"))
-    return plain.select("page_id", F.explode(wiki.paragraphs("content")).alias("line"))
+    plain = spread_rows(table(spark, d, "pages"), "page_id").select("page_id", wiki.without_markup("html").alias("content"))
+    return unnest(plain, ["page_id"], wiki.paragraphs("content"), "line")
 
 
 # --- preparation ---------------------------------------------------------------------------------

@@ -38,8 +38,10 @@ def _col(c: Column | str) -> Column:
 
 def _between(text: Column, start: str, end: str) -> Column:
     """Text between the first ``start`` and the next ``end``; null when there is none."""
-    pattern = rf"(?s)\Q{start}\E(.*?)\Q{end}\E"
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1))
+    opening = F.locate(start, text)
+    rest = F.substring(text, opening + len(start), F.length(text))
+    closing = F.locate(end, rest)
+    return F.when((opening > 0) & (closing > 0), F.substring(rest, F.lit(1), closing - 1))
 
 
 def decode_entities(text: Column | str) -> Column:

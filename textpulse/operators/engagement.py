@@ -15,7 +15,9 @@ def group_totals(df: DataFrame, group: str, measure: str, out: str = "group_tota
 
 
 def positive_totals(df: DataFrame, group: str, measure: str, out: str = "group_total") -> DataFrame:
-    return group_totals(df, group, measure, out).where(F.col(out) > 0)
+    # The count is always above 0; reading it here keeps one aggregate for sums and counts alike, which
+    # Spark then runs once for both uses in ``normalise_in_group``.
+    return group_totals(df, group, measure, out).where((F.col(out) > 0) & (F.col("n") > 0))
 
 
 def normalise_in_group(df: DataFrame, group: str, measure: str, out: str = "group_total") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textpulse.functions.stem import with_stem
 from textpulse.functions.tokens import drop_words, keep_lemmas, words
 from textpulse.operators.joins import lookup_join
+from textpulse.operators.unnest import unnest
 
 
 def replace_tokens(df: DataFrame, row_id: str, tokens: str, table: DataFrame, lower_default: bool = False) -> DataFrame:
@@ -42,7 +43,7 @@ def text_lemmas(
 
 def vocabulary(df: DataFrame, tokens: str) -> DataFrame:
     """Distinct tokens, column ``word``."""
-    return df.select(F.explode(F.array_distinct(tokens)).alias("word")).distinct()
+    return unnest(df, [], F.array_distinct(tokens), "word").distinct()
 
 
 def stem_table(df: DataFrame, tokens: str) -> DataFrame:

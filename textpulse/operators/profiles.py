@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textpulse.operators.unnest import unnest
+
 QUARTILES = (0.25, 0.5, 0.75)
 ACCURACY = 10_000
 RANK_ROWS = 1_000_000
@@ -32,7 +34,7 @@ def category_counts(df: DataFrame, column: str) -> DataFrame:
 
 def list_counts(df: DataFrame, entries: Column, keep_blank: bool = True) -> DataFrame:
     """Rows per entry of an array column, most frequent first."""
-    exploded = df.select(F.explode(entries).alias("value"))
+    exploded = unnest(df, [], entries, "value")
     if not keep_blank:
         exploded = exploded.where(F.col("value") != "")
     return category_counts(exploded, "value")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textpulse.functions.tokens import sentences, words
 from textpulse.operators.joins import lookup_join
+from textpulse.operators.unnest import unnest_at
 
 
 def polar_sentences(df: DataFrame, row_id: str, text: str, polarity: DataFrame) -> DataFrame:
@@ -14,9 +15,8 @@ def polar_sentences(df: DataFrame, row_id: str, text: str, polarity: DataFrame)
 
     Most words have no polarity, so the inner join drops them before anything is grouped.
     """
-    listed = df.select(row_id, F.posexplode(sentences(text)).alias("sentence", "text")).select(
-        row_id, "sentence", F.posexplode(words("text", lower=True)).alias("pos", "word")
-    )
+    parts = unnest_at(df, [row_id], sentences(text), "sentence", "part")
+    listed = unnest_at(parts, [row_id, "sentence"], words("part", lower=True), "pos", "word")
     scored = lookup_join(listed, polarity, ["word"], spread=[row_id, "sentence", "pos"])
     return scored.groupBy(row_id, "sentence").agg(F.sum("score").alias("score"))
 

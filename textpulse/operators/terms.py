@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textpulse.functions.tokens import term_runs
+from textpulse.operators.unnest import unnest, unnest_structs
 
 NUM_TERMS = 1000
 VOCABULARY = 1 << 18
@@ -17,18 +18,13 @@ VOCABULARY = 1 << 18
 def term_counts(df: DataFrame, row_id: str, tokens: str) -> DataFrame:
     """Postings ``(row_id, term, tf, n_terms)``; one row of ``df`` is one document. No shuffle."""
     ordered = df.select(row_id, F.sort_array(tokens).alias("__sorted"))
-    return ordered.select(
-        row_id, F.size("__sorted").cast("long").alias("n_terms"), F.inline(term_runs("__sorted"))
-    ).select(row_id, "term", "tf", "n_terms")
+    keep = [row_id, F.size("__sorted").cast("long").alias("n_terms")]
+    return unnest_structs(ordered, keep, term_runs("__sorted"), "term").select(row_id, "term", "tf", "n_terms")
 
 
 def document_frequencies(df: DataFrame, tokens: str) -> DataFrame:
     """``(term, df)`` of all terms."""
-    return (
-        df.select(F.explode(F.array_distinct(tokens)).alias("term"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
+    return unnest(df, [], F.array_distinct(tokens), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def top_terms(frequencies: DataFrame, n: int = NUM_TERMS, by: str = "df") -> DataFrame:
@@ -74,12 +70,15 @@ def term_document_matrix(df: DataFrame, row_id: str, tokens: str, num_terms: int
     return term_counts(df, row_id, tokens).join(F.broadcast(table), "term").select(row_id, "term", weight.alias("weight"))
 
 
-def smoothed_tfidf(df: DataFrame, row_id: str, tokens: str, vocabulary: int = VOCABULARY) -> DataFrame:
+def smoothed_tfidf(
+    df: DataFrame, row_id: str, tokens: str, vocabulary: int = VOCABULARY, postings: DataFrame | None = None
+) -> DataFrame:
     """Postings ``(row_id, term, tf, tfidf)`` with the smoothed idf.
 
-    The vocabulary is that of a count vectoriser: the terms with the most occurrences, bounded.
+    The vocabulary is that of a count vectoriser: the terms with the most occurrences, bounded. Give
+    the staged ``term_counts`` as ``postings`` to work them out once; they are read twice here.
     """
-    postings = term_counts(df, row_id, tokens)
+    postings = term_counts(df, row_id, tokens) if postings is None else postings
     frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences"))
     table = top_terms(frequencies, vocabulary, by="occurrences").select(
         "term", smoothed_idf("df", _n_docs(df)).alias("idf")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textpulse.functions.wiki import page_fields, paragraphs, plain_text
 from textpulse.operators.sampling import bernoulli_sample
+from textpulse.operators.unnest import unnest
 
 DISAMBIGUATION_TITLE = "(disambiguation)"
 CONTENT_TYPE = "text/html"
@@ -28,7 +29,7 @@ def article_texts(xml: DataFrame, column: str = "xml") -> DataFrame:
 def article_paragraphs(articles: DataFrame, fraction: float = 1.0, key: str = "page_id", seed: int = 1) -> DataFrame:
     """``(title, line)`` of the non-empty lines, of a sample of the pages if ``fraction`` is below 1."""
     rows = articles if fraction >= 1.0 else bernoulli_sample(articles, fraction, key, seed)
-    return rows.select("title", F.explode(paragraphs("content")).alias("line"))
+    return unnest(rows, ["title"], paragraphs("content"), "line")
 
 
 def indexable(df: DataFrame, doc_id: str, text: str, content_type: str = CONTENT_TYPE) -> DataFrame:

@@ -13,7 +13,7 @@ from textpulse.operators.engagement import normalise_in_group
 from textpulse.operators.lemmas import text_lemmas
 from textpulse.operators.sampling import sample_by_group
 from textpulse.operators.sentiment import sentiment_profile
-from textpulse.operators.terms import non_empty, smoothed_tfidf
+from textpulse.operators.terms import non_empty, smoothed_tfidf, term_counts
 from textpulse.session import stage
 
 # Rates of articles with and without a selected comment.
@@ -53,7 +53,8 @@ def prepare(
     profile = sentiment_profile(texts, names.row_id, names.text, polarity).select(
         names.row_id, F.array("positive", "negative", "neutral").alias("sentiment")
     )
-    postings = stage(smoothed_tfidf(tokens, names.row_id, "tokens"), "postings")
+    counts = stage(term_counts(tokens, names.row_id, "tokens"), "counts")
+    postings = smoothed_tfidf(tokens, names.row_id, "tokens", postings=counts)
     vectors = text_vectors(postings, word_vectors, names.row_id, size)
     kept = non_empty(postings, names.row_id).select(names.row_id)
     featured = stage(
