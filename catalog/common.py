@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textpulse.session import local_rows
 from textpulse.sources.tables import spread_rows
 
 DIGITS = 6
@@ -32,7 +33,7 @@ TOKENS_SQL = f"regexp_extract_all(lower(text), '{WORD_SQL}')"
 
 
 def polarity(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(POLARITY.items()), "word string, score double")
+    return local_rows(spark, list(POLARITY.items()), "word string, score double")
 
 
 def draw_sql(key: str, purpose: str, seed: int) -> str:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from textpulse.functions.vectors import as_doubles, squared_distance
 from textpulse.operators.embeddings import nearest
 from textpulse.operators.sampling import random_split
+from textpulse.session import local_rows
 
 
 def feature_vector(df: DataFrame, inputs: list[str], out: str = "features") -> DataFrame:
@@ -58,9 +59,8 @@ def k_means(df: DataFrame, k: int, size: int, vector: str = "vector", seed: int
         model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(features)
     finally:
         features.unpersist()
-    centers = spark.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, vector array<double>"
-    )
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    centers = local_rows(spark, rows, "cluster int, vector array<double>")
     return Clusters(centers, float(model.summary.trainingCost), model)
 
 
@@ -71,7 +71,7 @@ def inertia_curve(df: DataFrame, size: int, vector: str = "vector", ks=range(1,
         rows = [(k, k_means(kept, k, size, vector, seed).cost) for k in ks]
     finally:
         kept.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, cost double")
+    return local_rows(df.sparkSession, rows, "k int, cost double")
 
 
 def assign_clusters(df: DataFrame, centers: DataFrame, vector: str = "vector") -> DataFrame:
@@ -115,9 +115,8 @@ class TreeResult:
         """``(feature, importance)`` of the features the tree uses."""
         found = self.tree.featureImportances
         rows = [(int(i), float(found[int(i)])) for i in range(found.size) if found[int(i)] > 0]
-        return self.predictions.sparkSession.createDataFrame(rows, "feature int, importance double").orderBy(
-            F.desc("importance"), "feature"
-        )
+        table = local_rows(self.predictions.sparkSession, rows, "feature int, importance double")
+        return table.orderBy(F.desc("importance"), "feature")
 
 
 def classify_tree(

@@ -19,6 +19,7 @@ from textpulse.functions.vectors import as_doubles, dot, multiply, unit
 from textpulse.operators.embeddings import vector_of
 from textpulse.operators.joins import lookup_join
 from textpulse.operators.terms import NUM_TERMS, term_counts, term_document_vectors
+from textpulse.session import local_rows
 
 CONCEPTS = 10
 TOP = 10
@@ -60,7 +61,8 @@ def factorise(
         if v[abs(v[:, c]).argmax(), c] < 0:
             v[:, c] = -v[:, c]
     named = terms.select("term_id", "term", "idf").collect()  # num_terms rows
-    factor_v = spark.createDataFrame(
+    factor_v = local_rows(
+        spark,
         [(r["term"], [float(x) for x in v[r["term_id"]]], r["idf"]) for r in named],
         "term string, vector array<double>, idf double",
     )

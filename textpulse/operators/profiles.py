@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textpulse.operators.unnest import unnest
+from textpulse.session import local_rows
 
 QUARTILES = (0.25, 0.5, 0.75)
 ACCURACY = 10_000
@@ -137,7 +138,8 @@ def exact_quantiles(
             if margin >= 1:
                 break  # many equal values: they are one row each once counted
 
-    targets = spark.createDataFrame(
+    targets = local_rows(
+        spark,
         [(r.interval(), columns[r.column], r.prob, r.place, r.rank - r.before) for r in ranks],
         "interval string, column string, prob double, place double, rank long",
     )

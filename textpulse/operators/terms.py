@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from textpulse.functions.tokens import term_runs
 from textpulse.operators.unnest import unnest, unnest_structs
+from textpulse.session import local_rows
 
 NUM_TERMS = 1000
 VOCABULARY = 1 << 18
@@ -114,8 +115,10 @@ def term_document_vectors(
     scales its columns and one over the document's length its rows.
     """
     table = term_table(df, tokens, num_terms).collect()
-    terms = df.sparkSession.createDataFrame(
-        [(i, r["term"], r["df"], r["idf"]) for i, r in enumerate(table)], "term_id int, term string, df long, idf double"
+    terms = local_rows(
+        df.sparkSession,
+        [(i, r["term"], r["df"], r["idf"]) for i, r in enumerate(table)],
+        "term_id int, term string, df long, idf double",
     )
     if not table:
         raise ValueError("no terms")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -28,6 +30,14 @@ def local_session(cpus: int | str = "*", app: str = "textpulse", memory: str = "
     return spark
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A short list of rows from the driver. Unlike rows sent as an RDD, Spark knows their size."""
+    if not rows:
+        return spark.createDataFrame([], schema)
+    names = [field.name for field in T.StructType.fromDDL(schema)]
+    return spark.createDataFrame(pa.table(dict(zip(names, map(list, zip(*rows))))), schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only where it is unset on one machine."""
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
