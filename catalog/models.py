@@ -30,13 +30,18 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def _staged_tokens(spark, d) -> DataFrame:
+    """Fits read the tokens several times, so they are worked out once."""
+    return stage(_tokens(spark, d), "tokens")
+
+
 # The vector form agrees with the postings: same number of entries, same sums.
 @query(
     "count_vector_tfidf",
     f"WITH {SMOOTH_SQL} SELECT doc_id, round(sum(tf), 4)::DOUBLE AS n_counted, round(sum(tfidf), 4) AS weight FROM post GROUP BY 1",
 )
 def count_vector_tfidf(spark, d):
-    tokens = _tokens(spark, d)
+    tokens = _staged_tokens(spark, d)
     model = terms.tfidf_pipeline().fit(tokens)
     weighed = model.transform(tokens.where(F.size("tokens") > 0))
 
@@ -49,21 +54,21 @@ def count_vector_tfidf(spark, d):
 
 @query("word_vectors_trained")
 def word_vectors_trained(spark, d):
-    corpus = embeddings.training_corpus([_tokens(spark, d)])
+    corpus = embeddings.training_corpus([_staged_tokens(spark, d)])
     model = embeddings.train_word_vectors(corpus, size=32, partitions=8, min_count=10, seed=SEED)
     return embeddings.word_table(model)
 
 
 @query("word_model_saved")
 def word_model_saved(spark, d):
-    corpus = embeddings.training_corpus([_tokens(spark, d)])
+    corpus = embeddings.training_corpus([_staged_tokens(spark, d)])
     path = scratch_path(spark, "word-model")
     save_word_model(embeddings.train_word_vectors(corpus, size=16, partitions=8, min_count=20, seed=SEED), path)
     return embeddings.word_table(load_word_model(path))
 
 
 def _factors(spark, d) -> lsa.Factors:
-    return lsa.factorise(embeddings.longer_than(_tokens(spark, d), "tokens", embeddings.MIN_LSA_TOKENS), "doc_id", "tokens")
+    return lsa.factorise(embeddings.longer_than(_staged_tokens(spark, d), "tokens", embeddings.MIN_LSA_TOKENS), "doc_id", "tokens")
 
 
 @query("lsa_top_terms")
@@ -128,7 +133,7 @@ def _tree_input(spark, d) -> DataFrame:
     counts = stage(terms.term_counts(tokens, "commentID", "tokens"), "counts")
     postings = terms.smoothed_tfidf(tokens, "commentID", "tokens", postings=counts)
     vectors = embeddings.text_vectors(
-        postings, _word_vectors(spark, d, lemmas.vocabulary(tokens, "tokens")), "commentID", DIMS
+        postings, _word_vectors(spark, d, lemmas.vocabulary(tokens, "tokens")), "commentID", DIMS, documents=tokens
     )
     profile = sentiment.sentiment_profile(texts, "commentID", "commentBody", polarity(spark)).select(
         "commentID", "positive", "negative", "neutral"

@@ -44,23 +44,26 @@ def word_table(model: Word2VecModel) -> DataFrame:
 
 def text_vectors(
     postings: DataFrame, vectors: DataFrame, row_id: str, size: int,
-    term: str = "term", weight: str = "tfidf",
+    term: str = "term", weight: str = "tfidf", documents: DataFrame | None = None,
 ) -> DataFrame:
     """``(row_id, vector)``: weighted mean of the word vectors of a document's terms.
 
     Unknown words count neither in the sum nor in the weight; a weight of 0 gives the zero vector.
     One sum per dimension keeps fixed-width partial sums, so whole vectors are added up before the
-    shuffle by document and nothing is collected per document.
+    shuffle by document and nothing is collected per document. ``documents`` holds the row ids to
+    return; by default those of the postings.
     """
-    table = vectors.select(F.col("word").alias(term), as_doubles("vector").alias("vector"))
-    known = lookup_join(postings.select(row_id, term, weight), table, [term], how="left", spread=[row_id])
-    w = F.when(F.col("vector").isNotNull(), F.col(weight))
+    table = vectors.select(F.col("word").alias(term), "vector")
+    known = lookup_join(postings.select(row_id, term, weight), table, [term], spread=[row_id])
     sums = known.groupBy(row_id).agg(
-        F.sum(w).alias("weight"), *[F.sum(w * F.get("vector", F.lit(i))).alias(f"s{i}") for i in range(size)]
+        F.sum(weight).alias("weight"),
+        *[F.sum(F.col(weight) * F.get("vector", F.lit(i))).alias(f"s{i}") for i in range(size)],
     )
-    used = F.coalesce(F.col("weight"), F.lit(0.0)) != 0
-    mean = [F.when(used, F.coalesce(F.col(f"s{i}"), F.lit(0.0)) / F.col("weight")).otherwise(F.lit(0.0)) for i in range(size)]
-    return sums.select(row_id, F.array(*mean).alias("vector"))
+    mean = F.array(*[F.col(f"s{i}") / F.col("weight") for i in range(size)])
+    means = sums.where(F.col("weight") != 0).select(row_id, mean.alias("vector"))
+    every = postings.select(row_id).distinct() if documents is None else documents.select(row_id)
+    zero = F.array_repeat(F.lit(0.0), size)
+    return every.join(means, row_id, "left").select(row_id, F.coalesce("vector", zero).alias("vector"))
 
 
 def vector_of(table: DataFrame, key: str, value, vector: str = "vector") -> Column:

@@ -42,7 +42,7 @@ def factorise(
     V and s come from the Gram matrix, ``num_terms`` squared, which takes one pass over the rows; for
     more than ``GRAM_TERMS`` terms Spark's iterative solver is used. U is then a sum over each
     document's postings, ``weight * V[term] / s``, keyed by the document, so no row order is relied
-    on. V has ``num_terms`` rows. Signs are set so that each concept's largest entry in V is positive.
+    on. V has ``num_terms`` rows. The tokens are read four times, so ``df`` is best a stored table. Signs are set so that each concept's largest entry in V is positive.
     """
     spark = df.sparkSession
     rows, terms = term_document_vectors(df.select(row_id, tokens), tokens, num_terms)

@@ -55,7 +55,7 @@ def prepare(
     )
     counts = stage(term_counts(tokens, names.row_id, "tokens"), "counts")
     postings = smoothed_tfidf(tokens, names.row_id, "tokens", postings=counts)
-    vectors = text_vectors(postings, word_vectors, names.row_id, size)
+    vectors = text_vectors(postings, word_vectors, names.row_id, size, documents=tokens)
     kept = non_empty(postings, names.row_id).select(names.row_id)
     featured = stage(
         sampled.join(tokens, names.row_id)
