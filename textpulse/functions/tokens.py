@@ -7,7 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Letters, digits and underscore of any script; Java's \w is ASCII only.
-WORD = r"[\p{L}\p{N}_]+"
+WORD_CHARACTER = r"[\p{L}\p{N}_]"
+WORD = WORD_CHARACTER + "+"
 SENTENCE_END = r"[.!?\n]+"
 LETTERS_ONLY = r"^\p{L}*$"
 MIN_LEMMA_CHARS = 3
@@ -22,10 +23,10 @@ def english_stop_words() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def words(text: Column | str, lower: bool = False) -> Column:
-    """All word tokens in order."""
+def words(text: Column | str, lower: bool = False, min_chars: int = 1) -> Column:
+    """All word tokens of at least ``min_chars`` characters in order."""
     source = F.lower(_col(text)) if lower else _col(text)
-    return F.regexp_extract_all(source, F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(source, F.lit(f"{WORD_CHARACTER}{{{min_chars},}}"), F.lit(0))
 
 
 def only_letters(token: Column | str) -> Column:

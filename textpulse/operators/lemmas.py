@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textpulse.functions.stem import with_stem
-from textpulse.functions.tokens import drop_words, keep_lemmas, words
+from textpulse.functions.tokens import MIN_LEMMA_CHARS, drop_words, keep_lemmas, only_letters, words
 from textpulse.operators.joins import lookup_join
 from textpulse.operators.unnest import unnest
 
@@ -35,9 +35,9 @@ def text_lemmas(
     within the row.
     """
     if lemmas is None:
-        found = df.select(row_id, words(text, lower=True).alias(out))
-    else:
-        found = replace_tokens(df.select(row_id, words(text).alias(out)), row_id, out, lemmas, lower_default=True)
+        kept = drop_words(words(text, lower=True, min_chars=MIN_LEMMA_CHARS), stop)
+        return df.select(row_id, (F.filter(kept, only_letters) if letters_only else kept).alias(out))
+    found = replace_tokens(df.select(row_id, words(text).alias(out)), row_id, out, lemmas, lower_default=True)
     return found.withColumn(out, keep_lemmas(out, stop, letters_only))
 
 
