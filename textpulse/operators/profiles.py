@@ -140,8 +140,8 @@ def exact_quantiles(
 
     targets = local_rows(
         spark,
-        [(r.interval(), columns[r.column], r.prob, r.place, r.rank - r.before) for r in ranks],
-        "interval string, column string, prob double, place double, rank long",
+        [(r.interval(), columns[r.column], r.prob, r.place, r.rank, r.rank - r.before) for r in ranks],
+        "interval string, column string, prob double, place double, rank long, inner long",
     )
     intervals = {r.interval(): r for r in ranks}
     pairs = [F.struct(F.lit(key).alias("interval"), r.within().alias("v")) for key, r in intervals.items()]
@@ -155,7 +155,7 @@ def exact_quantiles(
     )
     ranked = counted.withColumn("first", F.sum("n").over(W.partitionBy("interval").orderBy("v")) - F.col("n"))
     hits = ranked.join(F.broadcast(targets), "interval").where(
-        (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n"))
+        (F.col("inner") >= F.col("first")) & (F.col("inner") < F.col("first") + F.col("n"))
     )
     low, high = F.min_by("v", "rank"), F.max_by("v", "rank")
     share = F.max("place") - F.floor(F.max("place"))
