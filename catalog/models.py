@@ -6,8 +6,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog.common import STOP, comments, polarity, rounded, table
-from catalog.texts import DIMS, SMOOTH_SQL, _embeddings, _tokens, _word_vectors
+from catalog.common import COMMENTS_SQL, STOP, comments, polarity, rounded, table
+from catalog.tables import _anova_sql
+from catalog.texts import DIMS, SMOOTH_SQL, _embeddings, _sentiment_sql, _tokens, _word_vectors
 from textpulse.operators import embeddings, learning, lemmas, lsa, sampling, sentiment, terms
 from textpulse.operators.engagement import normalise_in_group
 from textpulse.operators.tests_stat import chi_square_ml
@@ -111,18 +112,41 @@ def inertia_curve(spark, d):
     return learning.inertia_curve(_embeddings(spark, d), DIMS, ks=range(1, 21), seed=SEED)
 
 
-@query("chi_square_estimator")
+@query(
+    "chi_square_estimator",
+    f"""WITH {COMMENTS_SQL}, base AS (SELECT * FROM comments WHERE "editorsSelection" IS NOT NULL),
+    totals AS (SELECT "articleID", sum("recommandations") AS total FROM base GROUP BY 1 HAVING sum("recommandations") > 0),
+    n AS (SELECT "editorsSelection"::INTEGER AS y, "recommandations" AS r, "recommandations"::DOUBLE / total AS s FROM base JOIN totals USING ("articleID")),
+    f AS (SELECT y, y AS flag, CASE WHEN r = 0 THEN 0 WHEN r <= 1 THEN 1 WHEN r <= 10 THEN 2 WHEN r <= 100 THEN 3 ELSE 4 END AS c,
+      CASE WHEN s = 0 THEN 0 WHEN s <= 0.01 THEN 1 WHEN s <= 0.1 THEN 2 WHEN s <= 0.5 THEN 3 ELSE 4 END AS sc FROM n),
+    src AS (SELECT 0 AS i, flag AS v, y FROM f UNION ALL SELECT 1, c, y FROM f UNION ALL SELECT 2, sc, y FROM f),
+    rv AS (SELECT i, v, count(*) AS nv FROM src GROUP BY 1, 2), lv AS (SELECT i, y, count(*) AS ny FROM src GROUP BY 1, 2),
+    cells AS (SELECT i, v, y, count(*) AS o FROM src GROUP BY 1, 2, 3), tt AS (SELECT count(*) AS total FROM f),
+    grid AS (SELECT i, v, y, nv * ny / total AS e, coalesce(o, 0) AS o FROM rv JOIN lv USING (i) CROSS JOIN tt LEFT JOIN cells USING (i, v, y))
+    SELECT i::INTEGER AS "featureIndex", ((count(DISTINCT v) - 1) * (count(DISTINCT y) - 1))::INTEGER AS "degreesOfFreedom", round(sum((o - e) * (o - e) / e), 6) AS statistic FROM grid GROUP BY 1""",
+)
 def chi_square_estimator(spark, d):
     rows = comments(spark, d).where(F.col("editorsSelection").isNotNull())
     classed = normalise_in_group(rows, "articleID", "recommandations")
     flagged = classed.withColumn("flag", F.col("editorsSelection").cast("int"))
-    return chi_square_ml(flagged, ["flag", "count_class", "share_class"], "editorsSelection")
+    tests = chi_square_ml(flagged, ["flag", "count_class", "share_class"], "editorsSelection")
+    return rounded(tests.drop("pValue"), "statistic")
+
+
+def _sentiment_anova_sql() -> str:
+    parts = [
+        f"""SELECT *, '{share}' AS measure FROM ({_anova_sql("joined", "flag", share)})"""
+        for share in ("positive", "negative", "neutral")
+    ]
+    return f"""WITH shares AS ({_sentiment_sql("false").replace("round(", "(").replace(", 6)", ")")}),
+    joined AS (SELECT (quality = 0)::VARCHAR AS flag, positive, negative, neutral FROM shares LEFT JOIN labels USING (doc_id)) """ + " UNION ALL ".join(parts)
 
 
-@query("anova_sentiment_by_selection")
+@query("anova_sentiment_by_selection", _sentiment_anova_sql())
 def anova_sentiment_by_selection(spark, d):
     rows = comments(spark, d).select("commentID", "commentBody", "editorsSelection")
-    return sentiment_anova(sentiment.sentiment_profile(rows, "commentID", "commentBody", polarity(spark)))
+    found = sentiment_anova(sentiment.sentiment_profile(rows, "commentID", "commentBody", polarity(spark)))
+    return rounded(found.drop("p_value"), "f_value", "eta_sq", "omega_sq")
 
 
 def _tree_input(spark, d) -> DataFrame:

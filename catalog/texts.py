@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalog.common import (
-    COMMENTS_SQL, POLARITY_SQL, STOP, STOP_SQL, TOKENS_SQL, WORD_SQL, comments, polarity, rounded, table,
+    COMMENTS_SQL, POLARITY_SQL, STOP, STOP_SQL, TOKENS_SQL, WORD_SQL, comments, draw_sql, polarity, rounded, table,
 )
 from textpulse.functions import wiki
 from textpulse.functions.tokens import token_count, words
@@ -548,12 +548,39 @@ def page_paragraphs(spark, d):
 # --- preparation ---------------------------------------------------------------------------------
 
 
-@query("prepared_comments")
+def _prepared_sql() -> str:
+    """The whole job over the comments of sampled articles."""
+    sampled = f"""{COMMENTS_SQL}, groups AS (SELECT "articleID", bool_or("editorsSelection") AS "selectionDone" FROM comments GROUP BY 1),
+    drawn AS (SELECT * FROM groups WHERE {draw_sql('"articleID"', "group", 1)} < CASE WHEN "selectionDone" THEN 1.0 ELSE 0.5 END),
+    sampled AS (SELECT c.*, d."selectionDone", c."commentID" AS doc_id, c."commentBody" AS text FROM comments c JOIN drawn d USING ("articleID"))"""
+    words_ = WORDS_SQL.replace("FROM documents", "FROM sampled")
+    moods = _sentiment_sql("false").replace("FROM documents", "FROM sampled").replace("WITH ", "", 1)
+    moods, final = moods.rsplit("\nSELECT ", 1)
+    return f"""WITH {sampled}, {words_},
+    moods AS (WITH {moods} SELECT {final}),
+    hit AS (SELECT doc_id, sum(tfidf * list_sum(vector)) / sum(tfidf) AS total FROM post JOIN wv USING (term) GROUP BY 1 HAVING sum(tfidf) <> 0),
+    alive AS (SELECT doc_id FROM post GROUP BY 1 HAVING sum(abs(tfidf)) > 0),
+    kept AS (SELECT s.*, n_terms, positive, negative, neutral, coalesce(hit.total, 0) AS vector_sum FROM sampled s JOIN alive USING (doc_id) JOIN len USING (doc_id) JOIN moods USING (doc_id) LEFT JOIN hit USING (doc_id)),
+    sums AS (SELECT "articleID", sum("recommandations") AS total FROM kept GROUP BY 1 HAVING sum("recommandations") > 0),
+    shares AS (SELECT kept.*, total, "recommandations"::DOUBLE / total AS share FROM kept JOIN sums USING ("articleID"))
+    SELECT "commentID", "articleID", coalesce("editorsSelection"::INTEGER, -1) AS label, "selectionDone"::VARCHAR AS "selectionDone", n_terms AS n_tokens, round(positive, 6) AS positive, round(negative, 6) AS negative,
+      round(neutral, 6) AS neutral, round(vector_sum, 6) AS vector_sum, total::BIGINT AS sum_recommandations, round(share, 6) AS share,
+      round(CASE WHEN "recommandations" = 0 THEN -1 ELSE log10("recommandations") END, 6) AS log_value,
+      CASE WHEN "recommandations" = 0 THEN 0 WHEN "recommandations" <= 1 THEN 1 WHEN "recommandations" <= 10 THEN 2 WHEN "recommandations" <= 100 THEN 3 ELSE 4 END AS count_class,
+      CASE WHEN share = 0 THEN 0 WHEN share <= 0.01 THEN 1 WHEN share <= 0.1 THEN 2 WHEN share <= 0.5 THEN 3 ELSE 4 END AS share_class
+    FROM shares"""
+
+
+@query("prepared_comments", _prepared_sql())
 def prepared_comments(spark, d):
     rows = comments(spark, d)
     vectors = stage(_word_vectors(spark, d, lemmas.vocabulary(_tokens(spark, d), "tokens")), "words")
     out = prepare.prepare(rows, vectors, DIMS, polarity(spark), STOP, rate_selected=1.0, rate_others=0.5)
-    return out.select(
-        "commentID", "articleID", "label", "selectionDone", F.size("tokens").alias("n_tokens"), "sentiment", "vector",
-        "sum_recommandations", "share", "log_value", "count_class", "share_class",
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)
+    shares = [F.get("sentiment", F.lit(i)).alias(name) for i, name in enumerate(("positive", "negative", "neutral"))]
+    flat = out.select(
+        "commentID", "articleID", F.coalesce("label", F.lit(-1)).alias("label"),
+        F.col("selectionDone").cast("string").alias("selectionDone"), F.size("tokens").cast("long").alias("n_tokens"),
+        *shares, total.alias("vector_sum"), "sum_recommandations", "share", "log_value", "count_class", "share_class",
     )
+    return rounded(flat, "positive", "negative", "neutral", "vector_sum", "share", "log_value")

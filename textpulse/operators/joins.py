@@ -18,7 +18,7 @@ def estimated_bytes(df: DataFrame) -> int:
 
 def lookup_join(
     rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner",
-    spread: list[str] | None = None, max_bytes: int = BROADCAST_BYTES,
+    spread: list[str] | None = None, counts: DataFrame | None = None, max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join ``rows`` with a ``table`` of one row per key.
 
@@ -27,7 +27,7 @@ def lookup_join(
     """
     if estimated_bytes(table) <= max_bytes:
         return rows.join(F.broadcast(table), keys, how)
-    return join_unique(rows, table, keys, how=how, spread=spread)
+    return join_unique(rows, table, keys, how=how, counts=counts, spread=spread)
 
 
 def join_unique(

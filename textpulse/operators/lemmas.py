@@ -11,14 +11,18 @@ from textpulse.operators.joins import lookup_join
 from textpulse.operators.unnest import unnest
 
 
-def replace_tokens(df: DataFrame, row_id: str, tokens: str, table: DataFrame, lower_default: bool = False) -> DataFrame:
+def replace_tokens(
+    df: DataFrame, row_id: str, tokens: str, table: DataFrame, lower_default: bool = False,
+    counts: DataFrame | None = None,
+) -> DataFrame:
     """``(row_id, tokens)`` with each token replaced by ``table(word, replacement)``, order kept.
 
     Unknown tokens stay as they are, or lower-cased. A token that is very frequent is split over
-    tasks in the join; each list is put together again within its own row's group.
+    tasks in the join; each list is put together again within its own row's group. ``counts(word, n)``
+    holds the occurrences of the tokens if they are known.
     """
     listed = df.select(row_id, F.posexplode_outer(tokens).alias("pos", "word"))
-    replaced = lookup_join(listed, table.select("word", "replacement"), ["word"], how="left", spread=[row_id, "pos"])
+    replaced = lookup_join(listed, table.select("word", "replacement"), ["word"], how="left", spread=[row_id, "pos"], counts=counts)
     default = F.lower("word") if lower_default else F.col("word")
     pair = F.when(F.col("word").isNotNull(), F.struct("pos", F.coalesce("replacement", default).alias("token")))
     grouped = replaced.groupBy(row_id).agg(F.sort_array(F.collect_list(pair)).alias("pairs"))
@@ -46,15 +50,21 @@ def vocabulary(df: DataFrame, tokens: str) -> DataFrame:
     return unnest(df, [], F.array_distinct(tokens), "word").distinct()
 
 
-def stem_table(df: DataFrame, tokens: str) -> DataFrame:
-    """``(word, replacement)``: each distinct token is stemmed once."""
-    return with_stem(vocabulary(df, tokens), "word", "replacement")
+def word_counts(df: DataFrame, tokens: str) -> DataFrame:
+    """``(word, n)``: occurrences of each token."""
+    return unnest(df, [], F.col(tokens), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stem_table(counts: DataFrame) -> DataFrame:
+    """``(word, n, replacement)``: each distinct token is stemmed once."""
+    return with_stem(counts, "word", "replacement")
 
 
 def stemmed_words(df: DataFrame, row_id: str, text: str, stop: list[str] | None, out: str = "tokens") -> DataFrame:
     """``(row_id, tokens)``: word tokens, stop words dropped with respect to case, then stemmed."""
     kept = df.select(row_id, drop_words(words(text), stop).alias(out))
-    return replace_tokens(kept, row_id, out, stem_table(kept, out))
+    counts = word_counts(kept, out)
+    return replace_tokens(kept, row_id, out, stem_table(counts), counts=counts)
 
 
 def lower_words(df: DataFrame, row_id: str, text: str, stop: list[str] | None, out: str = "tokens") -> DataFrame:
