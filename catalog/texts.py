@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catalog.common import (
     COMMENTS_SQL, POLARITY_SQL, STOP, STOP_SQL, TOKENS_SQL, WORD_SQL, comments, draw_sql, polarity, rounded, table,
 )
+from catalog.stem_sql import stem_ctes
 from textpulse.functions import wiki
 from textpulse.functions.tokens import token_count, words
 from textpulse.functions.vectors import as_doubles
@@ -113,7 +114,13 @@ def lower_words(spark, d):
     return _per_document(lemmas.lower_words(_documents(spark, d), "doc_id", "text", STOP))
 
 
-@query("stemmed_words")
+@query(
+    "stemmed_words",
+    f"""WITH pos AS (SELECT doc_id, unnest(regexp_extract_all(text, '{WORD_SQL}')) AS word, generate_subscripts(regexp_extract_all(text, '{WORD_SQL}'), 1) AS p FROM documents),
+    kept AS (SELECT * FROM pos WHERE word NOT IN {STOP_SQL}), voc AS (SELECT DISTINCT word FROM kept), {stem_ctes("voc")},
+    lists AS (SELECT doc_id, list(stem ORDER BY p) AS ts FROM kept JOIN stemmed USING (word) GROUP BY 1)
+    SELECT d.doc_id, coalesce(len(ts), 0)::BIGINT AS n_tokens, md5(coalesce(array_to_string(ts, ' '), '')) AS digest FROM documents d LEFT JOIN lists USING (doc_id)""",
+)
 def stemmed_words(spark, d):
     return _per_document(lemmas.stemmed_words(_documents(spark, d), "doc_id", "text", STOP))
 

@@ -30,16 +30,17 @@ IRREGULAR = {
     "exceed": "exceed", "succeed": "succeed",
 }
 
-# y is a vowel after a consonant, and a consonant at the start or after a vowel.
-_CONSONANT = r"(?:[^aeiouy]|(?<=[aeiou])y|^y)"
-_VOWEL = r"(?:[aeiou]|(?<=[^aeiou])y)"
-_VC = rf"{_VOWEL}+{_CONSONANT}+"
-_HAS_VOWEL = _VOWEL
-_MEASURE_POSITIVE = rf"^{_CONSONANT}*{_VC}"
-_MEASURE_ABOVE_ONE = rf"^{_CONSONANT}*{_VC}{_VC}"
-_MEASURE_ONE = rf"^{_CONSONANT}*{_VC}{_VOWEL}*$"
-_DOUBLE = r"([^aeiouy])\1$"
-_SHORT_END = rf"{_CONSONANT}{_VOWEL}(?![wxy]){_CONSONANT}$|^{_VOWEL}{_CONSONANT}$"
+# y is a vowel after a consonant, else a consonant. Vowel y's are marked as Y once: whether a y is one
+# depends on the letter before it only, and no step adds a y.
+_VOWEL_Y = "([^aeiou])y"
+_CONSONANT = "[^aeiouY]"
+_VOWEL = "[aeiouY]"
+_VC = f"{_VOWEL}+{_CONSONANT}+"
+_MEASURE_POSITIVE = f"^{_CONSONANT}*{_VC}"
+_MEASURE_ABOVE_ONE = f"^{_CONSONANT}*{_VC}{_VC}"
+_MEASURE_ONE = f"^{_CONSONANT}*{_VC}{_VOWEL}*$"
+_DOUBLE = f"({_CONSONANT})\\1$"
+_SHORT_END = f"{_CONSONANT}{_VOWEL}[^aeiouYwxy]$|^{_VOWEL}{_CONSONANT}$"
 
 
 def _suffix(word: Column, suffixes) -> Column:
@@ -63,8 +64,9 @@ def with_stem(df: DataFrame, word: str, out: str) -> DataFrame:
     def look(frame: DataFrame, suffixes) -> DataFrame:
         return frame.withColumn(sfx, _suffix(W, suffixes)).withColumn(base, _before(W, S))
 
-    df = df.withColumn(w, F.lower(F.col(word)))
-    df = df.withColumn(cut, (F.length(w) > 2) & ~W.isin(list(IRREGULAR)))
+    original = F.lower(F.col(word))
+    df = df.withColumn(cut, (F.length(original) > 2) & ~original.isin(list(IRREGULAR)))
+    df = df.withColumn(w, F.regexp_replace(original, _VOWEL_Y, "$1Y"))
 
     # 1a: plurals.
     df = look(df, ("sses", "ies", "ss", "s")).withColumn(
@@ -78,7 +80,7 @@ def with_stem(df: DataFrame, word: str, out: str) -> DataFrame:
 
     # 1b: -ed and -ing. What stays behind may need its final e back or a doubled letter cut.
     df = look(df, ("eed", "ied", "ed", "ing"))
-    trimmed = S.isin("ed", "ing") & B.rlike(_HAS_VOWEL)
+    trimmed = S.isin("ed", "ing") & B.rlike(_VOWEL)
     mended = (
         F.when(B.rlike("(at|bl|iz)$"), F.concat(B, F.lit("e")))
         .when(B.rlike(_DOUBLE), F.when(B.rlike("[lsz]$"), B).otherwise(F.expr(f"left({base}, length({base}) - 1)")))
@@ -95,7 +97,7 @@ def with_stem(df: DataFrame, word: str, out: str) -> DataFrame:
     )
 
     # 1c: final y after a consonant that is not the first letter.
-    df = df.withColumn(w, F.when(W.rlike(rf".{_CONSONANT}y$"), F.regexp_replace(W, "y$", "i")).otherwise(W))
+    df = df.withColumn(w, F.when(W.rlike(f".{_CONSONANT}Y$"), F.regexp_replace(W, "Y$", "i")).otherwise(W))
 
     # 2: long suffixes. -alli is cut first and the rest looked at again.
     df = look(df, ("alli",)).withColumn(
@@ -133,6 +135,5 @@ def with_stem(df: DataFrame, word: str, out: str) -> DataFrame:
         w, F.when((S != "") & B.rlike("l$") & B.rlike(_MEASURE_ABOVE_ONE), B).otherwise(W)
     )
 
-    original = F.lower(F.col(word))
-    stem = F.when(F.col(cut), W).otherwise(F.coalesce(F.element_at(_table(IRREGULAR), original), original))
+    stem = F.when(F.col(cut), F.lower(W)).otherwise(F.coalesce(F.element_at(_table(IRREGULAR), original), original))
     return df.withColumn(out, stem).drop(w, sfx, base, cut)
