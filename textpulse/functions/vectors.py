@@ -14,6 +14,10 @@ def as_doubles(v: Column | str) -> Column:
     return _col(v).cast("array<double>")
 
 
+def literal_vector(values) -> Column:
+    return F.array(*[F.lit(x if x is None else float(x)) for x in values]).cast("array<double>")
+
+
 def add(a: Column | str, b: Column | str) -> Column:
     return F.zip_with(_col(a), _col(b), lambda x, y: x + y)
 

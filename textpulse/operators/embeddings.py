@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textpulse.functions.vectors import as_doubles, cosine
+from textpulse.functions.vectors import as_doubles, cosine, literal_vector
 from textpulse.operators.joins import lookup_join
 
 VECTOR_SIZE = 200
@@ -67,8 +67,11 @@ def text_vectors(
 
 
 def vector_of(table: DataFrame, key: str, value, vector: str = "vector") -> Column:
-    """The vector of one row as a scalar sub-query; null when the key is unknown."""
-    return table.where(F.col(key) == F.lit(value)).select(as_doubles(vector)).scalar()
+    """The vector of one row as a literal; an unknown key raises."""
+    found = table.where(F.col(key) == F.lit(value)).select(as_doubles(vector).alias("v")).take(1)
+    if not found:
+        raise KeyError(value)
+    return literal_vector(found[0]["v"])
 
 
 def nearest(table: DataFrame, key: str, query: Column, k: int = 10, vector: str = "vector") -> DataFrame:
@@ -76,10 +79,9 @@ def nearest(table: DataFrame, key: str, query: Column, k: int = 10, vector: str
 
     The row a query vector came from is not left out.
     """
-    scored = table.select(key, as_doubles(vector).alias("v"), query.alias("q")).select(
-        key, cosine("v", "q").alias("similarity")
-    )
-    return scored.where(F.col("similarity").isNotNull()).orderBy(F.desc("similarity"), key).limit(k)
+    scored = table.select(key, as_doubles(vector).alias("v")).select(key, cosine(F.col("v"), query).alias("similarity"))
+    # Filtered after the limit, so that the similarity is worked out once per row.
+    return scored.orderBy(F.desc_nulls_last("similarity"), key).limit(k).where(F.col("similarity").isNotNull())
 
 
 def nearest_to_word(table: DataFrame, word: str, k: int = 10) -> DataFrame:

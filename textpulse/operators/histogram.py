@@ -5,29 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textpulse.session import local_rows
+
 
 def equal_width_histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
     """Rows ``(bin, edge, n)``, also for empty bins; ``edge`` is the lower one, the last bin is closed.
 
-    When all values are equal there is one bin. Nulls are not counted.
+    When all values are equal there is one bin. Nulls are not counted. The two ends are fetched first,
+    as the bins depend on them; then one aggregate counts, with a partial count per task.
     """
     values = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
-    ends = values.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
-    place = F.try_divide(F.col("v") - F.col("ends.lo"), F.col("ends.hi") - F.col("ends.lo")) * bins
+    low, high = values.agg(F.min("v"), F.max("v")).first()
+    if low is None:
+        return local_rows(df.sparkSession, [], "bin int, edge double, n long")
+    width, n_bins = high - low, bins if high > low else 1
+    place = F.floor((F.col("v") - low) / width * bins) if n_bins > 1 else F.lit(0)
     counts = (
-        values.select("v", ends.alias("ends"))
-        .select((F.least(F.coalesce(F.floor(place), F.lit(0)), F.lit(bins - 1)) + 1).cast("int").alias("bin"))
+        values.select((F.least(place, F.lit(n_bins - 1)) + 1).cast("int").alias("bin"))
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    grid = (
-        df.sparkSession.range(1, bins + 1)
-        .select(F.col("id").cast("int").alias("bin"), ends.alias("ends"))
-        .where((F.col("bin") == 1) | (F.col("ends.lo") < F.col("ends.hi")))
-        .where(F.col("ends.lo").isNotNull())
-    )
-    edge = F.col("ends.lo") + (F.col("bin") - 1) * (F.col("ends.hi") - F.col("ends.lo")) / bins
-    # counts has at most ``bins`` rows.
-    return grid.join(F.broadcast(counts), "bin", "left").select(
-        "bin", edge.alias("edge"), F.coalesce("n", F.lit(0)).alias("n")
-    )
+    grid = local_rows(df.sparkSession, [(i + 1, low + i * width / bins) for i in range(n_bins)], "bin int, edge double")
+    # Both sides have at most ``bins`` rows.
+    return grid.join(F.broadcast(counts), "bin", "left").select("bin", "edge", F.coalesce("n", F.lit(0)).alias("n"))

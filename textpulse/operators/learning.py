@@ -13,7 +13,7 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textpulse.functions.vectors import as_doubles, squared_distance
+from textpulse.functions.vectors import as_doubles, literal_vector, squared_distance
 from textpulse.operators.embeddings import nearest
 from textpulse.operators.sampling import random_split
 from textpulse.session import local_rows
@@ -89,8 +89,7 @@ def words_of_centers(clusters: Clusters, words: DataFrame, k: int = 10) -> DataF
     """``(cluster, word, similarity)``: nearest words of each centre, one top-k per cluster."""
     out = None
     for row in clusters.centers.collect():  # k rows
-        query = F.array(*[F.lit(x) for x in row["vector"]])
-        part = nearest(words, "word", query, k).select(F.lit(row["cluster"]).alias("cluster"), "word", "similarity")
+        part = nearest(words, "word", literal_vector(row["vector"]), k).select(F.lit(row["cluster"]).alias("cluster"), "word", "similarity")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textpulse.functions.vectors import as_doubles, dot, multiply, unit
+from textpulse.functions.vectors import as_doubles, dot, literal_vector, multiply, unit
 from textpulse.operators.embeddings import vector_of
 from textpulse.operators.joins import lookup_join
 from textpulse.operators.terms import NUM_TERMS, term_counts, term_document_vectors
@@ -112,13 +112,14 @@ def normalise_rows(factor: DataFrame, vector: str = "vector") -> DataFrame:
 
 
 def _top_scores(factor: DataFrame, key: str, query: Column, k: int, vector: str = "vector") -> DataFrame:
-    scored = factor.select(key, as_doubles(vector).alias("v"), query.alias("q")).select(key, dot("v", "q").alias("score"))
-    valid = F.col("score").isNotNull() & ~F.isnan("score")
-    return scored.where(valid).orderBy(F.desc("score"), key).limit(k)
+    valid = F.nanvl(dot(as_doubles(vector), query), F.lit(None).cast("double"))
+    scored = factor.select(key, valid.alias("score"))
+    # Filtered after the limit, so that the score is worked out once per row.
+    return scored.orderBy(F.desc_nulls_last("score"), key).limit(k).where(F.col("score").isNotNull())
 
 
 def terms_like_term(unit_vs: DataFrame, term, k: int = TOP, key: str = "term") -> DataFrame:
-    """Terms by dot product on normalised V·S. The query row is one scalar sub-query, not a join."""
+    """Terms by dot product on normalised V·S. The query row is fetched, not joined."""
     return _top_scores(unit_vs, key, vector_of(unit_vs, key, term), k)
 
 
@@ -133,20 +134,13 @@ def docs_for_term(us: DataFrame, v: DataFrame, term, k: int = TOP, key: str = "d
 
 
 def term_query(v: DataFrame, terms: list[str], size: int, term_key: str = "term", idf: str = "idf") -> Column:
-    """``V' q`` for a query of terms weighed by idf, as a scalar sub-query. Unknown terms raise."""
+    """``V' q`` for a query of terms weighed by idf, as a literal. Unknown terms raise."""
     wanted = sorted(set(terms))
-    found = v.where(F.col(term_key).isin(wanted))
-    sums = found.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(
-            *[F.coalesce(F.sum(F.col(idf) * F.get(as_doubles("vector"), F.lit(i))), F.lit(0.0)) for i in range(size)]
-        ).alias("q"),
-    )
-    return sums.select(
-        F.when(F.col("n") == len(wanted), F.col("q")).otherwise(
-            F.raise_error(F.lit("a query term is not in the vocabulary"))
-        )
-    ).scalar()
+    sums = [F.sum(F.col(idf) * F.get(as_doubles("vector"), F.lit(i))) for i in range(size)]
+    n, *query = v.where(F.col(term_key).isin(wanted)).agg(F.count(F.lit(1)), *sums).first()
+    if n != len(wanted):
+        raise KeyError("a query term is not in the vocabulary")
+    return literal_vector(query)
 
 
 def docs_for_terms(

@@ -32,27 +32,41 @@ def chi_square_upper_tail(statistic: Column, dof: Column) -> Column:
 
 
 def anova(df: DataFrame, category: str, value: str, p_value: bool = True) -> DataFrame:
-    """One row ``(dfb, dfw, f_value, eta_sq, omega_sq[, p_value])``.
+    """One row ``(dfb, dfw, f_value, eta_sq, omega_sq[, p_value])``, see ``anova_each``."""
+    return anova_each(df, category, [value], p_value).drop("measure")
 
-    One aggregate by category, then one over the categories. Rows without category or value are left
-    out. With one category, or no spread within the groups, F is null.
+
+def anova_each(df: DataFrame, category: str, values: list[str], p_value: bool = True) -> DataFrame:
+    """One row ``(measure, dfb, dfw, f_value, eta_sq, omega_sq[, p_value])`` per measure.
+
+    One aggregate by measure and category, then one over the categories: the number of categories may
+    be large. Rows without category or value are left out. With one category, or no spread within the
+    groups, F is null.
     """
+    pairs = [F.struct(F.lit(v).alias("measure"), F.col(v).cast("double").alias("v")) for v in values]
+    listed = F.inline(F.array(*pairs)) if len(pairs) > 1 else pairs[0].alias("one")
+    rows = df.select(F.col(category).alias("cat"), listed)
+    if len(pairs) == 1:
+        rows = rows.select("cat", "one.*")
     groups = (
-        df.select(F.col(category).alias("cat"), F.col(value).cast("double").alias("v"))
-        .where(F.col("cat").isNotNull() & F.col("v").isNotNull())
-        .groupBy("cat")
+        rows.where(F.col("cat").isNotNull() & F.col("v").isNotNull())
+        .groupBy("measure", "cat")
         .agg(F.count("v").alias("n"), F.avg("v").alias("mean"), (F.var_pop("v") * F.count("v")).alias("spread"))
+        # Always true; with it both uses below read the same columns, and Spark aggregates once.
+        .where(F.col("spread") >= 0)
     )
-    grand_mean = groups.agg(F.sum(F.col("n") * F.col("mean")) / F.sum("n")).scalar()
-    gaps = groups.select("n", "spread", (F.col("mean") - grand_mean).alias("gap"))
-    sums = gaps.agg(
+    means = groups.groupBy("measure").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"))
+    gap = F.col("mean") - F.col("grand")
+    # ``means`` has one row per measure.
+    sums = groups.join(F.broadcast(means), "measure").groupBy("measure").agg(
         F.sum("n").alias("n"),
         F.count(F.lit(1)).alias("k"),
-        F.sum(F.col("n") * F.col("gap") * F.col("gap")).alias("ssb"),
+        F.sum(F.col("n") * gap * gap).alias("ssb"),
         F.sum("spread").alias("ssw"),
-    ).select("ssb", "ssw", (F.col("k") - 1).alias("dfb"), (F.col("n") - F.col("k")).cast("double").alias("dfw"))
+    ).select("measure", "ssb", "ssw", (F.col("k") - 1).alias("dfb"), (F.col("n") - F.col("k")).cast("double").alias("dfw"))
     between, within = F.try_divide(F.col("ssb"), F.col("dfb")), F.try_divide(F.col("ssw"), F.col("dfw"))
     result = sums.withColumn("msw", within).select(
+        "measure",
         "dfb",
         "dfw",
         F.try_divide(between, F.col("msw")).alias("f_value"),
