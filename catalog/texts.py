@@ -407,6 +407,30 @@ def top_per_concept(spark, d):
     return rounded(lsa.top_per_concept(_embeddings(spark, d), "vec_id"), "weight")
 
 
+CONCEPTS = 10
+
+
+@query(
+    "projected_documents",
+    f"""WITH {WORDS_SQL}, best AS (SELECT term, ln(nn / df) AS idf FROM freq, nd ORDER BY df DESC, term LIMIT 1000),
+    hit AS (SELECT doc_id, tf / n_terms * idf AS w, vector FROM tf JOIN best USING (term) JOIN len USING (doc_id) JOIN wv USING (term)),
+    flat AS (SELECT doc_id, generate_subscripts(vector, 1) - 1 AS dim, w, unnest(vector) AS x FROM hit),
+    sums AS (SELECT doc_id, dim, sum(w * x) AS s FROM flat WHERE dim < {CONCEPTS} GROUP BY 1, 2)
+    SELECT d.doc_id, CAST(g.dim AS INTEGER) AS dim, round(coalesce(s, 0) / ({CONCEPTS} - g.dim), 6) AS value
+    FROM documents d CROSS JOIN range({CONCEPTS}) g(dim) LEFT JOIN sums ON sums.doc_id = d.doc_id AND sums.dim = g.dim""",
+)
+def projected_documents(spark, d):
+    tokens = stage(_tokens(spark, d), "tokens")
+    table_ = terms.term_table(tokens, "tokens")
+    vectors = _word_vectors(spark, d, table_.select(F.col("term").alias("word")))
+    factor = table_.join(vectors.withColumnRenamed("word", "term"), "term").select(
+        "term", F.slice(as_doubles("vector"), 1, CONCEPTS).alias("vector"), "idf"
+    )
+    values = [float(CONCEPTS - i) for i in range(CONCEPTS)]
+    out = lsa.project_documents(tokens, "doc_id", "tokens", stage(factor, "factor"), values)
+    return rounded(out.select("doc_id", F.posexplode("vector").alias("dim", "value")), "value")
+
+
 @query(
     "single_cluster_cost",
     """WITH flat AS (SELECT generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.clustering import KMeans
@@ -64,11 +66,22 @@ def k_means(df: DataFrame, k: int, size: int, vector: str = "vector", seed: int
     return Clusters(centers, float(model.summary.trainingCost), model)
 
 
-def inertia_curve(df: DataFrame, size: int, vector: str = "vector", ks=range(1, 21), seed: int = 1) -> DataFrame:
-    """``(k, cost)`` for each k; the input is cached once for all fits."""
-    kept = df.select(vector).persist()
+def inertia_curve(
+    df: DataFrame, size: int, vector: str = "vector", ks=range(1, 21), seed: int = 1, parallelism: int = 4
+) -> DataFrame:
+    """``(k, cost)`` for each k. All fits share one cached input; ``parallelism`` of them run at a time.
+
+    The fits are independent and each is a row of short jobs, so side by side they fill the cluster.
+    """
+    kept = df.select(as_doubles(vector).alias(vector)).persist()
+
+    def cost(k: int) -> tuple[int, float]:
+        return k, k_means(kept, k, size, vector, seed).cost
+
     try:
-        rows = [(k, k_means(kept, k, size, vector, seed).cost) for k in ks]
+        kept.count()
+        with ThreadPool(parallelism) as pool:
+            rows = pool.map(inheritable_thread_target(df.sparkSession)(cost), list(ks))
     finally:
         kept.unpersist()
     return local_rows(df.sparkSession, rows, "k int, cost double")

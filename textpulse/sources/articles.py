@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,17 +50,21 @@ def shape_articles(raw: DataFrame) -> DataFrame:
     for name in expected:
         dtype = ARTICLE_SCHEMA[name].dataType
         if isinstance(dtype, T.TimestampType):
-            typed.append(F.to_timestamp(name, TIME_FORMAT).alias(name))
+            typed.append(_or_fail(name, F.try_to_timestamp(name, F.lit(TIME_FORMAT)), "timestamp"))
         elif isinstance(dtype, T.IntegerType):
-            number = F.col(name).try_cast("int")
-            wrong = F.raise_error(F.concat(F.lit(f"{name} is not a number: "), F.coalesce(name, F.lit("null"))))
-            typed.append(F.when(number.isNotNull(), number).otherwise(wrong).cast("int").alias(name))
+            typed.append(_or_fail(name, F.col(name).try_cast("int"), "int"))
         else:
             # Text is never null: an empty field is the empty string.
             typed.append(F.coalesce(name, F.lit("")).alias(name))
     return df.select(*typed)
 
 
+def _or_fail(name: str, value: Column, kind: str) -> Column:
+    """A bad value fails, whatever the session's ANSI setting."""
+    wrong = F.raise_error(F.concat(F.lit(f"{name} is no {kind}: "), F.coalesce(name, F.lit("null"))))
+    return F.when(value.isNotNull(), value).otherwise(wrong.cast(kind)).alias(name)
+
+
 def read_articles(spark: SparkSession, paths: list[str], multi_line: bool = False) -> DataFrame:
     """All files as one table; columns are matched by each file's own header."""
     out = None
