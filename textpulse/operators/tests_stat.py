@@ -57,8 +57,12 @@ def anova_each(df: DataFrame, category: str, values: list[str], p_value: bool =
     )
     means = groups.groupBy("measure").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"))
     gap = F.col("mean") - F.col("grand")
-    # ``means`` has one row per measure.
-    sums = groups.join(F.broadcast(means), "measure").groupBy("measure").agg(
+    # ``means`` has one row per measure; a single one is a scalar, as a join on a constant has no key.
+    if len(values) == 1:
+        centred = groups.withColumn("grand", means.select("grand").scalar())
+    else:
+        centred = groups.join(F.broadcast(means), "measure")
+    sums = centred.groupBy("measure").agg(
         F.sum("n").alias("n"),
         F.count(F.lit(1)).alias("k"),
         F.sum(F.col("n") * gap * gap).alias("ssb"),
