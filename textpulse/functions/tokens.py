@@ -73,11 +73,15 @@ def term_runs(sorted_tokens: Column | str) -> Column:
     """
     tokens = _col(sorted_tokens)
     places = F.sequence(F.lit(0), F.size(tokens) - 1)
-    starts = F.filter(
-        places, lambda i: (i == 0) | (F.get(tokens, i) != F.get(tokens, F.greatest(i - 1, F.lit(0))))
-    )
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(tokens)))
-    runs = F.zip_with(
-        starts, ends, lambda a, b: F.struct(F.get(tokens, a).alias("term"), (b - a).cast("long").alias("tf"))
-    )
-    return F.when(F.size(tokens) > 0, runs).otherwise(F.slice(runs, 1, 0))
+    # Beyond the end there is null, which differs from the last token.
+    ends_of_runs = F.filter(places, lambda i: ~F.get(tokens, i).eqNullSafe(F.get(tokens, i + 1)))
+
+    def runs(ends: Column) -> Column:
+        before = F.concat(F.array(F.lit(-1)), F.slice(ends, F.lit(1), F.size(ends) - 1))
+        return F.zip_with(
+            ends, before, lambda b, a: F.struct(F.get(tokens, b).alias("term"), (b - a).cast("long").alias("tf"))
+        )
+
+    # The one-element array holds the ends, so that they are worked out once.
+    found = F.get(F.transform(F.array(ends_of_runs), runs), F.lit(0))
+    return F.when(F.size(tokens) > 0, found).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
