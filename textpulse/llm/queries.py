@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textpulse.llm import exact, packing, quality, tokens, toxicity
+from textpulse.llm import exact, packing, quality, rules, tokens, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -12,9 +12,11 @@ QUERIES = {
         quality.op7_quality,
         packing.op8_packed_sequences,
         toxicity.op9_toxicity,
+        rules.op10_quality_rules,
     )
 }
 
 ORACLE = {
     "op1_exact_dedup": exact.OP1_SQL,
+    "op10_quality_rules": rules.OP10_SQL,
 }

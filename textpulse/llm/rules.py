@@ -72,6 +72,12 @@ def rules() -> list[Rule]:
     ]
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once, even where the optimiser merges projections or pushes a
+    filter below them: a variable of a lambda is never replaced by its expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def base_counts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, body, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)."""
     # Steps are columns of their own, each read twice or more by the next, so that none is worked out twice.
@@ -79,9 +85,8 @@ def base_counts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     rows = docs.select(F.col(id).alias("doc_id"), whole(text).alias("body"))
     rows = rows.withColumn(words, F.array_remove(F.split("body", r"[\x20\x09-\x0D]+"), ""))
     n = F.size(words)
-    window = F.transform(
-        F.when(n >= 4, F.sequence(F.lit(0), n - 3)), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
-    )
+    places = F.when(n >= 3, F.sequence(F.lit(0), n - 3))
+    window = _let(F.col(words), lambda w: F.transform(places, lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
     held = F.filter(F.split("body", "\n"), lambda line: line.rlike(WORD))
     rows = rows.select(
         "doc_id",
@@ -101,12 +106,14 @@ def base_counts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
         F.when(some_twice, paired).alias(pairs),
     )
 
-    def beside(i: Column) -> Column:
-        return F.coalesce(F.get(pairs, i)["w"], F.lit(""))
+    def covered(p: Column) -> Column:
+        def beside(i: Column) -> Column:
+            return F.coalesce(F.get(p, i)["w"], F.lit(""))
+
+        again = F.filter(p, lambda x, i: (x["w"] == beside(i - 1)) | (x["w"] == beside(i + 1)))
+        return F.size(F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
 
-    again = F.filter(pairs, lambda p, i: (p["w"] == beside(i - 1)) | (p["w"] == beside(i + 1)))
-    covered = F.array_distinct(F.flatten(F.transform(again, lambda p: F.array(p["i"], p["i"] + 1, p["i"] + 2))))
-    rows = rows.withColumn("n_repeat_words", F.coalesce(F.size(F.when(F.col(pairs).isNotNull(), covered)), F.lit(0)).cast("long"))
+    rows = rows.withColumn("n_repeat_words", F.coalesce(_let(F.col(pairs), covered), F.lit(0)).cast("long"))
     # size() of null is -1 or null, by setting.
     rows = rows.withColumn("n_repeat_words", F.greatest("n_repeat_words", F.lit(0).cast("long"))).drop(pairs)
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
@@ -116,7 +123,7 @@ def base_counts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
 def order_rules(docs: DataFrame, cascade: list[Rule], id: str = "doc_id", text: str = "text") -> list[Rule]:
     """The rules by falling rejections per second, from a sample of the texts that pass the base rule."""
     thin = docs.filter(F.pmod(F.xxhash64(id), F.lit(SAMPLE_PART)) == 0).limit(SAMPLE_ROWS)
-    sample = stage(base_counts(thin, id, text).filter(~F.col("base_failed")), "rule-sample")
+    sample = stage(base_counts(thin, id, text), "rule-sample").filter(~F.col("base_failed"))
 
     def ask(condition: Column) -> tuple[float, float]:
         start = time.perf_counter()
@@ -149,8 +156,9 @@ OP10_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
 w AS (SELECT doc_id, body, regexp_extract_all(body, '{WORD}') AS words,
   list_filter(string_split(body, chr(10)), lambda l: regexp_matches(l, '{WORD}')) AS lines FROM d),
-g AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) >= 3),
-t AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS n FROM g),
+g AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS i, unnest(words[:-3]) AS a, unnest(words[2:-2]) AS b, unnest(words[3:]) AS c
+  FROM w WHERE len(words) >= 3),
+t AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM g),
 p AS (SELECT DISTINCT doc_id, i + k AS place FROM t, (VALUES (0), (1), (2)) v(k) WHERE n > 1),
 r AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id),
 b AS (SELECT w.doc_id, body, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
