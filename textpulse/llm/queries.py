@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from textpulse.llm import exact, packing, quality, rules, tokens, toxicity
+from textpulse.llm import exact, html, packing, quality, rules, tokens, toxicity, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
         exact.op1_exact_dedup,
         tokens.op2_token_files,
+        html.op3_main_text,
+        warc.op4_warc,
         quality.op7_quality,
         packing.op8_packed_sequences,
         toxicity.op9_toxicity,
