@@ -154,17 +154,18 @@ def fit(
     inputs = docs.select(F.col(id).alias("doc_id"), *_inputs(docs, text, length))
     # Bounded by `most` rows of three numbers.
     cases = inputs.join(F.broadcast(known), "doc_id").select("text", "length", "label")
-    seen = cases.mapInPandas(_features_of, "place array<int>, value array<float>, stats array<double>, label int").toPandas()
+    seen = cases.mapInPandas(_features_of, "place array<int>, value array<float>, stats array<double>, label int").toArrow()
     answer = seen["label"].to_numpy()
     if len(answer) == 0 or answer.min() == answer.max():
         return float(answer.mean()) if len(answer) else 0.5
+    stats = np.stack(seen["stats"].to_numpy())
     # The order of rows depends on tasks; training must not.
-    order = np.lexsort([np.array([s.sum() for s in seen["stats"]]), answer])
-    seen = seen.iloc[order]
-    stats = np.stack(seen["stats"].to_list())
+    order = np.lexsort([stats.sum(axis=1), answer])
+    stats = stats[order]
     spread = stats.std(axis=0)
     blank = Model(None, stats.mean(axis=0), np.where(spread > 1e-9, spread, 1.0))
-    rows = blank.rows(list(zip(seen["place"], seen["value"], stats)))
+    place, value = (seen[c].to_numpy()[order] for c in ("place", "value"))
+    rows = blank.rows(list(zip(place, value, stats)))
     machine = train(rows, answer[order].astype(float), WORDS + stats.shape[1], RANK)
     return Model(machine, blank.mean, blank.spread)
 

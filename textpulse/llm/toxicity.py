@@ -128,17 +128,22 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def count_odds(texts: DataFrame) -> list[Odds]:
-    """Tables of the two folds from (text, label, fold). The driver gets four rows per place at most."""
+    """Tables of the two folds from (text, label, fold). The driver gets one row per place at most."""
     parts = texts.select("text", "label", "fold").mapInPandas(_count, "fold int, label int, place int, n long")
-    rows = parts.groupBy("fold", "label", "place").agg(F.sum("n").alias("n")).toPandas()
-    out = []
-    for fold in (0, 1):
-        held = [np.zeros(WORDS + STEMS), np.zeros(WORDS + STEMS)]
-        for label in (0, 1):
-            own = rows[(rows["fold"] == fold) & (rows["label"] == label)]
-            held[label][own["place"].to_numpy()] = own["n"].to_numpy()
-        out.append(Odds(*held))
-    return out
+    sums = [
+        F.sum(F.when((F.col("fold") == fold) & (F.col("label") == label), F.col("n")).otherwise(0)).alias(f"n{fold}{label}")
+        for fold in (0, 1)
+        for label in (0, 1)
+    ]
+    rows = parts.groupBy("place").agg(*sums).toArrow()
+    place = rows["place"].to_numpy()
+
+    def spread(name: str) -> np.ndarray:
+        out = np.zeros(WORDS + STEMS)
+        out[place] = rows[name].to_numpy()
+        return out
+
+    return [Odds(spread(f"n{fold}0"), spread(f"n{fold}1")) for fold in (0, 1)]
 
 
 def _segments_of(shared, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,12 +170,13 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
         return None
     shared = spark.sparkContext.broadcast(folds)
     cases = texts.select("text", "label", "fold").mapInPandas(partial(_segments_of, shared), "label int, words int, scores array<double>")
-    seen = cases.toPandas()
-    best = np.array([s[0] if len(s) else 0.0 for s in seen["scores"]])
+    seen = cases.toArrow()
+    each = seen["scores"].to_pylist()
+    best = np.array([s[0] if s else 0.0 for s in each])
     words, label_ = seen["words"].to_numpy(), seen["label"].to_numpy()
     scale, log_k = fit_extremes(best[label_ == 0], words[label_ == 0])
     model = Model(odds, scale, log_k, (0.0, 0.0, 0.0))
-    features = [evidence(model, [(0, 0, s) for s in scores], n) for scores, n in zip(seen["scores"], words)]
+    features = [evidence(model, [(0, 0, s) for s in scores], n) for scores, n in zip(each, words)]
     return Model(odds, scale, log_k, tuple(fit_logistic(np.array(features), label_)))
 
 
