@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textpulse.llm import exact, html, packing, quality, rules, tokens, toxicity, warc
+from textpulse.llm import exact, html, near, packing, quality, rules, tokens, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,7 @@ QUERIES = {
         tokens.op2_token_files,
         html.op3_main_text,
         warc.op4_warc,
+        near.op5_near_duplicates,
         quality.op7_quality,
         packing.op8_packed_sequences,
         toxicity.op9_toxicity,
