@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textpulse.llm import exact, html, near, packing, quality, rules, tokens, toxicity, warc
+from textpulse.llm import exact, html, mixing, near, packing, quality, rules, tokens, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,7 @@ QUERIES = {
         html.op3_main_text,
         warc.op4_warc,
         near.op5_near_duplicates,
+        mixing.op6_mixed_sources,
         quality.op7_quality,
         packing.op8_packed_sequences,
         toxicity.op9_toxicity,
