@@ -23,7 +23,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textpulse.llm.common import MARK, hot_keys, lookup, stage, table, whole
@@ -43,20 +43,24 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
-            nodes, bands, short = [], [], []
+            nodes, winners = [], []
             for text in part.column(2).to_pylist():
                 words = words_of(text)
                 if not words:
                     nodes.append(None)
-                    bands.append(None)
-                    short.append(None)
                     continue
                 elements, counts = shingles(words, _CODES)
-                winner = sketch(elements, weights(counts), BANDS * ROWS)
+                winners.append(sketch(elements, weights(counts), BANDS * ROWS))
                 nodes.append(hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest())
-                bands.append(band_keys(winner, ROWS))
-                short.append(winner.astype(np.uint16).tobytes())
-            columns = [part.column(0), part.column(1), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary())]
+            found = np.array(winners, np.uint64).reshape(-1, BANDS * ROWS)
+            bands, short = iter(band_keys(found, ROWS)), iter(found.astype(np.uint16))
+            columns = [
+                part.column(0),
+                part.column(1),
+                pa.array(nodes, pa.binary()),
+                pa.array([None if n is None else next(bands) for n in nodes], pa.list_(pa.int64())),
+                pa.array([None if n is None else next(short).tobytes() for n in nodes], pa.binary()),
+            ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "x", "node", "bands", "sketch"])
 
 
@@ -74,8 +78,8 @@ def node_table(rows: DataFrame) -> DataFrame:
 
 
 def bucket_members(nodes: DataFrame) -> tuple[DataFrame, DataFrame, list]:
-    """(bucket, node) of buckets with several nodes, their leaders (bucket, leader, size), and hot buckets."""
-    keyed = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
+    """(bucket, band, node, size) of buckets with several nodes, their leaders (bucket, leader, size), and hot buckets."""
+    keyed = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", "band", F.xxhash64("band", "key").alias("bucket"))
     sizes = stage(keyed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
     hot = hot_keys(sizes, "bucket", "size")
     members = stage(lookup(keyed, "bucket", sizes, hot, "node", "inner"), "members")
@@ -121,41 +125,76 @@ def least_agreement(threshold: float = THRESHOLD) -> int:
     return math.floor(m * threshold - 3 * math.sqrt(m * threshold * (1 - threshold)))
 
 
-def _compare(part: pd.DataFrame, least: int) -> pd.DataFrame:
-    """Pairs of an asking node and another whose sketches agree in enough registers."""
-    asks = part[part["asks"]]
-    if asks.empty:
-        return pd.DataFrame({"a": pd.Series([], dtype=object), "b": pd.Series([], dtype=object)})
-    held = np.frombuffer(b"".join(part["sketch"]), np.uint16).reshape(len(part), -1)
-    own = np.frombuffer(b"".join(asks["sketch"]), np.uint16).reshape(len(asks), -1)
-    nodes, names = part["node"].to_numpy(), asks["node"].to_numpy()
-    found = []
-    for k in range(len(own)):
-        agree = np.count_nonzero(held == own[k], axis=1)
-        found += [(nodes[j], names[k]) for j in np.flatnonzero(agree >= least) if nodes[j] != names[k]]
-    return pd.DataFrame(found, columns=["a", "b"]).drop_duplicates()
+def _compare(nodes: list, held: np.ndarray, asks: np.ndarray, band: int, least: int) -> list[tuple]:
+    """Pairs of an asking node and another of one block whose sketches agree in enough registers, if the block's
+    band is the first that the two share: in the other buckets where they meet, they are not given again."""
+    out = []
+    for k in np.flatnonzero(asks):
+        same = held == held[k]
+        near = np.flatnonzero(np.count_nonzero(same, axis=1) >= least)
+        near = near[near != k]
+        if len(near):
+            shared = same[near].reshape(len(near), BANDS, ROWS).all(axis=2).argmax(axis=1)
+            out += [(nodes[j], nodes[k]) for j in near[shared == band]]
+    return out
+
+
+def _screen(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Compare the nodes of each block (bucket, ask, held) of rows sorted by block. A block may go on in the next
+    batch; only one block is held, and its size is bounded."""
+    keys = ["bucket", "ask", "held"]
+    rest: pa.Table | None = None
+
+    def compared(rows: pa.Table) -> pa.RecordBatch:
+        key = np.stack([rows[n].to_numpy() for n in keys])
+        starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]) if len(rows) else []
+        sketches = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(len(rows), -1)
+        asks, bands, nodes = rows["asks"].to_numpy(), rows["band"].to_numpy(), rows["node"].to_pylist()
+        pairs: list[tuple] = []
+        for s, e in zip(starts, [*starts[1:], len(rows)]):
+            pairs += _compare(nodes[s:e], sketches[s:e], asks[s:e], int(bands[s]), least)
+        columns = zip(*pairs) if pairs else ([], [])
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()) for c in columns], names=["a", "b"])
+
+    for batch in batches:
+        new = pa.Table.from_batches([batch])
+        rows = new if rest is None else pa.concat_tables([rest, new])
+        last = np.ones(len(rows), bool)
+        for n in keys:
+            own = rows[n].to_numpy()
+            last &= own == own[-1]
+        cut = len(rows) - int(last[::-1].argmin() if not last.all() else len(rows))
+        if cut:
+            yield compared(rows.slice(0, cut))
+        rest = rows.slice(cut)
+    if rest is not None:
+        yield compared(rest)
 
 
 def sketch_pairs(members: DataFrame, nodes: DataFrame, linked: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs of nodes without a link with any node of their buckets, screened by sketches in blocks."""
-    free = stage(members.join(linked, "node", "left_anti").select("bucket", "node"), "free")
-    open_ = free.groupBy("bucket").agg(F.count("*").alias("asking"))
-    counts = stage(members.groupBy("bucket").agg(F.count("*").alias("held")).join(open_, "bucket"), "open")
-    hot = hot_keys(counts, "bucket", "held")
-    blocks = lookup(members.select("bucket", "node"), "bucket", counts, hot, "node", "inner").join(nodes.select("node", "sketch"), "node")
+    """Pairs of nodes without a link with any node of their buckets, screened by sketches in blocks. Buckets of two
+    need none: their star is their only pair."""
+    larger = members.filter("size > 2")
+    free = stage(larger.join(linked, "node", "left_anti").select("bucket", "node", "size"), "free")
+    counts = stage(free.groupBy("bucket", F.col("size").alias("in_bucket")).agg(F.count("*").alias("asking")), "open")
+    hot = hot_keys(counts, "bucket", "in_bucket")
+    blocks = lookup(larger.select("bucket", "band", "node"), "bucket", counts, hot, "node", "inner").join(nodes.select("node", "sketch"), "node")
     blocks = blocks.join(free.select("node").distinct().withColumn("asks", F.lit(True)), "node", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-    n_ask, n_held = F.ceil(F.col("asking") / ASK_BLOCK).cast("int"), F.ceil(F.col("held") / HELD_BLOCK).cast("int")
+    n_ask, n_held = F.ceil(F.col("asking") / ASK_BLOCK).cast("int"), F.ceil(F.col("in_bucket") / HELD_BLOCK).cast("int")
     mixed = F.xxhash64("node")
     own_ask, own_held = F.pmod(mixed, n_ask).cast("int"), F.pmod(F.shiftright(mixed, 20), n_held).cast("int")
-    # Each node is compared with in one block of those held, by every block of those asking; a node that asks
-    # goes to every block of those held, too.
-    every_ask = F.transform(F.sequence(F.lit(0), n_ask - 1), lambda a: F.struct(a.alias("ask"), own_held.alias("held"), F.lit(False).alias("asks")))
-    every_held = F.transform(F.sequence(F.lit(0), n_held - 1), lambda h: F.struct(own_ask.alias("ask"), h.alias("held"), F.lit(True).alias("asks")))
-    places = F.when(F.col("asks"), F.concat(every_ask, every_held)).otherwise(every_ask)
-    dealt = blocks.select("bucket", "node", "sketch", F.explode(places).alias("p")).select("bucket", "p.ask", "p.held", "node", "sketch", "p.asks")
-    least = least_agreement(threshold)
-    found = dealt.groupBy("bucket", "ask", "held").applyInPandas(lambda part: _compare(part, least), "a binary, b binary")
-    # Both ways round, and from several buckets: once is enough.
+
+    def place(ask: Column, held: Column) -> Column:
+        """A node asks in its own block of those asking, and is there to be asked once for each block."""
+        return F.struct(ask.alias("ask"), held.alias("held"), (F.col("asks") & (ask == own_ask)).alias("asks"))
+
+    every_ask = F.transform(F.sequence(F.lit(0), n_ask - 1), lambda a: place(a, own_held))
+    every_held = F.transform(F.sequence(F.lit(0), n_held - 1), lambda h: place(own_ask, h))
+    places = F.when(F.col("asks"), F.array_distinct(F.concat(every_ask, every_held))).otherwise(every_ask)
+    dealt = blocks.select("bucket", "band", "node", "sketch", F.explode(places).alias("p"))
+    dealt = dealt.select("bucket", "p.ask", "p.held", "band", "node", "sketch", "p.asks")
+    sorted_ = dealt.repartition("bucket", "ask", "held").sortWithinPartitions("bucket", "ask", "held")
+    found = sorted_.mapInArrow(partial(_screen, least=least_agreement(threshold)), "a binary, b binary")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -31,10 +31,9 @@ class WordCodes(dict):
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-        return x ^ (x >> _U(31))
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
 
 
 def words_of(text: str) -> list[str]:
@@ -45,13 +44,12 @@ def shingles(words: list[str], codes: WordCodes) -> tuple[np.ndarray, np.ndarray
     """Distinct hashed shingles and how often each occurs; texts shorter than a shingle are one."""
     c = np.fromiter(map(codes.__getitem__, words), _U, len(words))
     n = len(c) - SHINGLE + 1
-    with np.errstate(over="ignore"):
-        if n < 1:
-            rolled = (c * _STEPS[: len(c)]).sum(keepdims=True) if len(c) else c
-        else:
-            rolled = c[:n] * _STEPS[0]
-            for k in range(1, SHINGLE):
-                rolled = rolled + c[k : k + n] * _STEPS[k]
+    if n < 1:
+        rolled = (c * _STEPS[: len(c)]).sum(keepdims=True) if len(c) else c
+    else:
+        rolled = c[:n] * _STEPS[0]
+        for k in range(1, SHINGLE):
+            rolled += c[k : k + n] * _STEPS[k]
     return np.unique(mix(rolled), return_counts=True)
 
 
@@ -64,38 +62,39 @@ def sketch(elements: np.ndarray, weight: np.ndarray, registers: int) -> np.ndarr
     """The winning shingle of each register. Elements must not be empty."""
     first = np.full(registers, np.inf)
     winner = np.zeros(registers, _U)
-    # So many arrivals at once that all registers are likely to be hit.
-    block = max(1, math.ceil(registers * (math.log(registers) + 2) / len(elements)))
-    alive, clock, arrival = np.arange(len(elements)), np.zeros(len(elements)), 0
+    # Arrivals are drawn in blocks: at first as many as hit all registers, then a few for those still early.
+    block = 1 + math.ceil(registers * (math.log(registers) + 1) / float(weight.sum()))
+    alive, clock, arrival = np.arange(len(elements)), 0.0, 0
     while len(alive):
         e = elements[alive]
-        with np.errstate(over="ignore"):
-            number = (np.arange(arrival, arrival + block, dtype=_U) + _U(1)) * _U(0x9E3779B97F4A7C15)
-            drawn = mix(e[:, None] + number[None, :])
-            place = mix(drawn ^ _U(0x5851F42D4C957F2D))
-        gap = -np.log(((drawn >> _U(11)).astype(float) + 0.5) * 2.0**-53) / weight[alive][:, None]
-        times = clock[:, None] + np.cumsum(gap, axis=1)
-        clock = times[:, -1]
-        flat, register = times.ravel(), (place % _U(registers)).astype(np.int64).ravel()
-        early = np.flatnonzero(flat < first.max())
-        order = early[np.argsort(flat[early], kind="stable")]
-        hit, at = np.unique(register[order], return_index=True)
-        won = order[at]
-        better = flat[won] < first[hit]
-        first[hit[better]] = flat[won][better]
-        winner[hit[better]] = e[won[better] // block]
-        going = clock < first.max()
-        alive, clock, arrival, block = alive[going], clock[going], arrival + block, 1 if np.isfinite(first).all() else block
+        number = (np.arange(arrival, arrival + block, dtype=_U) + _U(1)) * _STEPS[0]
+        drawn = mix(e[:, None] + number)
+        gap = np.log(((drawn >> _U(11)).astype(float) + 0.5) * 2.0**-53) / -weight[alive][:, None]
+        times = np.cumsum(gap, axis=1) + clock
+        early = np.flatnonzero(times.ravel() < first.max())
+        flat = times.ravel()[early]
+        order = np.argsort(flat)
+        at = early[order]
+        register = (mix(drawn.ravel()[at] ^ _STEPS[1]) % _U(registers)).astype(np.int64)
+        hit, won = np.unique(register, return_index=True)
+        when = flat[order[won]]
+        better = when < first[hit]
+        hit = hit[better]
+        first[hit] = when[better]
+        winner[hit] = e[at[won[better]] // block]
+        last = times[:, -1]
+        going = last < first.max()
+        alive, clock, arrival = alive[going], last[going][:, None], arrival + block
+        block = 4
     return winner
 
 
-def band_keys(winner: np.ndarray, rows: int) -> np.ndarray:
-    """One 64-bit key per band of so many registers."""
-    with np.errstate(over="ignore"):
-        bands = winner.reshape(-1, rows)
-        keys = np.arange(len(bands), dtype=_U) * _STEPS[1]
-        for k in range(rows):
-            keys = mix(keys + bands[:, k] * _STEPS[k % len(_STEPS)])
+def band_keys(winners: np.ndarray, rows: int) -> np.ndarray:
+    """One 64-bit key per band of so many registers, for each sketch (one per row)."""
+    bands = winners.reshape(len(winners), -1, rows)
+    keys = np.broadcast_to(np.arange(bands.shape[1], dtype=_U) * _STEPS[1], bands.shape[:2])
+    for k in range(rows):
+        keys = mix(keys + bands[:, :, k] * _STEPS[k % len(_STEPS)])
     return keys.view(np.int64)
 
 
