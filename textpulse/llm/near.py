@@ -148,7 +148,7 @@ def _screen(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
     def compared(rows: pa.Table) -> pa.RecordBatch:
         key = np.stack([rows[n].to_numpy() for n in keys])
         starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]) if len(rows) else []
-        sketches = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(len(rows), -1)
+        sketches = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(len(rows), BANDS * ROWS)
         asks, bands, nodes = rows["asks"].to_numpy(), rows["band"].to_numpy(), rows["node"].to_pylist()
         pairs: list[tuple] = []
         for s, e in zip(starts, [*starts[1:], len(rows)]):
@@ -156,7 +156,7 @@ def _screen(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         columns = zip(*pairs) if pairs else ([], [])
         return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()) for c in columns], names=["a", "b"])
 
-    for batch in batches:
+    for batch in (b for b in batches if b.num_rows):
         new = pa.Table.from_batches([batch])
         rows = new if rest is None else pa.concat_tables([rest, new])
         last = np.ones(len(rows), bool)

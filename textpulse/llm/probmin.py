@@ -91,7 +91,7 @@ def sketch(elements: np.ndarray, weight: np.ndarray, registers: int) -> np.ndarr
 
 def band_keys(winners: np.ndarray, rows: int) -> np.ndarray:
     """One 64-bit key per band of so many registers, for each sketch (one per row)."""
-    bands = winners.reshape(len(winners), -1, rows)
+    bands = winners.reshape(len(winners), winners.shape[1] // rows, rows)
     keys = np.broadcast_to(np.arange(bands.shape[1], dtype=_U) * _STEPS[1], bands.shape[:2])
     for k in range(rows):
         keys = mix(keys + bands[:, :, k] * _STEPS[k % len(_STEPS)])
