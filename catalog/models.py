@@ -39,12 +39,12 @@ def _staged_tokens(spark, d) -> DataFrame:
 # The vector form agrees with the postings: same number of entries, same sums.
 @query(
     "count_vector_tfidf",
-    f"WITH {SMOOTH_SQL} SELECT doc_id, round(sum(tf), 4)::DOUBLE AS n_counted, round(sum(tfidf), 4) AS weight FROM post GROUP BY 1",
+    f"WITH {SMOOTH_SQL} SELECT doc_id, round(coalesce(sum(tf), 0), 4)::DOUBLE AS n_counted, round(coalesce(sum(tfidf), 0), 4) AS weight FROM documents LEFT JOIN post USING (doc_id) GROUP BY 1",
 )
 def count_vector_tfidf(spark, d):
     tokens = _staged_tokens(spark, d)
-    model = terms.tfidf_pipeline().fit(tokens)
-    weighed = model.transform(tokens.where(F.size("tokens") > 0))
+    model = terms.fit_tfidf(tokens, 1 << 24)
+    weighed = model.transform(tokens)
 
     def total(column: str):
         return F.aggregate(vector_to_array(column), F.lit(0.0), lambda s, x: s + x)

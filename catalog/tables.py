@@ -510,12 +510,11 @@ def burt_matrix(spark, d):
 @query(
     "normalised_indicators",
     f"""WITH {LONG_SQL}, m AS (SELECT variable, modality, (SELECT count(*) FROM orders) / count(*)::DOUBLE - 1 AS present FROM long GROUP BY 1, 2)
-    SELECT o.o_orderkey, m.variable, m.modality, round(CASE WHEN l.modality IS NULL THEN -1 ELSE m.present END, 6) AS value
-    FROM orders o CROSS JOIN m LEFT JOIN long l ON l.o_orderkey = o.o_orderkey AND l.variable = m.variable AND l.modality = m.modality""",
+    SELECT l.o_orderkey, l.variable, l.modality, round(m.present, 6) AS value FROM long l JOIN m USING (variable, modality)""",
 )
 def normalised_indicators(spark, d):
     rows = factors.normalised_indicators(table(spark, d, "orders"), "o_orderkey", FACTOR_COLUMNS)
-    return rounded(unnest_structs(rows, ["o_orderkey"], F.col("profile"), "variable"), "value")
+    return rounded(rows, "value")
 
 
 # --- reports and evaluation ----------------------------------------------------------------------

@@ -251,7 +251,7 @@ def term_document_matrix(spark, d):
     return rounded(terms.term_document_matrix(_tokens(spark, d), "doc_id", "tokens"), "weight")
 
 
-SMOOTH_SQL = f"""{TF_SQL}, voc AS (SELECT term, ln((nn + 1) / (df + 1)) AS idf FROM freq, nd ORDER BY occ DESC, term LIMIT 262144),
+SMOOTH_SQL = f"""{TF_SQL}, voc AS (SELECT term, ln((nn + 1) / (df + 1)) AS idf FROM freq, nd),
 post AS (SELECT doc_id, term, tf, tf * idf AS tfidf FROM tf JOIN voc USING (term))"""
 
 

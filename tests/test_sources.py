@@ -75,7 +75,7 @@ def test_concat_fills_missing_columns(spark, tmp_path):
 
 
 def test_kafka_options():
-    options = comments.offset_range_options()
+    options = comments.offset_range_options("comments", 4, 0, 10_000)
     assert json.loads(options["startingOffsets"]) == {"comments": {str(p): 0 for p in range(4)}}
     assert json.loads(options["endingOffsets"]) == {"comments": {str(p): 10000 for p in range(4)}}
     assert options["subscribe"] == "comments" and options["kafka.bootstrap.servers"] == "localhost:9092"
@@ -146,8 +146,7 @@ def test_prepared_round_trip(spark, tmp_path):
 
 def test_small_scans_are_spread(spark, small):
     df = spark.read.parquet(f"{small}/documents.parquet")
-    assert tables.spread_rows(df, "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert tables.spread_rows(df, "doc_id", bytes_per_core=0) is df
+    assert tables.spread_rows(df, "doc_id").rdd.getNumPartitions() == 8
 
 
 def test_stream_equals_batch(spark, small, tmp_path):

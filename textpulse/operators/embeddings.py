@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import Word2Vec, Word2VecModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,18 +50,13 @@ def text_vectors(
     """``(row_id, vector)``: weighted mean of the word vectors of a document's terms.
 
     Unknown words count neither in the sum nor in the weight; a weight of 0 gives the zero vector.
-    One sum per dimension keeps fixed-width partial sums, so whole vectors are added up before the
-    shuffle by document and nothing is collected per document. ``documents`` holds the row ids to
-    return; by default those of the postings.
+    One summariser per document adds whole vectors up before the shuffle, in a buffer of the vectors'
+    width. ``documents`` holds the row ids to return; by default those of the postings.
     """
     table = vectors.select(F.col("word").alias(term), "vector")
     known = lookup_join(postings.select(row_id, term, weight), table, [term], spread=[row_id])
-    sums = known.groupBy(row_id).agg(
-        F.sum(weight).alias("weight"),
-        *[F.sum(F.col(weight) * F.get("vector", F.lit(i))).alias(f"s{i}") for i in range(size)],
-    )
-    mean = F.array(*[F.col(f"s{i}") / F.col("weight") for i in range(size)])
-    means = sums.where(F.col("weight") != 0).select(row_id, mean.alias("vector"))
+    weighed = known.where(F.col(weight) != 0).select(row_id, F.col(weight).cast("double").alias("w"), array_to_vector(as_doubles("vector")).alias("v"))
+    means = weighed.groupBy(row_id).agg(vector_to_array(Summarizer.mean(F.col("v"), F.col("w"))).alias("vector"))
     every = postings.select(row_id).distinct() if documents is None else documents.select(row_id)
     zero = F.array_repeat(F.lit(0.0), size)
     return every.join(means, row_id, "left").select(row_id, F.coalesce("vector", zero).alias("vector"))

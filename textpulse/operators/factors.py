@@ -7,7 +7,7 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_MODALITIES = 10_000
+from textpulse.operators.joins import lookup_join
 
 
 def _labels(columns: list[str]) -> Column:
@@ -68,41 +68,23 @@ def burt_table(df: DataFrame, columns: list[str]) -> DataFrame:
     return pairs.groupBy("row_label", "col_label").agg(F.sum("k").alias("n"))
 
 
-def burt_matrix(df: DataFrame, columns: list[str], max_modalities: int = MAX_MODALITIES) -> DataFrame:
-    """The same as a square table, one column per modality, empty places 0."""
+def burt_matrix(df: DataFrame, columns: list[str], names: list[str] | None = None) -> DataFrame:
+    """The same as a square table, one column per modality, empty places 0.
+
+    ``names`` are the labels of the columns; without them they are fetched, as a plan must know its
+    columns. ``burt_table`` is the form for any number of modalities.
+    """
     table = burt_table(df, columns)
-    # Column names must be known to plan a pivot; one more than allowed is enough to refuse.
-    names = [r[0] for r in table.select("col_label").distinct().orderBy("col_label").limit(max_modalities + 1).collect()]
-    if len(names) > max_modalities:
-        raise ValueError(f"more than {max_modalities} modalities")
+    names = names or [r[0] for r in table.select("col_label").distinct().orderBy("col_label").collect()]
     return table.groupBy("row_label").pivot("col_label", names).agg(F.sum("n")).na.fill(0)
 
 
-def normalised_indicators(
-    df: DataFrame, row_id: str, columns: list[str], max_modalities: int = MAX_MODALITIES
-) -> DataFrame:
-    """``x / p - 1`` of each row and modality, p the modality's share of rows: ``(row_id, profile)``.
-
-    ``profile`` is an array of ``(variable, modality, value)`` over all modalities in order. Each row
-    builds its own from the modality list, so there is no grid join. The list is bounded by
-    ``max_modalities``.
+def normalised_indicators(df: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
+    """``x / p - 1`` of each row and modality, p the modality's share of rows, without its background:
+    ``(row_id, variable, modality, value)`` of the places that hold 1. All other places of a row are -1.
     """
-    counted = modalities(df, columns)
+    counts = modalities(df, columns)
     total = df.agg(F.count(F.lit(1))).scalar()
-    listed = counted.select(
-        F.struct("variable", "modality", (total / F.col("n") - 1).alias("present")).alias("m")
-    )
-    checked = listed.agg(F.sort_array(F.collect_list("m")).alias("ms")).select(
-        F.when(
-            F.size("ms") > max_modalities, F.raise_error(F.lit(f"more than {max_modalities} modalities"))
-        ).otherwise(F.col("ms")).alias("ms")
-    )
-    own = _labels(columns)
-    rows = df.select(row_id, own.alias("own"), checked.scalar().alias("ms"))
-    value = lambda m: F.when(
-        F.array_contains(F.col("own"), F.struct(m["variable"], m["modality"])), m["present"]
-    ).otherwise(F.lit(-1.0))
-    profile = F.transform(
-        "ms", lambda m: F.struct(m["variable"].alias("variable"), m["modality"].alias("modality"), value(m).alias("value"))
-    )
-    return rows.select(row_id, profile.alias("profile"))
+    shares = counts.select("variable", "modality", (total / F.col("n") - 1).alias("value"))
+    met = lookup_join(disjunctive(df, row_id, columns), shares, ["variable", "modality"], counts=counts, spread=[row_id])
+    return met.select(row_id, "variable", "modality", "value")

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 64 * 1024 * 1024
-HOT_KEYS = 64
-SALTS = 64
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -33,29 +31,32 @@ def lookup_join(
 def join_unique(
     rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner",
     counts: DataFrame | None = None, spread: list[str] | None = None,
-    hot_keys: int = HOT_KEYS, salts: int = SALTS,
+    parts: int | None = None,
 ) -> DataFrame:
-    """Shuffled join of ``rows`` with ``side`` (one row per key), hot keys split over ``salts`` tasks.
+    """Shuffled join of ``rows`` with ``side`` (one row per key), hot keys split over several tasks.
 
-    ``counts`` holds the rows per key as ``n`` (worked out here when absent). At most ``hot_keys``
-    keys are marked, so the marker table that is broadcast is bounded by construction. A row's salt
-    is a hash of its ``spread`` columns (all but the keys by default): a task that runs again gives
-    each row the same salt. The result does not depend on which keys are marked.
+    ``counts`` holds the rows per key as ``n`` (worked out here when absent). A key is hot when it has
+    more rows than one of ``parts`` equal parts of all rows (by default the shuffle partitions), and it
+    is split into as many tasks as it would fill such parts. So there are fewer hot keys than parts,
+    which bounds the marker table that is broadcast, and no key stays whole that a task could not hold.
+    A row's salt is a hash of its ``spread`` columns (all but the keys by default): a task that runs
+    again gives each row the same salt. The result does not depend on which keys are marked.
     """
     if counts is None:
         counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     known = _all_present(keys)
-    hot = (
-        counts.where(known).orderBy(F.desc("n"), *keys).limit(hot_keys).select(*keys, F.lit(True).alias("__hot"))
-    )
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filled = F.col("n") * parts / counts.agg(F.sum("n")).scalar()
+    hot = counts.where(known & (filled > 1)).select(*keys, F.ceil(filled).cast("int").alias("__hot"))
     spread = spread or [c for c in rows.columns if c not in keys]
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int") if spread else F.lit(0)
+    every = F.coalesce("__hot", F.lit(parts))
+    salt = F.pmod(F.xxhash64(*spread), every).cast("int") if spread else F.lit(0)
     marked = rows.join(F.broadcast(hot), keys, "left")
     # Rows without a key match nothing: they are spread too instead of filling one task.
     salted = marked.withColumn(
-        "__salt", F.when(F.col("__hot") | ~known, salt).otherwise(F.lit(0))
+        "__salt", F.when(F.col("__hot").isNotNull() | ~known, salt).otherwise(F.lit(0))
     ).drop("__hot")
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copies = F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.col("__hot") - 1)).otherwise(F.array(F.lit(0)))
     replicated = (
         side.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
     )

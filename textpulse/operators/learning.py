@@ -135,18 +135,19 @@ def classify_tree(
     df: DataFrame, inputs: list[str], label: str, key: str, seed: int, max_categories: int = 10,
     train_share: float = 0.7,
 ) -> TreeResult:
-    """Decision tree for a label. Indexers are fitted on the training part only, labels in order.
+    """Decision tree for a label. The list of labels is that of all rows, in order, so that every test
+    row is predicted and counted; a null label is an error. All else is fitted on the training part.
 
     Features with few distinct values are taken as categories. ``predictedLabel`` has the label back.
     """
     data = feature_vector(df.withColumn("__label", F.col(label).cast("string")), inputs, "__features")
     train, test = random_split(data.select(key, label, "__label", "__features"), key, seed, train_share)
     labels = StringIndexer(
-        inputCol="__label", outputCol="indexedLabel", stringOrderType="alphabetAsc", handleInvalid="skip"
+        inputCol="__label", outputCol="indexedLabel", stringOrderType="alphabetAsc", handleInvalid="error"
     )
     kept = train.persist()
     try:
-        label_model = labels.fit(kept)
+        label_model = labels.fit(data.select("__label"))
         stages = [
             label_model,
             VectorIndexer(inputCol="__features", outputCol="indexedFeatures", maxCategories=max_categories, handleInvalid="keep"),

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
@@ -23,8 +22,6 @@ from textpulse.session import local_rows
 
 CONCEPTS = 10
 TOP = 10
-GRAM_TERMS = 4096
-RANK_TOLERANCE = 1e-12
 
 
 @dataclass
@@ -39,24 +36,20 @@ def factorise(
 ) -> Factors:
     """Truncated SVD of the term-document matrix.
 
-    V and s come from the Gram matrix, ``num_terms`` squared, which takes one pass over the rows; for
-    more than ``GRAM_TERMS`` terms Spark's iterative solver is used. U is then a sum over each
+    V and s come from Spark's solver for every number of terms. U is then a sum over each
     document's postings, ``weight * V[term] / s``, keyed by the document, so no row order is relied
     on. V has ``num_terms`` rows. The tokens are read four times, so ``df`` is best a stored table. Signs are set so that each concept's largest entry in V is positive.
     """
     spark = df.sparkSession
     rows, terms = term_document_vectors(df.select(row_id, tokens), tokens, num_terms)
     features = MLUtils.convertVectorColumnsFromML(rows.select("features"), "features")
-    if terms.count() <= GRAM_TERMS:
-        squares, vectors = np.linalg.eigh(RowMatrix(features).computeGramianMatrix().toArray())
-        best = np.argsort(squares)[::-1][:k]
-        best = best[squares[best] > squares.max() * RANK_TOLERANCE]
-        s, v = [float(x) for x in np.sqrt(squares[best])], vectors[:, best].copy()
-    else:
-        features = features.persist()
-        svd = RowMatrix(features).computeSVD(k, computeU=False)
-        s, v = [float(x) for x in svd.s], svd.V.toArray().copy()
+    features = features.persist()
+    try:
+        # No more concepts than terms.
+        svd = RowMatrix(features).computeSVD(min(k, terms.count()), computeU=False)
+    finally:
         features.unpersist()
+    s, v = [float(x) for x in svd.s], svd.V.toArray().copy()
     for c in range(len(s)):
         if v[abs(v[:, c]).argmax(), c] < 0:
             v[:, c] = -v[:, c]

@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import dataclasses
-import math
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textpulse.operators.unnest import unnest
-from textpulse.session import local_rows
+from textpulse.session import stage
 
 QUARTILES = (0.25, 0.5, 0.75)
 ACCURACY = 10_000
-RANK_ROWS = 1_000_000
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -102,91 +97,44 @@ def object_describe(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def exact_quantiles(
-    df: DataFrame, columns: list[str], probs: tuple[float, ...] = QUARTILES, rank_rows: int = RANK_ROWS
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, columns: list[str], probs: tuple[float, ...] = QUARTILES) -> DataFrame:
     """Exact quantiles with linear interpolation, rows ``(column, prob, quantile)``.
 
-    Each wanted rank gets an interval of values that surely holds it. While an interval has more than
-    ``rank_rows`` rows, approximate quantiles cut it down and its rows are counted exactly; all
-    columns share each pass. Only then are the values inside counted and ranked, one task per
-    interval and at most ``rank_rows`` values in it. The driver gets a few numbers per rank.
+    Values are counted, then dealt by range of column and value, and written once. Rows per part tell
+    which part holds a wanted rank; only those parts are gone through in order. A part has about as
+    many distinct values as any other, so no task ranks a whole column. NaN and nulls do not count.
     """
-    spark = df.sparkSession
-    values = df.select(
-        *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)]
-    )
-    totals = values.agg(*[F.count(v) for v in values.columns]).first()
-    ranks = []
-    for i, total in enumerate(totals):
-        for p in probs:
-            place = (total - 1) * p
-            for rank in sorted({math.floor(place), math.ceil(place)}) if total else []:
-                ranks.append(_Rank(i, float(p), place, rank, inside=total))
-
-    margin = 2 / ACCURACY
-    while wide := [r for r in ranks if r.inside > rank_rows and r.low != r.high]:
-        cuts = values.agg(*[F.percentile_approx(r.within(), r.around(margin), ACCURACY) for r in wide]).first()
-        narrow = [dataclasses.replace(r, low=max(r.low, c[0]), high=min(r.high, c[1])) for r, c in zip(wide, cuts)]
-        sizes = values.agg(*[n for r in narrow for n in (F.count_if(r.value() < r.low), F.count(r.within()))]).first()
-        smaller = False
-        for r, cut, before, inside in zip(wide, narrow, sizes[::2], sizes[1::2]):
-            if before <= r.rank < before + inside and inside < r.inside:
-                r.low, r.high, r.before, r.inside, smaller = cut.low, cut.high, before, inside, True
-        if not smaller:
-            margin *= 4
-            if margin >= 1:
-                break  # many equal values: they are one row each once counted
-
-    targets = local_rows(
-        spark,
-        [(r.interval(), columns[r.column], r.prob, r.place, r.rank, r.rank - r.before) for r in ranks],
-        "interval string, column string, prob double, place double, rank long, inner long",
-    )
-    intervals = {r.interval(): r for r in ranks}
-    pairs = [F.struct(F.lit(key).alias("interval"), r.within().alias("v")) for key, r in intervals.items()]
-    if not pairs:
-        return spark.createDataFrame([], "column string, prob double, quantile double")
-    counted = (
-        values.select(F.inline(F.array(*pairs)))
-        .where(F.col("v").isNotNull())
-        .groupBy("interval", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    ranked = counted.withColumn("first", F.sum("n").over(W.partitionBy("interval").orderBy("v")) - F.col("n"))
-    hits = ranked.join(F.broadcast(targets), "interval").where(
-        (F.col("inner") >= F.col("first")) & (F.col("inner") < F.col("first") + F.col("n"))
+    numbered = [
+        F.struct(F.lit(i).alias("i"), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("v"))
+        for i, c in enumerate(columns)
+    ]
+    values = df.select(F.inline(F.array(*numbered))).where(F.col("v").isNotNull())
+    counted = values.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counted.repartitionByRange(parts, "i", "v").withColumn("part", F.spark_partition_id())
+    placed = stage(dealt, "ranked-values")
+
+    # One row per part and column that it holds.
+    sums = placed.groupBy("i", "part").agg(F.sum("n").alias("held"))
+    column = W.partitionBy("i")
+    before = F.sum("held").over(column.orderBy("part")) - F.col("held")
+    sized = sums.select("i", "part", "held", before.alias("before"), F.sum("held").over(column).alias("total"))
+    asked = sized.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
+    asked = asked.withColumn("place", (F.col("total") - 1) * F.col("prob"))
+    asked = asked.select("*", F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))).alias("rank"))
+    asked = asked.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("held")))
+
+    # Two rows per column and quantile at most.
+    own = placed.join(F.broadcast(asked.select("i", "part", "before").distinct()), ["i", "part"])
+    last = F.col("before") + F.sum("n").over(W.partitionBy("i", "part").orderBy("v"))
+    ranked = own.select("i", "part", "v", (last - F.col("n")).alias("first"), last.alias("end"))
+    hits = ranked.join(F.broadcast(asked.select("i", "part", "prob", "place", "rank")), ["i", "part"]).where(
+        (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))
     )
     low, high = F.min_by("v", "rank"), F.max_by("v", "rank")
     share = F.max("place") - F.floor(F.max("place"))
-    return hits.groupBy("column", "prob").agg((low + share * (high - low)).alias("quantile"))
-
-
-@dataclass
-class _Rank:
-    """A wanted rank of a column and the closed interval of values known to hold it."""
-
-    column: int
-    prob: float
-    place: float
-    rank: int
-    inside: int
-    before: int = 0
-    low: float = float("-inf")
-    high: float = float("inf")
-
-    def value(self) -> Column:
-        return F.col(f"v{self.column}")
-
-    def within(self) -> Column:
-        return F.when(self.value().between(self.low, self.high), self.value())
-
-    def around(self, margin: float) -> list[float]:
-        middle = (self.rank - self.before) / self.inside
-        return [max(middle - margin, 0.0), min(middle + margin, 1.0)]
-
-    def interval(self) -> str:
-        return f"{self.column}:{self.low!r}:{self.high!r}"
+    name = F.get(F.array(*[F.lit(c) for c in columns]), F.col("i"))
+    return hits.groupBy(name.alias("column"), "prob").agg((low + share * (high - low)).alias("quantile"))
 
 
 def _quartile_rows(df: DataFrame, columns: list[str]) -> DataFrame:

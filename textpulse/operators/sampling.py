@@ -18,10 +18,11 @@ _RANGE = float(16**_DIGITS)
 def draw(key: Column | str, seed: int, purpose: str = "sample") -> Column:
     """A number in [0, 1) from the md5 of ``key:purpose:seed``.
 
-    The purpose keeps draws apart, so that a split of a sample is independent of the sample.
+    The purpose keeps draws apart, so that a split of a sample is independent of the sample. Rows
+    without a key draw one number together, so that no row is lost.
     """
     key = F.col(key) if isinstance(key, str) else key
-    digest = F.md5(F.concat(key.cast("string"), F.lit(f":{purpose}:{seed}")).cast("binary"))
+    digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("no key")), F.lit(f":{purpose}:{seed}")).cast("binary"))
     return F.conv(F.substring(digest, 1, _DIGITS), 16, 10).cast("double") / F.lit(_RANGE)
 
 

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, Interaction
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textpulse.functions.tokens import term_runs
+from textpulse.operators.joins import lookup_join
 from textpulse.operators.unnest import unnest, unnest_structs
 from textpulse.session import local_rows
 
 NUM_TERMS = 1000
-VOCABULARY = 1 << 18
 
 
 def term_counts(df: DataFrame, row_id: str, tokens: str) -> DataFrame:
@@ -64,29 +64,28 @@ def term_document_matrix(df: DataFrame, row_id: str, tokens: str, num_terms: int
     """Coordinate form ``(row_id, term, weight)``, ``weight = tf / n_terms * ln(N / df)``.
 
     ``n_terms`` counts all terms of the document, also those that are not among the top terms. The
-    term table has ``num_terms`` rows at most, so it is broadcast and the postings stay in place.
+    term table has ``num_terms`` rows at most; it is broadcast while its size allows, so that the
+    postings stay in place.
     """
     table = term_table(df, tokens, num_terms).select("term", "idf")
     weight = F.col("tf") / F.col("n_terms") * F.col("idf")
-    return term_counts(df, row_id, tokens).join(F.broadcast(table), "term").select(row_id, "term", weight.alias("weight"))
+    met = lookup_join(term_counts(df, row_id, tokens), table, ["term"], spread=[row_id])
+    return met.select(row_id, "term", weight.alias("weight"))
 
 
 def smoothed_tfidf(
-    df: DataFrame, row_id: str, tokens: str, vocabulary: int = VOCABULARY, postings: DataFrame | None = None
+    df: DataFrame, row_id: str, tokens: str, postings: DataFrame | None = None
 ) -> DataFrame:
     """Postings ``(row_id, term, tf, tfidf)`` with the smoothed idf.
 
-    The vocabulary is that of a count vectoriser: the terms with the most occurrences, bounded. Give
-    the staged ``term_counts`` as ``postings`` to work them out once; they are read twice here.
+    Every term of the documents has its row. Give the staged ``term_counts`` as ``postings`` to work
+    them out once; they are read twice here.
     """
     postings = term_counts(df, row_id, tokens) if postings is None else postings
-    frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences"))
-    table = top_terms(frequencies, vocabulary, by="occurrences").select(
-        "term", smoothed_idf("df", _n_docs(df)).alias("idf")
-    )
-    return postings.join(F.broadcast(table), "term").select(
-        row_id, "term", "tf", (F.col("tf") * F.col("idf")).alias("tfidf")
-    )
+    frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    table = frequencies.select("term", smoothed_idf("n", _n_docs(df)).alias("idf"))
+    met = lookup_join(postings, table, ["term"], spread=[row_id], counts=frequencies)
+    return met.select(row_id, "term", "tf", (F.col("tf") * F.col("idf")).alias("tfidf"))
 
 
 def non_empty(postings: DataFrame, row_id: str, weight: str = "tfidf") -> DataFrame:
@@ -95,9 +94,8 @@ def non_empty(postings: DataFrame, row_id: str, weight: str = "tfidf") -> DataFr
     return norms.where(F.col("l1") > 0)
 
 
-def tfidf_pipeline(tokens: str = "tokens", counts: str = "token_count", tfidf: str = "tfidf",
-                   vocabulary: int = VOCABULARY) -> Pipeline:
-    """Count vectoriser and smoothed IDF as Spark ML stages; the model's first stage has the vocabulary."""
+def tfidf_pipeline(vocabulary: int, tokens: str = "tokens", counts: str = "token_count", tfidf: str = "tfidf") -> Pipeline:
+    """Count vectoriser of the given width and smoothed IDF as Spark ML stages; see ``fit_tfidf``."""
     return Pipeline(
         stages=[
             CountVectorizer(inputCol=tokens, outputCol=counts, vocabSize=vocabulary),
@@ -106,6 +104,15 @@ def tfidf_pipeline(tokens: str = "tokens", counts: str = "token_count", tfidf: s
     )
 
 
+def fit_tfidf(df: DataFrame, vocabulary: int, tokens: str = "tokens", **names: str) -> PipelineModel:
+    """The fitted stages. The driver holds the vocabulary, so its width must be given; more terms than that
+    are an error, as a vectoriser would leave the rarer ones out without a word."""
+    found = document_frequencies(df, tokens).count()
+    if found > vocabulary:
+        raise ValueError(f"{found} terms do not fit a vocabulary of {vocabulary}")
+    return tfidf_pipeline(vocabulary, tokens, **names).fit(df)
+
+
 def term_document_vectors(
     df: DataFrame, tokens: str, num_terms: int = NUM_TERMS, out: str = "features"
 ) -> tuple[DataFrame, DataFrame]:

@@ -16,10 +16,6 @@ from textpulse.operators.sentiment import sentiment_profile
 from textpulse.operators.terms import non_empty, smoothed_tfidf, term_counts
 from textpulse.session import stage
 
-# Rates of articles with and without a selected comment.
-RATE_SELECTED = 0.1
-RATE_OTHERS = 0.0
-
 
 @dataclass
 class Columns:
@@ -34,10 +30,10 @@ class Columns:
 
 def prepare(
     comments: DataFrame, word_vectors: DataFrame, size: int, polarity: DataFrame, stop: list[str],
-    names: Columns = Columns(), seed: int = 1, rate_selected: float = RATE_SELECTED, rate_others: float = RATE_OTHERS,
+    names: Columns = Columns(), seed: int = 1, rate_selected: float = 1.0, rate_others: float = 1.0,
     lemmas: DataFrame | None = None,
 ) -> DataFrame:
-    """The prepared table: comments of sampled articles with tokens, sentiment shares, text vector,
+    """The prepared table: comments of all articles, or of those sampled at the given rates, with tokens, sentiment shares, text vector,
     normalised target and label. Comments whose TF-IDF vanishes drop out.
 
     ``row_id`` is unique. Text features are made from ``(row_id, text)`` only and joined back once,

@@ -30,19 +30,20 @@ COMMENT_SCHEMA = T.StructType(
     ]
 )
 SERVERS = "localhost:9092"
-GROUP = "test_group"
 TOPIC = "comments"
-PARTITIONS = 4
-LAST_OFFSET = 10_000
 
 
-def kafka_options(servers: str = SERVERS, group: str = GROUP) -> dict[str, str]:
-    """Settings shared by batch and stream reads. Progress of a stream is kept by its checkpoint."""
-    return {"kafka.bootstrap.servers": servers, "kafka.group.id": group, "startingOffsets": "earliest"}
+def kafka_options(servers: str = SERVERS, group: str | None = None) -> dict[str, str]:
+    """Settings shared by batch and stream reads. Progress of a stream is kept by its checkpoint.
+
+    Spark names a group of its own for each query; give one only where the server asks for it.
+    """
+    named = {} if group is None else {"kafka.group.id": group}
+    return {"kafka.bootstrap.servers": servers, "startingOffsets": "earliest", **named}
 
 
 def offset_range_options(
-    topic: str = TOPIC, partitions: int = PARTITIONS, start: int = 0, end: int = LAST_OFFSET, **settings
+    topic: str, partitions: int, start: int, end: int, **settings
 ) -> dict[str, str]:
     """A batch read of ``start`` to ``end`` (left out) of each partition."""
     def offsets(at: int) -> str:
@@ -56,9 +57,14 @@ def offset_range_options(
     }
 
 
-def read_comment_records(spark: SparkSession, **options) -> DataFrame:
-    """Raw records; needs the Kafka connector on the class path."""
-    return spark.read.format("kafka").options(**offset_range_options(**options)).load()
+def topic_options(topic: str = TOPIC, **settings) -> dict[str, str]:
+    """A batch read of all that a topic holds, of all its partitions."""
+    return {**kafka_options(**settings), "subscribe": topic, "endingOffsets": "latest"}
+
+
+def read_comment_records(spark: SparkSession, options: dict[str, str] | None = None) -> DataFrame:
+    """Raw records, all of the topic unless options say otherwise; needs the Kafka connector on the class path."""
+    return spark.read.format("kafka").options(**(options or topic_options())).load()
 
 
 def decode_records(records: DataFrame, schema: T.StructType = COMMENT_SCHEMA) -> DataFrame:

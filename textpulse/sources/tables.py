@@ -6,11 +6,8 @@ from pyspark.ml.feature import Word2VecModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textpulse.operators.joins import estimated_bytes
-
 PAGE_START = "<page>"
 PAGE_END = "</page>"
-SPREAD_BYTES = 16 * 1024 * 1024
 
 
 def read_prepared(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
@@ -23,14 +20,9 @@ def write_prepared(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def spread_rows(df: DataFrame, key: str, bytes_per_core: int = SPREAD_BYTES) -> DataFrame:
-    """Deal the rows of a small scan out over all cores before heavy work per row.
-
-    Only for input that is too small to give each core a split (one file of one row group runs as one
-    task); larger input is left as it is scanned.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if estimated_bytes(df) <= bytes_per_core * cores else df
+def spread_rows(df: DataFrame, key: str) -> DataFrame:
+    """Deal the rows of a scan out evenly by key before heavy work per row, in as many parts as a shuffle has."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -52,9 +44,13 @@ def read_stop_words(spark: SparkSession, path: str) -> DataFrame:
 
 def read_word_vectors(spark: SparkSession, path: str, dims: int) -> DataFrame:
     """``(word, vector array<float>)`` from word2vec text: a header ``records dims``, then one word per line."""
-    parts = spark.read.text(path).select(F.split(F.rtrim("value"), " ").alias("p"))
-    # A line of two fields is the header.
-    rows = parts.where(F.size("p") != 2).select(
+    lines = spark.read.text(path).select(F.rtrim("value").alias("value"))
+    header = F.col("value").rlike(rf"^\d+ {dims}$")
+    if dims == 1:
+        # A word that is a number looks like a header; the header tells how many other lines there are.
+        header = header & (F.substring_index("value", " ", 1) == (lines.agg(F.count(F.lit(1))).scalar() - 1).cast("string"))
+    parts = lines.where(~header).select(F.split("value", " ").alias("p"))
+    rows = parts.select(
         F.get("p", F.lit(0)).alias("word"), F.slice("p", F.lit(2), F.size("p") - 1).cast("array<float>").alias("vector")
     )
     wrong = F.raise_error(F.concat(F.lit(f"not {dims} dimensions: "), F.col("word")))
