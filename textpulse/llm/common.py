@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,16 @@ SALTS = 64
 MARK = "__tp_"
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets workers on this machine import the package from where the driver has it, whatever their folder is.
+    A cluster gets it by its own means (--py-files, an image); there the path is one more that does not exist."""
+    root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in known.get("PYTHONPATH", "").split(":"):
+        known["PYTHONPATH"] = ":".join(filter(None, [known.get("PYTHONPATH"), root]))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -28,6 +38,7 @@ def whole(column: str | Column) -> Column:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Rows that several steps read, or whose lineage is to be cut, as a table in the shared folder."""
+    importable(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -31,6 +31,8 @@ from textpulse.llm.components import components
 from textpulse.llm.probmin import WordCodes, band_keys, jaccard, shingles, sketch, weights, words_of
 
 BANDS, ROWS = 24, 5
+#: Registers of a sketch: the bands take the first 120, the screen before verification all.
+REGISTERS = 240
 THRESHOLD = 0.8
 #: Nodes of a bucket that are compared at once: asking ones, and those they are compared with.
 ASK_BLOCK, HELD_BLOCK = 512, 4096
@@ -50,10 +52,10 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     nodes.append(None)
                     continue
                 elements, counts = shingles(words, _CODES)
-                winners.append(sketch(elements, weights(counts), BANDS * ROWS))
+                winners.append(sketch(elements, weights(counts), REGISTERS))
                 nodes.append(hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest())
-            found = np.array(winners, np.uint64).reshape(-1, BANDS * ROWS)
-            bands, short = iter(band_keys(found, ROWS)), iter(found.astype(np.uint16))
+            found = np.array(winners, np.uint64).reshape(-1, REGISTERS)
+            bands, short = iter(band_keys(found[:, : BANDS * ROWS], ROWS)), iter(found.astype(np.uint16))
             columns = [
                 part.column(0),
                 part.column(1),
@@ -121,7 +123,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
 
 def least_agreement(threshold: float = THRESHOLD) -> int:
     """Registers in which sketches of texts at the threshold agree, less three deviations."""
-    m = BANDS * ROWS
+    m = REGISTERS
     return math.floor(m * threshold - 3 * math.sqrt(m * threshold * (1 - threshold)))
 
 
@@ -134,7 +136,7 @@ def _compare(nodes: list, held: np.ndarray, asks: np.ndarray, band: int, least:
         near = np.flatnonzero(np.count_nonzero(same, axis=1) >= least)
         near = near[near != k]
         if len(near):
-            shared = same[near].reshape(len(near), BANDS, ROWS).all(axis=2).argmax(axis=1)
+            shared = same[near, : BANDS * ROWS].reshape(len(near), BANDS, ROWS).all(axis=2).argmax(axis=1)
             out += [(nodes[j], nodes[k]) for j in near[shared == band]]
     return out
 
@@ -148,7 +150,7 @@ def _screen(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
     def compared(rows: pa.Table) -> pa.RecordBatch:
         key = np.stack([rows[n].to_numpy() for n in keys])
         starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]) if len(rows) else []
-        sketches = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(len(rows), BANDS * ROWS)
+        sketches = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(len(rows), REGISTERS)
         asks, bands, nodes = rows["asks"].to_numpy(), rows["band"].to_numpy(), rows["node"].to_pylist()
         pairs: list[tuple] = []
         for s, e in zip(starts, [*starts[1:], len(rows)]):
