@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,15 +99,18 @@ def candidate_texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, id: st
     return stage(met.groupBy("node").agg(F.min("text").alias("text")), "texts")
 
 
-def _verify(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
-    last: tuple[str, np.ndarray] = ("", np.zeros(0))
+def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    last: tuple[str | None, np.ndarray] = (None, np.zeros(0))
     for batch in batches:
-        kept = []
-        for left, right in zip(batch["a_text"], batch["b_text"]):
-            if left != last[0]:
-                last = left, shingles(words_of(left), _CODES)[0]
-            kept.append(jaccard(last[1], shingles(words_of(right), _CODES)[0]) >= threshold)
-        yield batch.loc[kept, ["a", "b"]]
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            kept = []
+            for left, right in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                if left != last[0]:
+                    last = left, shingles(words_of(left), _CODES)[0]
+                kept.append(jaccard(last[1], shingles(words_of(right), _CODES)[0]) >= threshold)
+            mask = pa.array(kept, pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column(k).filter(mask) for k in (0, 1)], names=["a", "b"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -118,7 +120,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
     b_texts = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")).hint("merge")
     a_texts = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")).hint("merge")
     both = lookup(pairs.join(b_texts, "b"), "a", a_texts, hot, "b", "inner")
-    return stage(both.select("a", "b", "a_text", "b_text").mapInPandas(partial(_verify, threshold=threshold), "a binary, b binary"), "links")
+    return stage(both.select("a", "b", "a_text", "b_text").mapInArrow(partial(_verify, threshold=threshold), "a binary, b binary"), "links")
 
 
 def least_agreement(threshold: float = THRESHOLD) -> int:

@@ -19,7 +19,7 @@ _WORD = re.compile(r"\w+")
 _U = np.uint64
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U)
 #: Word codes that a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 class WordCodes(dict):
