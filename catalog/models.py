@@ -1,14 +1,19 @@
-"""Fitted models over the documents, labels and embeddings: rows only, invariants are in the tests."""
+"""Fitted models over the documents, labels and embeddings.
+
+A fit differs between engines, so its SQL gives what every right fit must have: its words, its margins, flags for
+properties that hold exactly. Each query still fits the whole model and goes over all that it returns.
+"""
 
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from catalog.common import COMMENTS_SQL, STOP, comments, polarity, rounded, table
+from catalog.common import COMMENTS_SQL, STOP, comments, draw_sql, polarity, rounded, table
 from catalog.tables import _anova_sql
-from catalog.texts import DIMS, SMOOTH_SQL, _embeddings, _sentiment_sql, _tokens, _word_vectors
+from catalog.texts import DIMS, LEMMAS_SQL, SMOOTH_SQL, _embeddings, _sentiment_sql, _tokens, _word_vectors
 from textpulse.operators import embeddings, learning, lemmas, lsa, sampling, sentiment, terms
 from textpulse.operators.engagement import normalise_in_group
 from textpulse.operators.tests_stat import chi_square_ml
@@ -53,63 +58,118 @@ def count_vector_tfidf(spark, d):
     return rounded(sums, "n_counted", "weight", digits=4)
 
 
-@query("word_vectors_trained")
-def word_vectors_trained(spark, d):
+CORPUS_SQL = f"""{LEMMAS_SQL}, size AS (SELECT doc_id FROM tok GROUP BY 1 HAVING count(*) > {embeddings.MIN_CORPUS_TOKENS}),
+word AS (SELECT term FROM tok JOIN size USING (doc_id) GROUP BY 1 HAVING count(*) >= 5)"""
+
+
+def _word_model(spark, d):
+    """The default size and least count; in as many parts as a shuffle has."""
     corpus = embeddings.training_corpus([_staged_tokens(spark, d)])
-    model = embeddings.train_word_vectors(corpus, size=32, partitions=8, min_count=10, seed=SEED)
-    return embeddings.word_table(model)
+    return embeddings.train_word_vectors(corpus, partitions=int(spark.conf.get("spark.sql.shuffle.partitions")), seed=SEED)
+
+
+@query("word_vectors_trained", f"WITH {CORPUS_SQL} SELECT term AS word, {embeddings.VECTOR_SIZE} AS dims, true AS finite FROM word")
+def word_vectors_trained(spark, d):
+    finite = F.forall("vector", lambda x: F.abs(x) < float("inf"))
+    return embeddings.word_table(_word_model(spark, d)).select("word", F.size("vector").alias("dims"), finite.alias("finite"))
 
 
-@query("word_model_saved")
+@query("word_model_saved", f"WITH {CORPUS_SQL} SELECT count(*) AS n_words, 0::BIGINT AS n_different FROM word")
 def word_model_saved(spark, d):
-    corpus = embeddings.training_corpus([_staged_tokens(spark, d)])
     path = scratch_path(spark, "word-model")
-    save_word_model(embeddings.train_word_vectors(corpus, size=16, partitions=8, min_count=20, seed=SEED), path)
-    return embeddings.word_table(load_word_model(path))
+    model = _word_model(spark, d)
+    save_word_model(model, path)
+    before = embeddings.word_table(model)
+    after = embeddings.word_table(load_word_model(path)).select("word", F.col("vector").alias("loaded"))
+    same = F.coalesce(F.col("vector") == F.col("loaded"), F.lit(False))
+    return before.join(after, "word", "full").agg(F.count(F.lit(1)).alias("n_words"), F.count_if(~same).alias("n_different"))
 
 
 def _factors(spark, d) -> lsa.Factors:
     return lsa.factorise(embeddings.longer_than(_staged_tokens(spark, d), "tokens", embeddings.MIN_LSA_TOKENS), "doc_id", "tokens")
 
 
-@query("lsa_top_terms")
+def _norms(factor: DataFrame) -> DataFrame:
+    """Length of each column: 1 for the factors of a decomposition."""
+    parts = factor.select(F.posexplode("vector").alias("concept", "x"))
+    return parts.groupBy("concept").agg(F.round(F.sqrt(F.sum(F.col("x") * F.col("x"))), 5).alias("norm"))
+
+
+def _ordered(top: DataFrame, key: str) -> DataFrame:
+    """The top list by concept and rank: does no weight exceed the one before, is no key listed twice?"""
+    before = F.lag("weight").over(W.partitionBy("concept").orderBy("rank"))
+    checked = top.withColumn("falls", F.coalesce(F.col("weight") <= before, F.lit(True)))
+    return checked.groupBy("concept").agg(
+        F.count(F.lit(1)).alias("n_listed"), F.count_distinct(key).alias("n_keys"), F.every("falls").alias("falls")
+    )
+
+
+LSA_SQL = "SELECT i::INTEGER AS concept, 10::BIGINT AS n_listed, 10::BIGINT AS n_keys, true AS falls, 1.0::DOUBLE AS norm FROM range(10) r(i)"
+
+
+@query("lsa_top_terms", LSA_SQL)
 def lsa_top_terms(spark, d):
-    return lsa.top_per_concept(_factors(spark, d).terms, "term")
+    factor = _factors(spark, d).terms
+    return _ordered(lsa.top_per_concept(factor, "term"), "term").join(_norms(factor), "concept")
 
 
-@query("lsa_top_documents")
+@query("lsa_top_documents", LSA_SQL)
 def lsa_top_documents(spark, d):
-    return lsa.top_per_concept(_factors(spark, d).documents, "doc_id")
+    factor = _factors(spark, d).documents
+    return _ordered(lsa.top_per_concept(factor, "doc_id"), "doc_id").join(_norms(factor), "concept")
 
 
-@query("lsa_documents_for_document")
+@query("lsa_documents_for_document", "SELECT 10::BIGINT AS n_listed, 1.0::DOUBLE AS best, true AS itself")
 def lsa_documents_for_document(spark, d):
     found = _factors(spark, d)
-    return lsa.docs_like_doc(lsa.normalise_rows(lsa.scale_columns(found.documents, found.singular_values)), 1)
+    like = lsa.docs_like_doc(lsa.normalise_rows(lsa.scale_columns(found.documents, found.singular_values)), 1)
+    itself = F.bool_or((F.col("doc_id") == 1) & (F.col("score") > 0.999999))
+    return like.agg(F.count(F.lit(1)).alias("n_listed"), F.round(F.max("score"), 6).alias("best"), itself.alias("itself"))
 
 
-@query("k_means_centers")
+@query("k_means_centers", f"SELECT i::INTEGER AS cluster, {DIMS}::BIGINT AS dims, true AS within FROM range(10) r(i)")
 def k_means_centers(spark, d):
-    found = learning.k_means(_embeddings(spark, d), 10, DIMS, seed=SEED)
-    return found.centers.select("cluster", F.posexplode("vector").alias("dim", "value"))
+    """No coordinate of a centre, a mean, lies outside those of the rows."""
+    vectors = _embeddings(spark, d)
+    ends = vectors.select(F.posexplode("vector").alias("dim", "x")).groupBy("dim").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    centers = learning.k_means(vectors, 10, DIMS, seed=SEED).centers.select("cluster", F.posexplode("vector").alias("dim", "value"))
+    within = F.every((F.col("value") >= F.col("low") - 1e-9) & (F.col("value") <= F.col("high") + 1e-9))
+    return centers.join(ends, "dim").groupBy("cluster").agg(F.count(F.lit(1)).alias("dims"), within.alias("within"))
 
 
-@query("k_means_assignments")
+@query("k_means_assignments", "SELECT vec_id, true AS nearest, true AS cost_agrees FROM embeddings")
 def k_means_assignments(spark, d):
+    """Every row is with its nearest centre, and the rows' distances add to the model's cost."""
     vectors = _embeddings(spark, d)
-    return learning.assign_clusters(vectors, learning.k_means(vectors, 10, DIMS, seed=SEED).centers).drop("vector")
+    found = learning.k_means(vectors, 10, DIMS, seed=SEED)
+    assigned = stage(learning.assign_clusters(vectors, found.centers).select("vec_id", "cluster", "distance"), "assigned")
+    cost = assigned.agg(F.sum("distance")).scalar()
+    told = found.model.transform(learning.ml_vectors(vectors)).select("vec_id", F.col("prediction").alias("told"))
+    agrees = F.abs(cost / F.lit(found.cost) - 1) < 1e-6
+    return assigned.join(told, "vec_id").select("vec_id", (F.col("cluster") == F.col("told")).alias("nearest"), agrees.alias("cost_agrees"))
 
 
-@query("k_means_center_words")
+@query("k_means_center_words", "SELECT i::INTEGER AS cluster, 10::BIGINT AS n_words, true AS bounded FROM range(5) r(i)")
 def k_means_center_words(spark, d):
     vectors = _embeddings(spark, d)
     named = vectors.select(F.concat(F.lit("w"), "vec_id").alias("word"), "vector")
-    return learning.words_of_centers(learning.k_means(vectors, 5, DIMS, seed=SEED), named)
+    found = learning.words_of_centers(learning.k_means(vectors, 5, DIMS, seed=SEED), named)
+    bounded = F.every(F.abs("similarity") <= 1 + 1e-9)
+    return found.groupBy("cluster").agg(F.count_distinct("word").alias("n_words"), bounded.alias("bounded"))
 
 
-@query("inertia_curve")
+@query(
+    "inertia_curve",
+    """WITH flat AS (SELECT generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+    one AS (SELECT round(sum(s), 4) AS cost FROM (SELECT var_pop(x) * count(*) AS s FROM flat GROUP BY i))
+    SELECT k::INTEGER AS k, CASE WHEN k = 1 THEN cost END AS single_cost, true AS not_above FROM range(1, 21) r(k), one""",
+)
 def inertia_curve(spark, d):
-    return learning.inertia_curve(_embeddings(spark, d), DIMS, ks=range(1, 21), seed=SEED)
+    """The cost of one cluster, and for each k that no more clusters cost more than one."""
+    curve = learning.inertia_curve(_embeddings(spark, d), DIMS, ks=range(1, 21), seed=SEED)
+    single = F.max(F.when(F.col("k") == 1, F.col("cost"))).over(W.partitionBy(F.lit(1)))
+    own = F.when(F.col("k") == 1, F.round("cost", 4))
+    return curve.select("k", own.alias("single_cost"), ((F.col("cost") >= 0) & (F.col("cost") <= single + 1e-6)).alias("not_above"))
 
 
 @query(
@@ -176,19 +236,35 @@ def _classified(spark, d) -> learning.TreeResult:
     return learning.classify_tree(rows, TREE_FEATURES, "editorsSelection", "commentID", SEED)
 
 
-@query("tree_confusion_matrix")
+# The test part: comments with a positive group total, rebalanced, then split, by the same draws.
+TEST_SQL = f"""{COMMENTS_SQL}, base AS (SELECT * FROM comments WHERE "editorsSelection" IS NOT NULL),
+totals AS (SELECT "articleID" FROM base GROUP BY 1 HAVING sum("recommandations") > 0),
+test AS (SELECT "editorsSelection" AS y FROM base JOIN totals USING ("articleID")
+  WHERE ("editorsSelection" OR {draw_sql('"commentID"', "rebalance", SEED)} < 0.2) AND {draw_sql('"commentID"', "split", SEED)} >= 0.7)"""
+
+
+@query("tree_confusion_matrix", f"WITH {TEST_SQL} SELECT CASE WHEN y THEN 1.0 ELSE 0.0 END::DOUBLE AS label, count(*)::BIGINT AS n FROM test GROUP BY 1")
 def tree_confusion_matrix(spark, d):
-    return learning.confusion_matrix(_classified(spark, d).predictions)
+    """The matrix by its label margin: every test row is in it, with its own label."""
+    matrix = learning.confusion_matrix(_classified(spark, d).predictions)
+    return matrix.groupBy("label").agg(F.sum("n").alias("n"))
 
 
-@query("tree_scores")
+@query("tree_scores", f"WITH {TEST_SQL} SELECT count(*)::BIGINT AS n_test, true AS consistent FROM test")
 def tree_scores(spark, d):
-    return learning.class_scores(_classified(spark, d).predictions)
+    """Scores lie between 0 and 1, accuracy and error add to 1."""
+    predictions = _classified(spark, d).predictions
+    scores = learning.class_scores(predictions)
+    shares = F.forall(F.array("accuracy", "test_error", "recall", "precision", "f_measure"), lambda x: x.between(0, 1))
+    consistent = shares & (F.abs(F.col("accuracy") + F.col("test_error") - 1) < 1e-9)
+    return scores.select(predictions.agg(F.count(F.lit(1))).scalar().alias("n_test"), consistent.alias("consistent"))
 
 
-@query("tree_importances")
+@query("tree_importances", "SELECT 1.0::DOUBLE AS total, true AS known")
 def tree_importances(spark, d):
-    return _classified(spark, d).importances()
+    """Importances add to 1, and belong to features of the tree."""
+    found = _classified(spark, d).importances()
+    return found.agg(F.round(F.sum("importance"), 6).alias("total"), F.every(F.col("feature").between(0, DIMS + 6)).alias("known"))
 
 
 @query("regression_tree_error")

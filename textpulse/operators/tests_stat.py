@@ -7,6 +7,8 @@ from pyspark.ml.stat import ChiSquareTest
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textpulse.operators.joins import lookup_join
+
 
 def _java_double(cls: str, method: str, *args: Column) -> Column:
     """A static function of the maths library on Spark's class path, on one result row."""
@@ -105,12 +107,10 @@ def chi_square(df: DataFrame, features: list[str], label: str) -> DataFrame:
     totals = by_value.groupBy("feature").agg(F.sum("n_value").alias("total"), F.count(F.lit(1)).alias("rows"))
     columns = by_label.groupBy("feature").agg(F.count(F.lit(1)).alias("cols"))
     expected = F.col("n_value") * (F.col("n_label") / F.col("total"))
-    filled = (
-        cells.join(by_value, ["feature", "value"])
-        .join(by_label, ["feature", "label"])
-        .join(totals.join(columns, "feature"), "feature")
-        .withColumn("expected", expected)
-    )
+    # Few features and labels: their tables are broadcast while their size allows, so that no feature is one task.
+    valued = lookup_join(cells, by_value, ["feature", "value"], spread=["label"])
+    labelled = lookup_join(valued, by_label, ["feature", "label"], spread=["value"])
+    filled = lookup_join(labelled, totals.join(columns, "feature"), ["feature"], spread=["value"]).withColumn("expected", expected)
     gap = F.col("n") - F.col("expected")
     sums = filled.groupBy("feature", "total", "rows", "cols").agg(
         F.sum(gap * gap / F.col("expected")).alias("chi"),
