@@ -2,8 +2,24 @@
 
 from __future__ import annotations
 
-from textpulse.functions.stem import IRREGULAR, STEP_2, STEP_3, STEP_4
+# Fixed values of the published algorithm, written out here once more: an error in the stemmer's own tables must show.
+_TWOS = (
+    "ational>ate tional>tion enci>ence anci>ance izer>ize bli>ble alli>al entli>ent eli>e ousli>ous ization>ize ation>ate ator>ate "
+    "alism>al iveness>ive fulness>ful ousness>ous aliti>al iviti>ive biliti>ble fulli>ful logi>log"
+)
+_THREES = "icate>ic ative> alize>al iciti>ic ical>ic ful> ness>"
+_FOURS = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
+_OTHERS = (
+    "sky>sky skies>sky dying>die lying>lie tying>tie news>news innings>inning inning>inning outings>outing outing>outing "
+    "cannings>canning canning>canning howe>howe proceed>proceed exceed>exceed succeed>succeed"
+)
 
+
+def _pairs(text: str) -> dict[str, str]:
+    return dict(pair.split(">") for pair in text.split(" "))
+
+
+STEP_2, STEP_3, STEP_4, IRREGULAR = _pairs(_TWOS), _pairs(_THREES), tuple(_FOURS.split(" ")), _pairs(_OTHERS)
 _POS = "regexp_matches({0}, '^[^aeiouY]*[aeiouY]+[^aeiouY]+')"
 _TWO = "regexp_matches({0}, '^[^aeiouY]*[aeiouY]+[^aeiouY]+[aeiouY]+[^aeiouY]+')"
 _ONE = "(" + _POS + " AND NOT " + _TWO + ")"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from catalog.common import ARTICLES_SQL, COMMENTS_SQL, articles, comments, draw_sql, rounded, table
@@ -14,7 +15,7 @@ from textpulse.operators.histogram import equal_width_histogram
 from textpulse.operators.joins import name_rows
 from textpulse.operators.learning import class_scores, confusion_matrix, rmse
 from textpulse.operators.tests_stat import anova, chi_square, contingency
-from textpulse.operators.unnest import unnest, unnest_structs
+from textpulse.operators.unnest import unnest
 from textpulse.plans import reports
 
 QUERIES = {}
@@ -506,6 +507,37 @@ def burt_matrix(spark, d):
     return factors.burt_matrix(table(spark, d, "customer"), ["c_mktsegment"])
 
 
+MODALITIES = ["O_ORDERPRIORITY.1-URGENT", "O_ORDERPRIORITY.2-HIGH", "O_ORDERPRIORITY.3-MEDIUM", "O_ORDERPRIORITY.4-NOT SPECIFIED", "O_ORDERPRIORITY.5-LOW",
+    "O_ORDERSTATUS.F", "O_ORDERSTATUS.O", "O_ORDERSTATUS.P"]
+_LABELLED = "upper(variable) || '.' || modality"
+
+
+@query(
+    "burt_matrix_orders",
+    f"""WITH {LONG_SQL}, l AS (SELECT o_orderkey, {_LABELLED} AS label FROM long)
+    SELECT a.label AS row_label, """
+    + ", ".join(f"""count(*) FILTER (b.label = '{m}') AS "{m}" """ for m in MODALITIES)
+    + " FROM l a JOIN l b USING (o_orderkey) GROUP BY 1",
+)
+def burt_matrix_orders(spark, d):
+    """Square over two columns; both see all their modalities at every scale."""
+    return factors.burt_matrix(table(spark, d, "orders"), FACTOR_COLUMNS)
+
+
+@query(
+    "disjunctive_vectors",
+    """WITH v AS (SELECT DISTINCT 'o_orderstatus' AS variable, o_orderstatus AS m FROM orders UNION SELECT DISTINCT 'x', o_orderpriority FROM orders),
+    i AS (SELECT variable, m, row_number() OVER (ORDER BY variable, m) - 1 AS place FROM v)
+    SELECT o_orderkey, s.place::VARCHAR || ' ' || p.place::VARCHAR AS ones, (SELECT count(*) FROM i)::INTEGER AS width FROM orders
+    JOIN i s ON s.variable = 'o_orderstatus' AND s.m = o_orderstatus JOIN i p ON p.variable = 'x' AND p.m = o_orderpriority""",
+)
+def disjunctive_vectors(spark, d):
+    """Places of the ones, and the width, of each order's one-hot vector."""
+    rows = factors.disjunctive_vectors(table(spark, d, "orders"), FACTOR_COLUMNS).select("o_orderkey", vector_to_array("indicator").alias("x"))
+    places = F.filter(F.transform("x", lambda x, i: F.when(x == 1, i)), lambda i: i.isNotNull())
+    return rows.select("o_orderkey", F.concat_ws(" ", places.cast("array<string>")).alias("ones"), F.size("x").alias("width"))
+
+
 @query(
     "normalised_indicators",
     f"""WITH {LONG_SQL}, m AS (SELECT variable, modality, (SELECT count(*) FROM orders) / count(*)::DOUBLE - 1 AS present FROM long GROUP BY 1, 2)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textpulse.operators.joins import lookup_join
+from textpulse.session import stage
 
 
 def _java_double(cls: str, method: str, *args: Column) -> Column:
@@ -98,10 +99,11 @@ def contingency(df: DataFrame, features: list[str], label: str) -> DataFrame:
 def chi_square(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """One row per feature: statistic, degrees of freedom, p-value of independence from the label.
 
-    Works on the cross tables, whose size is that of the categories. Cells without rows add their
+    Works on the cross tables, whose size is that of the categories; they are written once, so that their
+    size is known. Cells without rows add their
     expected count, which is what the filled cells' expected counts leave of the total.
     """
-    cells = contingency(df, features, label)
+    cells = stage(contingency(df, features, label), "cells")
     by_value = cells.groupBy("feature", "value").agg(F.sum("n").alias("n_value"))
     by_label = cells.groupBy("feature", "label").agg(F.sum("n").alias("n_label"))
     totals = by_value.groupBy("feature").agg(F.sum("n_value").alias("total"), F.count(F.lit(1)).alias("rows"))
