@@ -246,7 +246,8 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordB
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
     """Per record of the named archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    spread = archives.select("file").repartition("file")
+    # One task per archive: a number is kept as it is, where rows of names alone would be gathered in one task.
+    spread = archives.select("file").repartition(max(1, archives.count()))
     return spread.mapInArrow(partial(_read, folder=folder), _READ)
 
 
