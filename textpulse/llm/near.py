@@ -197,7 +197,8 @@ def sketch_pairs(members: DataFrame, nodes: DataFrame, linked: DataFrame, thresh
     places = F.when(F.col("asks"), F.array_distinct(F.concat(every_ask, every_held))).otherwise(every_ask)
     dealt = blocks.select("bucket", "band", "node", "sketch", F.explode(places).alias("p"))
     dealt = dealt.select("bucket", "p.ask", "p.held", "band", "node", "sketch", "p.asks")
-    sorted_ = dealt.repartition("bucket", "ask", "held").sortWithinPartitions("bucket", "ask", "held")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = dealt.repartition(parts, "bucket", "ask", "held").sortWithinPartitions("bucket", "ask", "held")
     found = sorted_.mapInArrow(partial(_screen, least=least_agreement(threshold)), "a binary, b binary")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
