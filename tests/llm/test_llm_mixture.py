@@ -150,6 +150,55 @@ def test_nodes_that_no_star_links_are_compared_by_sketches(spark, texts, monkeyp
     assert got["class_id"].tolist() == brute_classes(texts)
 
 
+def edited(draw, words, base, edits):
+    out = list(base)
+    for k in draw.sample(range(len(base) // 5), edits):
+        out[5 * k + 2] = draw.choice(words)
+    return out
+
+
+def bridged(draw, words, copies=20):
+    """Light copies of A and of C, which only the path A - X - Y - C joins."""
+    a = [draw.choice(words) for _ in range(200)]
+    x = edited(draw, words, a, 4)
+    y = edited(draw, words, x, 4)
+    c = edited(draw, words, y, 4)
+    return [a, x, y, c, *(edited(draw, words, base, 1) for base in (a, c) for _ in range(copies))]
+
+
+def edit_tree(draw, words, n=250):
+    """Each text is an edit of any earlier one."""
+    out = [[draw.choice(words) for _ in range(200)]]
+    while len(out) < n:
+        out.append(edited(draw, words, draw.choice(out), 4))
+    return out
+
+
+def set_classes(texts):
+    """As brute_classes, over sets made once."""
+    sets, root = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[a] & sets[b])
+        if both and both / (len(sets[a]) + len(sets[b]) - both) >= 0.8:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(k) for k in range(len(texts))]
+
+
+def test_linked_nodes_of_other_components_are_compared(spark):
+    draw, words = random.Random(23), [f"w{k}" for k in range(5000)]
+    families = [bridged(draw, words) for _ in range(25)] + [edit_tree(draw, words) for _ in range(2)]
+    texts = list(itertools.chain(*families))
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = near.near_classes(docs).toPandas().sort_values("doc_id")
+    assert got["class_id"].tolist() == set_classes(texts)
+
+
 def test_odd_rows(spark):
     rows = [(None, "a b c d e f g"), (4, "a b c d e f g!"), (4, "A b c d e f g"), (4, "A b c d e f g"), (None, None), (None, "alone here")]
     got = near.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -4,8 +4,10 @@
    and 24 band keys of five registers: two texts of Jaccard 0.8 share none with a chance below 1 in 10,000.
 2. In a bucket (band and key) the node that meets most others over all its bands leads, and every other node is
    paired with it: a star, never all pairs. Pairs are verified on whole texts by the Jaccard of their shingle sets.
-3. A node that no star links is compared with all nodes of its buckets by sketches, in blocks of bounded size. Pairs
-   whose sketches agree as pairs of the threshold do, less three deviations, are verified as well.
+3. Links of stars join nodes to components. In each bucket, every node outside the bucket's largest component is
+   compared with all nodes of other components by sketches, in blocks of bounded size. Pairs whose sketches agree as
+   pairs of the threshold do, less three deviations, are verified as well. So each pair of a bucket that lies in two
+   components is asked for; later links only join components, which leaves no further pair to ask for.
 4. Linked nodes form connected classes; the smallest doc_id of a class stays.
 
 Words are runs of letters, digits and underscores, lower-cased. Null texts count as empty; texts without words are
@@ -129,14 +131,13 @@ def least_agreement(threshold: float = THRESHOLD) -> int:
     return math.floor(m * threshold - 3 * math.sqrt(m * threshold * (1 - threshold)))
 
 
-def _compare(nodes: list, held: np.ndarray, asks: np.ndarray, band: int, least: int) -> list[tuple]:
-    """Pairs of an asking node and another of one block whose sketches agree in enough registers, if the block's
-    band is the first that the two share: in the other buckets where they meet, they are not given again."""
+def _compare(nodes: list, roots: np.ndarray, held: np.ndarray, asks: np.ndarray, band: int, least: int) -> list[tuple]:
+    """Pairs of an asking node and one of another root in one block whose sketches agree in enough registers, if the
+    block's band is the first that the two share: in the other buckets where they meet, they are not given again."""
     out = []
     for k in np.flatnonzero(asks):
         same = held == held[k]
-        near = np.flatnonzero(np.count_nonzero(same, axis=1) >= least)
-        near = near[near != k]
+        near = np.flatnonzero((np.count_nonzero(same, axis=1) >= least) & (roots != roots[k]).any(axis=1))
         if len(near):
             shared = same[near, : BANDS * ROWS].reshape(len(near), BANDS, ROWS).all(axis=2).argmax(axis=1)
             out += [(nodes[j], nodes[k]) for j in near[shared == band]]
@@ -154,9 +155,10 @@ def _screen(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]) if len(rows) else []
         sketches = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(len(rows), REGISTERS)
         asks, bands, nodes = rows["asks"].to_numpy(), rows["band"].to_numpy(), rows["node"].to_pylist()
+        roots = np.frombuffer(b"".join(rows["root"].to_pylist()), np.uint64).reshape(len(rows), 2)
         pairs: list[tuple] = []
         for s, e in zip(starts, [*starts[1:], len(rows)]):
-            pairs += _compare(nodes[s:e], sketches[s:e], asks[s:e], int(bands[s]), least)
+            pairs += _compare(nodes[s:e], roots[s:e], sketches[s:e], asks[s:e], int(bands[s]), least)
         columns = zip(*pairs) if pairs else ([], [])
         return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()) for c in columns], names=["a", "b"])
 
@@ -175,15 +177,18 @@ def _screen(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         yield compared(rest)
 
 
-def sketch_pairs(members: DataFrame, nodes: DataFrame, linked: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs of nodes without a link with any node of their buckets, screened by sketches in blocks. Buckets of two
-    need none: their star is their only pair."""
-    larger = members.filter("size > 2")
-    free = stage(larger.join(linked, "node", "left_anti").select("bucket", "node", "size"), "free")
-    counts = stage(free.groupBy("bucket", F.col("size").alias("in_bucket")).agg(F.count("*").alias("asking")), "open")
+def sketch_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs of nodes of one bucket in different components, screened by sketches in blocks. roots: (node, root) of
+    linked nodes; any other is a component of its own. Nodes of a bucket's largest component are asked by the others
+    and need not ask. Buckets of two need no screen: their star is their only pair."""
+    owned = members.filter("size > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    owned = stage(owned.select("bucket", "band", "node", "root"), "owned")
+    shares = owned.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    largest = shares.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("in_bucket")).filter("in_bucket > top.n")
+    counts = stage(largest.select("bucket", F.col("top.root").alias("largest"), "in_bucket", (F.col("in_bucket") - F.col("top.n")).alias("asking")), "open")
     hot = hot_keys(counts, "bucket", "in_bucket")
-    blocks = lookup(larger.select("bucket", "band", "node"), "bucket", counts, hot, "node", "inner").join(nodes.select("node", "sketch"), "node")
-    blocks = blocks.join(free.select("node").distinct().withColumn("asks", F.lit(True)), "node", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    blocks = lookup(owned, "bucket", counts, hot, "node", "inner").join(nodes.select("node", "sketch"), "node")
+    blocks = blocks.withColumn("asks", F.col("root") != F.col("largest"))
     n_ask, n_held = F.ceil(F.col("asking") / ASK_BLOCK).cast("int"), F.ceil(F.col("in_bucket") / HELD_BLOCK).cast("int")
     mixed = F.xxhash64("node")
     own_ask, own_held = F.pmod(mixed, n_ask).cast("int"), F.pmod(F.shiftright(mixed, 20), n_held).cast("int")
@@ -195,8 +200,8 @@ def sketch_pairs(members: DataFrame, nodes: DataFrame, linked: DataFrame, thresh
     every_ask = F.transform(F.sequence(F.lit(0), n_ask - 1), lambda a: place(a, own_held))
     every_held = F.transform(F.sequence(F.lit(0), n_held - 1), lambda h: place(own_ask, h))
     places = F.when(F.col("asks"), F.array_distinct(F.concat(every_ask, every_held))).otherwise(every_ask)
-    dealt = blocks.select("bucket", "band", "node", "sketch", F.explode(places).alias("p"))
-    dealt = dealt.select("bucket", "p.ask", "p.held", "band", "node", "sketch", "p.asks")
+    dealt = blocks.select("bucket", "band", "node", "root", "sketch", F.explode(places).alias("p"))
+    dealt = dealt.select("bucket", "p.ask", "p.held", "band", "node", "root", "sketch", "p.asks")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = dealt.repartition(parts, "bucket", "ask", "held").sortWithinPartitions("bucket", "ask", "held")
     found = sorted_.mapInArrow(partial(_screen, least=least_agreement(threshold)), "a binary, b binary")
@@ -212,10 +217,10 @@ def near_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", thresh
     pairs = stage(stars.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     texts = candidate_texts(docs, nodes, members.select("node").distinct(), id, text)
     first = verified(pairs, texts, threshold)
-    linked = stage(first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct(), "linked")
-    more = stage(sketch_pairs(members, nodes, linked, threshold), "more").join(pairs, ["a", "b"], "left_anti")
+    starred = stage(components(first), "starred")
+    more = stage(sketch_pairs(members, nodes, starred, threshold), "more").join(pairs, ["a", "b"], "left_anti")
     second = verified(stage(more.join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "rest"), texts, threshold)
-    roots = components(first.unionByName(second))
+    roots = components(starred.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second))
     # Classes of several rows; a node that no link has is a class of its rows.
     rooted = nodes.select("node", "source.doc_id", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size")).filter("class_size > 1")
