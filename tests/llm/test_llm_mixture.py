@@ -199,6 +199,18 @@ def test_linked_nodes_of_other_components_are_compared(spark):
     assert got["class_id"].tolist() == set_classes(texts)
 
 
+def test_repeats_of_what_differs_do_not_part_a_pair(spark):
+    draw, words = random.Random(29), [f"w{k}" for k in range(5000)]
+    texts = []
+    for own in range(12):
+        shared = [draw.choice(words) for _ in range(320)]
+        # A repeated line: as many shingles as words, and four at its beginning.
+        texts += [shared + [f"{side}{own}x{k}" for k in range(28)] * 60 for side in "ab"]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = near.near_classes(docs).toPandas().sort_values("doc_id")
+    assert got["class_id"].tolist() == set_classes(texts) == [k - k % 2 for k in range(24)]
+
+
 def test_odd_rows(spark):
     rows = [(None, "a b c d e f g"), (4, "a b c d e f g!"), (4, "A b c d e f g"), (4, "A b c d e f g"), (None, None), (None, "alone here")]
     got = near.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -1,7 +1,8 @@
 """Near-duplicates: ProbMinHash sketches, banding, verification, connected classes.
 
-1. Texts of the same words are one node. Each node gets a sketch over its weighted five-word shingles (see probmin)
-   and 24 band keys of five registers: two texts of Jaccard 0.8 share none with a chance below 1 in 10,000.
+1. Texts of the same words are one node. Each node gets a sketch over the set of its five-word shingles (see probmin;
+   with equal weights, so that bands, screen and threshold mean one Jaccard) and 24 band keys of five registers: two
+   texts of Jaccard 0.8 share none with a chance below 1 in 10,000.
 2. In a bucket (band and key) the node that meets most others over all its bands leads, and every other node is
    paired with it: a star, never all pairs. Pairs are verified on whole texts by the Jaccard of their shingle sets.
 3. Links of stars join nodes to components. In each bucket, every node outside the bucket's largest component is
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from textpulse.llm.common import MARK, hot_keys, lookup, stage, table, whole
 from textpulse.llm.components import components
-from textpulse.llm.probmin import WordCodes, band_keys, jaccard, shingles, sketch, weights, words_of
+from textpulse.llm.probmin import WordCodes, band_keys, jaccard, shingles, sketch, words_of
 
 BANDS, ROWS = 24, 5
 #: Registers of a sketch: the bands take the first 120, the screen before verification all.
@@ -52,8 +53,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not words:
                     nodes.append(None)
                     continue
-                elements, counts = shingles(words, _CODES)
-                winners.append(sketch(elements, weights(counts), REGISTERS))
+                elements, _ = shingles(words, _CODES)
+                winners.append(sketch(elements, np.ones(len(elements)), REGISTERS))
                 nodes.append(hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest())
             found = np.array(winners, np.uint64).reshape(-1, REGISTERS)
             bands, short = iter(band_keys(found[:, : BANDS * ROWS], ROWS)), iter(found.astype(np.uint16))
