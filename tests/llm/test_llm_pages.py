@@ -101,5 +101,26 @@ def test_a_hot_payload(spark):
     assert sum(r.record_type == "revisit" for r in got) == 1999 and {r.refers_to for r in got if r.refers_to is not None} == {1}
 
 
+def test_chunks_of_a_large_record_stay_together(spark):
+    low = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+    }
+    kept = {k: spark.conf.get(k) for k in low}
+    try:
+        for k, v in low.items():
+            spark.conf.set(k, v)
+        large = "".join(hashlib.sha256(bytes([k % 256, k // 256])).hexdigest() for k in range(8000))
+        pages = spark.createDataFrame([(1, "u", large), *((k, "u", f"own {k}") for k in range(2, 200))], "page_id long, url string, html string")
+        chunks = warc.stage(warc.chunk_table(pages, size=1000).repartition(8), "spread-chunks")
+        folder = new_folder(spark, "test-warc")
+        archives = warc.write_archives(chunks, warc.plan_records(chunks), folder)
+        got = {r.page_id: r.payload_bytes for r in warc.read_archives(archives, folder).collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == {1: len(large)} | {k: len(f"own {k}") for k in range(2, 200)}
+
+
 def test_no_pages(spark):
     assert archived(spark, [])[3] == []

@@ -18,6 +18,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -134,35 +135,46 @@ def header(row: dict) -> tuple[bytes, bytes]:
     return f"WARC/1.1\r\n{lines}\r\n".encode(), http
 
 
-_WRITTEN = ["record", "page_id", "url", "chunk", "last", "data", "payload_bytes", "payload_sha1", "record_type", "refers_to", "refers_record"]
+_PLANNED = ["payload_bytes", "payload_sha1", "record_type", "refers_to", "refers_record"]
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """One archive per task; a compressed member per record, fed chunk by chunk."""
+    """One archive per task that has rows; a compressed member per record, fed chunk by chunk. The row before the
+    chunks of a record holds its plan."""
+    first = next((b for b in batches if b.num_rows), None)
+    if first is None:
+        return
     system, path = opened(folder)
     name, records = new_name("pages", TaskContext.get().partitionId(), ".warc.gz"), 0
     with system.open_output_stream(f"{path}/{name}", compression=None) as out:
-        member = None
-        for batch in batches:
+        member, plan = None, {}
+        for batch in chain([first], batches):
             for row in batch.to_pylist():
+                if row["chunk"] < 0:
+                    plan = {n: row[n] for n in _PLANNED}
+                    continue
+                response = plan["record_type"] == "response"
                 if row["chunk"] == 0:
                     member = zlib.compressobj(6, zlib.DEFLATED, 31)
-                    for part in header(row):
+                    for part in header(row | plan):
                         out.write(member.compress(part))
-                if row["record_type"] == "response":
+                if response:
                     out.write(member.compress(row["data"]))
-                if row["last"] or row["record_type"] == "revisit":
+                if row["last"] if response else row["chunk"] == 0:
                     out.write(member.compress(b"\r\n\r\n") + member.flush())
                     records += 1
-    if records:
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records], pa.int64())], names=["file", "records"])
+    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records], pa.int64())], names=["file", "records"])
 
 
 def write_archives(chunks: DataFrame, records: DataFrame, folder: str) -> DataFrame:
     """Write all records; returns the table of archives, staged: (file, records). Only archives that it names count."""
-    joined = chunks.join(records.hint("merge"), "record").filter((F.col("record_type") == "response") | (F.col("chunk") == 0))
-    # Dealt by record already; only the order of chunks is added.
-    return stage(joined.select(*_WRITTEN).sortWithinPartitions("record", "chunk").mapInArrow(partial(_write, folder=folder), "file string, records long"), "archives")
+    # Plans and chunks are dealt together, by a number of parts that adaptive execution keeps. The partitions of a
+    # join could be split where they are large, and with them the chunks of a record.
+    plans = records.select("record", F.lit(-1).alias("chunk"), *_PLANNED)
+    rows = chunks.select("record", "page_id", "url", "chunk", "last", "data").unionByName(plans, allowMissingColumns=True)
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "record").sortWithinPartitions("record", "chunk")
+    return stage(dealt.mapInArrow(partial(_write, folder=folder), "file string, records long"), "archives")
 
 
 class _Member:
