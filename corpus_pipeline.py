@@ -2,7 +2,8 @@
 
 toxicity: documents scored toxic go. exact_dedup: of equal texts the one with the smallest doc_id stays. near_dedup:
 of each class of near-duplicates one stays. mixing: rows in the order of slots in which sources meet their target
-weights. packing: one row per piece of a document with its place in a sequence. Nulls, empty texts, repeated rows,
+weights. packing: one row per piece of a document with its place in a sequence; sequences are numbered in the order
+in which mixing has written their first documents, told by file and row and not by how the table is read. Nulls, empty texts, repeated rows,
 empty tables and further columns are treated as each operator says; all but the last stage return the columns that
 they were given.
 """
@@ -36,7 +37,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs)
+    return pack_documents(docs, in_order=True)
 
 
 STAGES = [

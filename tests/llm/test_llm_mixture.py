@@ -245,6 +245,19 @@ def test_stages_keep_the_columns_and_do_their_work(spark, small):
     assert set(seen["packing"]["doc_id"]) == set(seen["mixing"]["doc_id"])
 
 
+def test_mixing_orders_the_sequences(spark):
+    draw = random.Random(31)
+    rows = [(k, draw.choice("aaab"), " ".join(draw.choice(["one", "two", "three"]) for _ in range(draw.randrange(2000, 4000)))) for k in range(120)]
+    docs = corpus_pipeline.stage(spark.createDataFrame(rows, "doc_id long, source string, text string"), "unmixed")
+    mixed = corpus_pipeline.stage(corpus_pipeline.mixing(spark, docs, ""), "mixed-rows")
+    got = {n: corpus_pipeline.packing(spark, d, "").toPandas() for n, d in (("without", docs), ("with", mixed))}
+    order = [r.doc_id for r in mixing.mix(docs, size=mixing.F.length("text")).orderBy("__tp_slot", "__tp_at").collect()]
+    firsts = got["with"].query("offset == 0").sort_values("sequence_id")
+    assert firsts["sequence_id"].tolist() == list(range(len(firsts))) and sorted(got["with"]["doc_id"]) == sorted(got["without"]["doc_id"])
+    assert (places := [order.index(d) for d in firsts["doc_id"]]) == sorted(places)
+    assert not got["with"].sort_values("doc_id")["sequence_id"].tolist() == got["without"].sort_values("doc_id")["sequence_id"].tolist()
+
+
 def test_stages_take_empty_tables(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(0)
     for name, step in corpus_pipeline.STAGES:

@@ -16,14 +16,14 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textpulse.llm.common import ranked, stage, table, whole
+from textpulse.llm.common import MARK, ranked, stage, table, whole
 from textpulse.llm.tokens import crc32, encoded, word_tokenizer
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -99,9 +99,10 @@ def match_runs(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
     return table_, opened
 
 
-def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
-    """The pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset in it."""
-    placed = ranked(stage(pieces, "pieces"), ["length"], ["doc_id", "piece"], "ranked")
+def best_fit(pieces: DataFrame, capacity: int, order: Sequence[str] = ("doc_id", "piece")) -> DataFrame:
+    """The pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset in it. order: of the pieces
+    of one length."""
+    placed = ranked(stage(pieces, "pieces"), ["length"], list(order), "ranked")
     # At most one row per length, so no more than the capacity.
     counts = {r["length"]: r["n"] for r in placed.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if counts and not 0 < min(counts) <= max(counts) <= capacity:
@@ -124,9 +125,33 @@ def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
     return placed.select(*names).mapInArrow(place, f"{_PIECES}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, capacity: int = 4096, end: int = 1, tokenizer: str | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece of every document: where its ids lie in which sequence."""
-    return best_fit(token_pieces(docs, tokenizer or word_tokenizer(), end, capacity, id, text), capacity)
+def written_places(docs: DataFrame, id: str = "doc_id") -> DataFrame:
+    """(doc_id, position) of documents read from Parquet: where the first row of an id stands in the order in which
+    the table was written, by file and row. Staged."""
+    at = docs.metadataColumn("_metadata")
+    position = F.struct(at["file_name"].alias("file"), at["row_index"].alias("row"))
+    return stage(docs.select(F.col(id).alias("doc_id"), position.alias("position")).groupBy("doc_id").agg(F.min("position").alias("position")), "places")
+
+
+def best_fit_in_order(pieces: DataFrame, places: DataFrame, capacity: int) -> DataFrame:
+    """As best_fit, by position: pieces of one length are ranked by it, and sequences are numbered by that of their
+    first piece."""
+    named = places.withColumnRenamed("doc_id", f"{MARK}id").hint("merge")
+    placed = pieces.join(named, F.col("doc_id").eqNullSafe(F.col(f"{MARK}id"))).drop(f"{MARK}id")
+    packed = stage(best_fit(placed, capacity, ["position", "doc_id", "piece"]), "packed")
+    named = places.withColumnRenamed("doc_id", f"{MARK}id").hint("merge")
+    # Every sequence has one piece at its beginning.
+    first = packed.filter("offset = 0").join(named, F.col("doc_id").eqNullSafe(F.col(f"{MARK}id")))
+    first = first.select("sequence_id", "position", "piece", F.lit(0).alias("all"))
+    numbers = ranked(first, ["all"], ["position", "piece", "sequence_id"], "numbered").select("sequence_id", "rank")
+    return packed.join(numbers, "sequence_id").select(*packed.columns[:5], F.col("rank").alias("sequence_id"), "offset")
+
+
+def pack_documents(docs: DataFrame, capacity: int = 4096, end: int = 1, tokenizer: str | None = None, id: str = "doc_id", text: str = "text", in_order: bool = False) -> DataFrame:
+    """One row per piece of every document: where its ids lie in which sequence. in_order: docs are read from
+    Parquet, and the order in which they were written is that of the sequences (see best_fit_in_order)."""
+    pieces = token_pieces(docs, tokenizer or word_tokenizer(), end, capacity, id, text)
+    return best_fit_in_order(pieces, written_places(docs, id), capacity) if in_order else best_fit(pieces, capacity)
 
 
 def op8_packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
