@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textpulse.llm import exact, html, mixing, near, packing, quality, rules, tokens, toxicity, warc
+from textpulse.llm import exact, html, mixing, near, packing, periods, quality, rules, tokens, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         packing.op8_packed_sequences,
         toxicity.op9_toxicity,
         rules.op10_quality_rules,
+        periods.op11_periodic_runs,
     )
 }
 
