@@ -19,7 +19,9 @@ text are not read, so none can clash. Empty tables give empty tables.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +36,10 @@ LEAST = 12
 #: Words of a tile between its first and last boundary, at least; four octave lengths for long periods.
 TILE_WORDS = 4096
 #: Words whose blocks are compared at once in a task, unless one text has more.
-BATCH_WORDS = 1 << 19
-#: Octaves up to this one are solved for many boundaries at once, wider ones each by a scan.
-NARROW = 32
+BATCH_WORDS = 1 << 18
+#: Octaves up to this one are solved for many boundaries at once, that many words at a time; wider ones each by a scan.
+NARROW = 128
+WINDOW_WORDS = 1 << 17
 _SLOTS = 1 << 20
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -80,7 +83,7 @@ def boundaries(ids: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.nda
     longest first; sizes are their numbers of words."""
     starts = np.cumsum(sizes) - sizes
     ends = starts + sizes
-    place = np.arange(len(ids)) - np.repeat(starts, sizes)
+    place = (np.arange(len(ids)) - np.repeat(starts, sizes)).astype(np.int32)
     levels = _hashes(ids)
 
     def level(b: int) -> np.ndarray:
@@ -97,16 +100,22 @@ def boundaries(ids: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.nda
         texts = int(np.searchsorted(-sizes, -max(LEAST, 2 * octave), "right"))
         h = level(b)[: max(0, int(ends[texts - 1]) - b + 1)]
         slot = (h >> np.uint64(44)).astype(np.int32)
-        aligned = np.flatnonzero(place[: len(h)] % b == 0)
-        held = np.bincount(slot[aligned], minlength=_SLOTS)
+        aligned = np.flatnonzero(place[: len(h)] % 3 == 0 if b == 3 else place[: len(h)] & (b - 1) == 0)
+        # Whose block shares a slot with an aligned block that is not itself.
+        mine = slot[aligned]
+        last = np.empty(_SLOTS, np.int32)
+        last[mine] = aligned
+        held = np.zeros(_SLOTS, np.uint8)
+        held[mine] = 1
+        held[mine[last[mine] != aligned]] = 2
         other = held[slot]
         other[aligned] -= 1
-        later = np.flatnonzero(other > 0)
+        later = np.flatnonzero(other)
         if not len(later):
             continue
         met = np.zeros(_SLOTS, bool)
         met[slot[later]] = True
-        asked = aligned[met[slot[aligned]]]
+        asked = aligned[met[mine]]
         order = np.argsort(h[later], kind="stable")
         keys, places = h[later][order], later[order]
         group = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]]))
@@ -130,9 +139,10 @@ def _common(s: np.ndarray, a: int, b: int) -> int:
     rest, done, step = len(s) - b, 0, 32
     while done < rest:
         m = min(step, rest - done)
-        odd = np.flatnonzero(s[a + done : a + done + m] != s[b + done : b + done + m])
-        if len(odd):
-            return done + int(odd[0])
+        odd = s[a + done : a + done + m] != s[b + done : b + done + m]
+        first = int(odd.argmax())
+        if odd[first]:
+            return done + first
         done += m
         step *= 4
     return rest
@@ -142,10 +152,11 @@ def z_function(s: np.ndarray, first: int, last: int) -> np.ndarray:
     """z[i], the length of the common beginning of s and s[i:], for first <= i < last; places before first are worked
     out too, as the scan needs them."""
     z = np.zeros(max(last, 1), np.int64)
-    if not len(s):
-        return z[first:last]
+    z[1:last] = s[1:last] == s[:1]
     left = right = 0
-    for i in (np.flatnonzero(s[1:last] == s[0]) + 1).tolist():
+    # Places where the second word differs too need no scan.
+    more = z[1:last].astype(bool) & (np.append(s[2 : last + 1], -3)[: last - 1] == s[1:2])
+    for i in (np.flatnonzero(more) + 1).tolist():
         k = min(right - i, int(z[i - left])) if i < right else 0
         if i + k >= right:
             k += _common(s, k, i + k)
@@ -170,17 +181,18 @@ def _wide(words: np.ndarray, bound: int, octave: int) -> tuple[np.ndarray, np.nd
 
 
 def _narrow(words: np.ndarray, bounds: np.ndarray, octave: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same for many boundaries, by comparing their windows with themselves, a period apart."""
+    """The same for many boundaries at once: z-values by comparing all windows with themselves, a period apart."""
     before, after = reach(octave)
-    padded = np.concatenate([np.full(before, -1, words.dtype), words, np.full(after, -2, words.dtype)])
-    window = padded[bounds[:, None] + np.arange(before + after)]
+    window = words[bounds[:, None] + np.arange(-before, after)]
     forward, backward = np.zeros((2, len(bounds), 2 * octave), np.int64)
-    stop = np.ones((len(bounds), 1), bool)
+    odd = np.ones((len(bounds), after + 1), bool)
     for p in range(1, 2 * octave):
-        odd = window[:, before : before + after - p] != window[:, before + p :]
-        forward[:, p] = np.argmax(np.hstack([odd, stop]), 1)
-        odd = window[:, before - 1 :: -1] != window[:, p : before + p][:, ::-1]
-        backward[:, p] = np.argmax(np.hstack([odd, stop]), 1)
+        np.not_equal(window[:, before : before + after - p], window[:, before + p :], out=odd[:, : after - p])
+        odd[:, after - p] = True
+        forward[:, p] = odd[:, : after - p + 1].argmax(1)
+        np.not_equal(window[:, before - 1 :: -1], window[:, before + p - 1 : p - 1 : -1], out=odd[:, :before])
+        odd[:, before] = True
+        backward[:, p] = odd[:, : before + 1].argmax(1)
     return forward, backward
 
 
@@ -195,17 +207,30 @@ def _primes(p: int) -> list[int]:
     return out + [p] if p > 1 else out
 
 
-def solve(words: np.ndarray, bounds: np.ndarray, octave: int) -> np.ndarray:
-    """Rows (period, start, end) of stretches of a period in the octave, the smallest of the stretch, that the windows of
-    the boundaries show; joined where they overlap by a period."""
+def solve(tiles: list[tuple[np.ndarray, np.ndarray]], octave: int) -> np.ndarray:
+    """Rows (tile, period, start, end) of stretches of a period in the octave, the smallest of the stretch, that the
+    windows of the boundaries of tiles (words, boundaries) show; joined where they overlap by a period."""
     found = []
+    before, after = reach(octave)
     if octave <= NARROW:
-        pairs = [(bounds[k : k + 4096], *_narrow(words, bounds[k : k + 4096], octave)) for k in range(0, len(bounds), 4096)]
+        # Tiles one after another, so far apart that no window shows two.
+        size = np.array([len(w) + before + after for w, _ in tiles])
+        shift = np.cumsum(size) - size + before
+        words = np.full(int(size.sum()), -1, np.int32)
+        for (w, _), at in zip(tiles, shift.tolist()):
+            words[at : at + len(w)] = w
+            words[at + len(w) : at + len(w) + after] = -2
+        tile = np.repeat(np.arange(len(tiles)), [len(b) for _, b in tiles])
+        bounds = np.concatenate([b for _, b in tiles])
+        step = max(1, WINDOW_WORDS // (before + after))
+        parts = [slice(k, k + step) for k in range(0, len(bounds), step)]
+        pairs = ((tile[k], bounds[k], *_narrow(words, bounds[k] + shift[tile[k]], octave)) for k in parts)
     else:
-        pairs = [(np.array([c]), *(x[None] for x in _wide(words, c, octave))) for c in bounds.tolist()]
+        each = ((t, w, c) for t, (w, b) in enumerate(tiles) for c in b.tolist())
+        pairs = ((np.array([t]), np.array([c]), *(x[None] for x in _wide(w, c, octave))) for t, w, c in each)
     periods = np.arange(2 * octave)
     least = np.maximum(LEAST, 2 * periods)
-    for places, forward, backward in pairs:
+    for owner, places, forward, backward in pairs:
         long = forward + backward + periods >= least
         long[:, :octave] = False
         rows, ps = np.nonzero(long)
@@ -213,27 +238,27 @@ def solve(words: np.ndarray, bounds: np.ndarray, octave: int) -> np.ndarray:
         smallest = np.ones(len(ps), bool)
         for p in np.unique(ps).tolist():
             here = np.flatnonzero(ps == p)
+            r = rows[here]
             for prime in _primes(p):
                 q = p // prime
-                r = rows[here]
                 smallest[here] &= (forward[r, q] + q < p + f[here]) | (backward[r, q] < k[here])
         c = places[rows]
-        found.append(np.stack([ps, c - k, c + ps + f], 1)[smallest])
-    return stitched(np.concatenate(found)) if found else np.zeros((0, 3), np.int64)
+        found.append(np.stack([owner[rows], ps, c - k, c + ps + f], 1)[smallest])
+    return stitched(np.concatenate(found)) if found else np.zeros((0, 4), np.int64)
 
 
 def stitched(rows: np.ndarray) -> np.ndarray:
-    """Rows (period, start, end) of one text, those of a period that overlap by it joined."""
+    """Rows (tile, period, start, end), those of a tile and period that overlap by the period joined."""
     if not len(rows):
         return rows
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    period, start, end = rows.T
-    new = np.concatenate([[True], period[1:] != period[:-1]])
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    tile, period, start, end = rows.T
+    new = np.concatenate([[True], (period[1:] != period[:-1]) | (tile[1:] != tile[:-1])])
     group = np.cumsum(new) << 40
     most = np.maximum.accumulate(group + end) - group
     new[1:] |= start[1:] + period[1:] > most[:-1]
     first = np.flatnonzero(new)
-    return np.stack([period[first], start[first], np.maximum.reduceat(end, first)], 1)
+    return np.stack([tile[first], period[first], start[first], np.maximum.reduceat(end, first)], 1)
 
 
 # --- jobs -----------------------------------------------------------------------------------------
@@ -249,8 +274,8 @@ def _tiled(words: list[list[bytes]]) -> Iterator[tuple[int, int, int, np.ndarray
     sizes = np.array([len(w) for w in words])
     order = np.argsort(-sizes, kind="stable")
     sizes = sizes[order]
-    known: dict[bytes, int] = {}
-    ids = np.fromiter((known.setdefault(w, len(known)) for k in order.tolist() for w in words[k]), np.int32, int(sizes.sum()))
+    known: dict[bytes, int] = defaultdict(count().__next__)
+    ids = np.fromiter(map(known.__getitem__, chain.from_iterable(words[k] for k in order.tolist())), np.int32, int(sizes.sum()))
     starts = np.cumsum(sizes) - sizes
     for octave, places in boundaries(ids, sizes):
         before, after = reach(octave)
@@ -313,14 +338,13 @@ def tiles(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
 
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for key, octave, at, words, bounds in zip(*(batch.column(c) for c in ("key", "octave", "at", "words", "bounds"))):
-            w, b = (x.values.to_numpy(zero_copy_only=False) for x in (words, bounds))
-            rows = solve(w.astype(np.int64), b.astype(np.int64), octave.as_py())
-            rows[:, 1:] += at.as_py()
-            out.append(np.column_stack([np.full(len(rows), key.as_py()), rows]))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in np.concatenate(out).T], names=["key", "period", "start", "end"])
+        keys, octaves, at = (batch.column(c).to_numpy() for c in ("key", "octave", "at"))
+        words, bounds = ([x.values.to_numpy() for x in batch.column(c)] for c in ("words", "bounds"))
+        for octave in np.unique(octaves).tolist():
+            here = np.flatnonzero(octaves == octave)
+            tile, period, start, end = solve([(words[k], bounds[k]) for k in here.tolist()], octave).T
+            columns = (keys[here[tile]], period, start + at[here[tile]], end + at[here[tile]])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "period", "start", "end"])
 
 
 def stitch(fragments: DataFrame) -> DataFrame:
