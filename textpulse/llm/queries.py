@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textpulse.llm import exact, html, mixing, near, packing, periods, quality, rules, tokens, toxicity, warc
+from textpulse.llm import align, exact, html, leaks, mixing, near, packing, periods, quality, rules, tokens, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -18,10 +18,13 @@ QUERIES = {
         toxicity.op9_toxicity,
         rules.op10_quality_rules,
         periods.op11_periodic_runs,
+        leaks.op12_benchmark_leaks,
+        align.op13_token_alignment,
     )
 }
 
 ORACLE = {
     "op1_exact_dedup": exact.OP1_SQL,
     "op10_quality_rules": rules.OP10_SQL,
+    "op12_benchmark_leaks": leaks.OP12_SQL,
 }
