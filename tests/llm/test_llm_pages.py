@@ -1,11 +1,12 @@
 import base64
 import gzip
 import hashlib
+import random
 
 import pyarrow.fs as fs
 import pytest
 
-from textpulse.llm import warc
+from textpulse.llm import html, warc
 from textpulse.llm.html import blocks, extract_main_text, main_text, op3_main_text
 from textpulse.llm.store import new_folder, opened
 
@@ -34,9 +35,95 @@ def test_the_article_is_what_stays(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body class='has-sidebar'><nav><a href=x>Home</a></nav><article>{BODY}</article></body>",
+        f"<main id='search-results'>{BODY}</main>",
+        f"<article class='post comment-open'>{BODY}</article>",
+        f"<div class='social-content'>{BODY}</div>",
+        f"<div class='ad-free-content'>{BODY}</div>",
+        f"<form id=all>{BODY}</form>",
+        f"<article><svg width='1'/>{BODY}</article>",
+        f"<article><object data=x><select><option>one</select></object>{BODY}</article>",
+        f"<div><audio src=x></div><article>{BODY}</article>",
+        f"<article>{BODY}</article><svg><path d='M0'><g><text>drawn</text></svg>",
+    ],
+)
+def test_names_and_foreign_elements_take_no_article(page):
+    assert main_text(page) == WANT
+
+
+def test_what_is_hidden_ends_no_block():
+    assert main_text("<p>Of <math><mi>x</mi></math> and <svg><path/>no</svg>y, it says.</p>") == "Of x and y, it says."
+
+
+WORDS = [w + v for w in "mor len tas vi oru del ban esk".split() for v in ("", "a", "in", "eth", "o")]
+
+
+def sentence(rng, low=6, high=18):
+    words = [rng.choice(WORDS) for _ in range(rng.randint(low, high))]
+    if rng.random() < 0.4:
+        words[len(words) // 2] += ","
+    return " ".join(words).capitalize() + "."
+
+
+def planted_page(rng):
+    """A page without telling names, tags or roles, and the blocks of its article."""
+    wanted = []
+
+    def put(tag, text):
+        wanted.append(text)
+        return f"<{tag}>{text}</{tag}>"
+
+    def prose(n):
+        return " ".join(sentence(rng) for _ in range(n))
+
+    links = "".join(f"<li><a href='/{k}'>{rng.choice(WORDS)} {rng.choice(WORDS)}</a></li>" for k in range(rng.randint(4, 9)))
+    body = [put("h1", sentence(rng, 4, 8))]
+    for _ in range(rng.randint(4, 12)):
+        kind = rng.random()
+        if kind < 0.7:
+            body.append(put("p", prose(rng.randint(1, 5))))
+        elif kind < 0.8:
+            body.append(put("h2", sentence(rng, 2, 5)) + put("p", prose(3)))
+        elif kind < 0.9:
+            body.append("<ul>" + "".join(put("li", sentence(rng, 3, 7)) for _ in range(rng.randint(2, 5))) + "</ul>")
+        else:
+            body.append(f"<blockquote>{put('p', prose(1))}</blockquote>")
+    body.append(put("p", prose(3)))
+    wrap = rng.choice(["<div>{}</div>", "<div class='x1'><div>{}</div></div>", "<section>{}</section>", "<table><tr><td>{}</td></tr></table>", "<main>{}</main>", "<article>{}</article>"])
+    notice = f"<div class='box'><p>{prose(rng.randint(1, 2))}</p></div>" if rng.random() < 0.7 else ""
+    teasers = "".join(f"<div class='k'><div><a href='/t'>{sentence(rng, 3, 6)}</a></div><p>{sentence(rng)}</p></div>" for _ in range(rng.randint(0, 4)))
+    comments = "".join(f"<div class='c'><div><a href='/u'>{rng.choice(WORDS)}</a></div><p>{prose(rng.randint(1, 2))}</p></div>" for _ in range(rng.randint(0, 8)))
+    page = f"<html><head><title>{rng.choice(WORDS)}</title></head><body><div><ul>{links}</ul></div>{notice}{wrap.format(''.join(body))}"
+    page += f"<div>{teasers}</div><div class='thread'>{comments}</div><div><p>{sentence(rng, 3, 6)}</p><ul>{links}</ul></div></body></html>"
+    return page, wanted
+
+
+def block_scores(seed=5, pages=300):
+    rng, right, got, want = random.Random(seed), 0, 0, 0
+    for _ in range(pages):
+        page, wanted = planted_page(rng)
+        found = main_text(page).split("\n")
+        right += sum(t in wanted for t in found)
+        got += len(found)
+        want += len(wanted)
+    return right / got, right / want
+
+
+def test_planted_articles_are_found_by_their_paths(monkeypatch):
+    precision, recall = block_scores()
+    assert precision >= 0.95 and recall >= 0.95
+    monkeypatch.setattr(html, "content", lambda found: [True] * len(found))
+    assert block_scores()[0] < 0.8
+
+
 def test_paths_name_tags_and_classes():
-    assert [b.path for b in blocks("<div class='a b'><p>x</p>y</div>")] == ["/div.a.b/p", "/div.a.b"]
-    assert len(blocks("<p>" * 3000 + "x")) == 1
+    found, elements = blocks("<div class='a b'><p>x</p>y</div><div class='a b'>z</div>")
+    assert [(e.tag, e.words) for e in elements[1:]] == [("div", ("a", "b")), ("p", ()), ("div", ("a", "b"))]
+    assert [b.element.path for b in found] == [2, 1, 1]
+    assert len(blocks("<p>" * 3000 + "x")[0]) == 1 and len(main_text("<div>" * 3000 + BODY * 3)) > 100
 
 
 def test_rows_keep_their_columns(spark, small):

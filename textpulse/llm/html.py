@@ -1,13 +1,22 @@
 """Main text of web pages by tag-path ratios.
 
-Every block of text has the path of block tags from the root to it. Per path, text length and punctuation are
-summed over its nodes; their ratios to the number of nodes, and the share of text outside links, are fused to one
-value, smoothed along the page by a Gaussian kernel, and paths above a share of the page's mean are content. All
-blocks of a content path are kept whole. Elements whose role is not the article (menus, forms, scripts, notices
-and so on, by tag or by a word of class, id or role) weigh nothing and lend nothing to their neighbours.
-
-Null pages count as empty and give an empty text, as do pages without any text outside such elements. Each row
-stands for itself; repeated rows and ids give repeated results.
+Every block of text has the path of block tags from the root to it, with words of class, id and role as part of it. Per
+path, text length outside links and punctuation are summed over its blocks; their ratios are those to the number of
+parents that hold such blocks, so that an article, whose blocks share a parent, stands above notices, teasers and
+comments, which come one by one. Ratios are fused to one value, smoothed along the page between blocks that belong
+together, and blocks whose path reaches a share of the page's mean are content.
+
+Blocks belong together when one lies within the other's parent: headings, lists, quotes and tables (by their tags) then
+take half of the higher value of the nearest such block before and after, others half of the lower, so that a list at the
+end of an article stays and a box at its end does not. A first heading that stands right before the content belongs to it.
+
+Elements that are no text by their tag (menus, forms, buttons, asides, footers, page headers) weigh nothing; words of
+class, id or role that name such a thing lower a path's value. Neither counts for html, body, main and article, nor for
+an element with most of the page's text, so that no name can delete an article.
+
+Null pages count as empty and give an empty text, as do pages without any text outside such elements. Very long pages are
+taken whole, in time proportional to their length. Each row stands for itself; repeated rows and ids give repeated
+results. All columns of the input stay; the result is the column main_text, which replaces one of that name.
 """
 
 from __future__ import annotations
@@ -24,16 +33,28 @@ from pyspark.sql import functions as F
 
 from textpulse.llm.common import MARK, table, whole
 
-#: Share of the page's mean fused value from which a path is content, and the width of smoothing in blocks.
-THRESHOLD, SIGMA, RADIUS = 0.1, 1.0, 3
+#: Share of the page's mean fused value from which a block is content.
+THRESHOLD = 0.3
+#: What a telling name leaves of a value, and the share of the page's unlinked text from which an element's names and
+#: tag are not believed.
+NAMED, WRAPPER = 0.02, 0.7
+#: Ancestors among which a block looks for others that it belongs to.
+REACH = 32
 
 # HTML's elements by kind.
-_RAW = "script|style|noscript|template|svg|math|textarea|title|iframe|select|object|canvas|audio|video"
+_RAW = "script|style|textarea|title|iframe|noembed|noframes|xmp"
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math mi mn mo "
+    "mrow mfrac msup msub msqrt mtext semantics".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_HIDDEN = frozenset("svg select object audio video canvas template noscript datalist annotation".split())
 _ASIDE_TAGS = frozenset("nav footer aside form button dialog menu head fieldset".split())
+_NEVER_ASIDE = frozenset("html body main article".split())
+_TEXTUAL = frozenset(
+    "h1 h2 h3 h4 h5 h6 p ul ol li dl dt dd blockquote pre table caption thead tbody tfoot tr td th figure figcaption section header hgroup details summary center "
+    "address".split()
+)
 _ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary consent cookie cookies footer "
     "login menu modal nav navbar navigation newsletter notice pagination popup promo related reply replies search share sharing "
@@ -56,10 +77,23 @@ _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _PART = re.compile(r"[a-zA-Z]+")
 
 
-@dataclass
+@dataclass(eq=False)
+class Element:
+    tag: str
+    words: tuple[str, ...] = ()
+    parent: Element | None = None
+    #: The path as a number, the same for the same path.
+    path: int = 0
+    hidden: bool = False
+    #: Characters outside links in it, and whether it or a parent is no part of an article by tag; what names leave of it.
+    text: int = 0
+    aside: bool = False
+    value: float = 1.0
+
+
+@dataclass(eq=False)
 class Block:
-    path: str
-    aside: bool
+    element: Element
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -67,43 +101,36 @@ class Block:
         return " ".join(unescape("".join(self.parts)).split())
 
 
-def _named(attrs: str) -> list[str]:
-    return [w.lower() for m in _NAMED.finditer(attrs) for w in _PART.findall(m[1] or m[2] or m[3] or "")]
+def _named(attrs: str) -> tuple[str, ...]:
+    return tuple(w.lower() for m in _NAMED.finditer(attrs) for w in _PART.findall(m[1] or m[2] or m[3] or ""))
 
 
-def blocks(page: str) -> list[Block]:
-    """Runs of text within one block element, in page order, with their tag paths."""
-    out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, path to it, whether it or a parent is no part of the article
+def blocks(page: str) -> tuple[list[Block], list[Element]]:
+    """Runs of text within one block element, and the elements, both in page order."""
+    root = Element("")
+    out, elements, stack = [], [root], [root]
+    paths: dict[tuple, int] = {}
     links, current, at = 0, None, 0
 
-    def path() -> tuple[str, bool]:
-        return (stack[-1][1], stack[-1][2]) if stack else ("", False)
-
     def put(text: str) -> None:
         nonlocal current
-        if not text:
+        if not text or stack[-1].hidden:
             return
         if current is None:
             if text.isspace():
                 return
-            current = Block(*path())
+            current = Block(stack[-1])
             out.append(current)
         current.parts.append(text)
         current.linked += len(text) if links else 0
 
-    def close_to(k: int) -> None:
-        nonlocal current
-        del stack[k:]
-        current = None
-
     def innermost(tags, stop=()) -> int:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].tag in tags:
                 return k
-            if stack[k][0] in stop:
+            if stack[k].tag in stop:
                 break
-        return -1
+        return 0
 
     for m in _TOKEN.finditer(page):
         put(page[at : m.start()])
@@ -116,56 +143,130 @@ def blocks(page: str) -> list[Block]:
         elif tag in _INLINE:
             links = max(0, links + (-1 if m["close"] else 1)) if tag == "a" else links
         elif m["close"]:
-            k = innermost({tag})
-            if k >= 0:
-                close_to(k)
-                links = 0
+            if k := innermost({tag}):
+                # What is hidden within a block does not end it.
+                if not stack[k].hidden:
+                    current, links = None, 0
+                del stack[k:]
         else:
-            current = None
-            links = 0
-            if tag in _ENDS_P and (k := innermost({"p"}, {"td", "th", "li", "button"})) >= 0:
-                close_to(k)
-            if tag in _ENDS and (k := innermost(_ENDS[tag], {"ul", "ol", "dl", "table"})) >= 0:
-                close_to(k)
-            if tag in _VOID:
+            above = stack[-1]
+            hidden = above.hidden or tag in _HIDDEN
+            if hidden and (tag in _VOID or m["attrs"].endswith("/")):
                 continue
-            above, aside = path()
-            words = _named(m["attrs"])
-            inside = any(t in ("article", "main") for t, _, _ in stack)
-            aside = aside or tag in _ASIDE_TAGS or (tag == "header" and not inside) or not _ASIDE_WORDS.isdisjoint(words)
-            stack.append((tag, f"{above}/{'.'.join([tag, *words])}", aside))
+            if not hidden:
+                current, links = None, 0
+                if tag in _ENDS_P and (k := innermost({"p"}, {"td", "th", "li", "button"})):
+                    del stack[k:]
+                if tag in _ENDS and (k := innermost(_ENDS[tag], {"ul", "ol", "dl", "table"})):
+                    del stack[k:]
+                if tag in _VOID:
+                    continue
+                above = stack[-1]
+            words = () if hidden else _named(m["attrs"])
+            stack.append(Element(tag, words, above, paths.setdefault((above.path, tag, words), len(paths) + 1), hidden))
+            elements.append(stack[-1])
     put(page[at:])
-    return out
+    return out, elements
+
+
+def _judge(found: list[tuple[Block, str]], elements: list[Element]) -> None:
+    """Which elements are no part of an article by their tag, and what their names leave of their text."""
+    for block, text in found:
+        block.element.text += max(0, len(text) - block.linked)
+    for e in reversed(elements[1:]):
+        e.parent.text += e.text
+    most = WRAPPER * elements[0].text
+    inside = {id(elements[0]): False}
+    for e in elements[1:]:
+        above = e.parent
+        inside[id(e)] = inside[id(above)] or e.tag in ("article", "main")
+        e.aside, e.value = above.aside, above.value
+        if e.tag in _NEVER_ASIDE or (e.text >= most and e.text > 0 and e.tag != "nav"):
+            continue
+        e.aside = e.aside or e.tag in _ASIDE_TAGS or (e.tag == "header" and not inside[id(e)])
+        if e.value == 1 and not _ASIDE_WORDS.isdisjoint(e.words):
+            e.value = NAMED
 
 
-def content_paths(found: list[tuple[str, str, int]]) -> set[str]:
-    """Paths of content among (path, text, characters in links) of a page's blocks in order."""
-    length, marks, linked, nodes = (defaultdict(float) for _ in range(4))
-    for path, text, inside in found:
+def path_values(found: list[tuple[Block, str]]) -> list[float]:
+    """The fused ratio of each block's path: characters outside links per parent, times a measure of punctuation per
+    parent, times the share outside links."""
+    length, marks, linked = (defaultdict(float) for _ in range(3))
+    parents: dict[int, set[int]] = defaultdict(set)
+    for block, text in found:
+        path = block.element.path
         length[path] += len(text)
         marks[path] += len(_PUNCTUATION.findall(text))
-        linked[path] += min(inside, len(text))
-        nodes[path] += 1
-    fused = {p: (length[p] / nodes[p]) * (1 + marks[p] / nodes[p]) * (1 - linked[p] / length[p]) for p in nodes}
-    raw = [fused[p] for p, _, _ in found]
-    kernel = [math.exp(-0.5 * (d / SIGMA) ** 2) for d in range(RADIUS + 1)]
-    sums: dict[str, float] = defaultdict(float)
-    for k, (path, _, _) in enumerate(found):
-        near = range(max(0, k - RADIUS), min(len(raw), k + RADIUS + 1))
-        weight = sum(kernel[abs(j - k)] for j in near)
-        # A block of links alone borrows nothing from its neighbours.
+        linked[path] += min(block.linked, len(text))
+        parents[path].add(id(block.element.parent))
+    fused = {}
+    for path, n in ((p, len(x)) for p, x in parents.items()):
         own = 1 - linked[path] / length[path]
-        sums[path] += own * sum(kernel[abs(j - k)] * raw[j] for j in near) / weight
-    smooth = {p: sums[p] / nodes[p] for p in nodes}
-    mean = sum(smooth[p] * length[p] for p in nodes) / max(sum(length.values()), 1)
-    return {p for p in nodes if max(smooth[p], fused[p]) >= THRESHOLD * mean and smooth[p] > 0}
+        fused[path] = own * own * (length[path] / n) * math.log(2 + marks[path] / n)
+    return [fused[block.element.path] for block, _ in found]
+
+
+def _nearest(found: list[tuple[Block, str]]) -> list[tuple[int, bool]]:
+    """Of each block the nearest one before it, of another path, in whose parent it lies, or -1; and whether all tags on the
+    way to it are textual."""
+    # Of each parent its last block, and the last one before that of another path.
+    last: dict[int, tuple[int, int]] = {}
+    out = []
+    for k, (block, _) in enumerate(found):
+        best, textual, best_textual, e, path = -1, True, False, block.element, block.element.path
+        for _ in range(REACH):
+            if e is None:
+                break
+            textual = textual and e.tag in _TEXTUAL
+            at, other = last.get(id(e.parent), (-1, -1))
+            if at >= 0 and found[at][0].element.path == path:
+                at = other
+            if at > best:
+                best, best_textual = at, textual
+            e = e.parent
+        out.append((best, best_textual))
+        at, other = last.get(id(block.element.parent), (-1, -1))
+        last[id(block.element.parent)] = (k, other if at >= 0 and found[at][0].element.path == path else at)
+    return out
+
+
+def smoothed(found: list[tuple[Block, str]], values: list[float]) -> list[float]:
+    """Half of each value and half of that of the blocks it belongs to."""
+    before = _nearest(found)
+    after = [(len(found) - 1 - k if k >= 0 else -1, t) for k, t in reversed(_nearest(found[::-1]))]
+    out = []
+    for k, value in enumerate(values):
+        sides = [(values[j] if j >= 0 else 0.0, textual and j >= 0) for j, textual in (before[k], after[k])]
+        lent = max((v for v, textual in sides if textual), default=0.0)
+        lent = max(lent, min(v for v, _ in sides))
+        out.append(max(value, (value + lent) / 2))
+    return out
+
+
+def content(found: list[tuple[Block, str]]) -> list[bool]:
+    """Which of a page's blocks are content, by the values of their paths."""
+    values = path_values(found)
+    own = [1 - min(block.linked, len(text)) / len(text) for block, text in found]
+    weights = [block.element.value for block, _ in found]
+    smooth = [v * w * (x > 0.5) for v, w, x in zip(smoothed(found, values), weights, own)]
+    total = sum(len(text) * w for (_, text), w in zip(found, weights))
+    mean = sum(v * w * len(text) * w for (_, text), v, w in zip(found, values, weights)) / max(total, 1)
+    chosen = [v >= THRESHOLD * mean and v > 0 for v in smooth]
+    for k in range(len(found) - 1):
+        if chosen[k + 1]:
+            block = found[k][0]
+            chosen[k] = chosen[k] or (block.element.tag in ("h1", "h2") and weights[k] == 1 and own[k] > 0.5)
+            break
+    return chosen
 
 
 def main_text(page: str) -> str:
     """The article's blocks in page order, one per line."""
-    found = [(b.path, t, b.linked) for b in blocks(page) if not b.aside and (t := b.text())]
-    chosen = content_paths(found)
-    return "\n".join(t for path, t, _ in found if path in chosen)
+    found, elements = blocks(page)
+    found = [(b, t) for b in found if (t := b.text())]
+    _judge(found, elements)
+    found = [(b, t) for b, t in found if not b.element.aside]
+    return "\n".join(t for (_, t), kept in zip(found, content(found)) if kept)
 
 
 def extract_main_text(pages: DataFrame, html: str = "html") -> DataFrame:
