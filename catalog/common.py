@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textpulse.session import local_rows
+from textpulse.operators import sentiment
+from textpulse.session import stage
 from textpulse.sources.tables import spread_rows
 
 DIGITS = 6
@@ -23,17 +24,49 @@ def rounded(df: DataFrame, *names: str, digits: int = DIGITS) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
-# Stop words and polarities of the registered queries: frequent words of the documents.
+# Stop words of the registered queries: frequent words of the documents. Negators of their languages.
 STOP = ["the", "and", "that", "with", "are", "und", "der", "die", "les", "que", "los", "una"]
 STOP_SQL = "(" + ", ".join(f"'{w}'" for w in STOP) + ")"
-POLARITY = {"the": 1.0, "for": 2.0, "with": 0.5, "und": 1.0, "que": 1.5, "and": -1.0, "this": -2.5, "der": -1.0, "les": -2.0}
-POLARITY_SQL = ", ".join(f"('{w}', {s}::DOUBLE)" for w, s in POLARITY.items())
+NEGATORS = [*sentiment.NEGATORS, "nicht", "kein", "keine", "nie", "ohne", "pas", "jamais", "sans", "nunca", "sin"]
+NEGATORS_SQL = "(" + ", ".join(f"'{w}'" for w in NEGATORS) + ")"
 WORD_SQL = r"[\p{L}\p{N}_]+"
 TOKENS_SQL = f"regexp_extract_all(lower(text), '{WORD_SQL}')"
 
 
-def polarity(spark: SparkSession) -> DataFrame:
-    return local_rows(spark, list(POLARITY.items()), "word string, score double")
+def scoped_words_sql(name: str, source: str) -> str:
+    """Words of sentences (doc_id, sid, s) with whether a negator before them turns them."""
+    return f"""{name}_w AS (SELECT *, coalesce(list_position(list_transform(w, lambda x: x IN {NEGATORS_SQL}), true), 0) AS first_neg FROM (
+  SELECT * EXCLUDE (c), regexp_extract_all(c, '{WORD_SQL}') AS w FROM (
+    SELECT *, unnest(string_split_regex(regexp_replace(lower(s), 'n[''’]t', ' not', 'g'), '[,;:.!?()]+')) AS c FROM {source}))),
+{name} AS MATERIALIZED (SELECT * EXCLUDE (w, first_neg, s), unnest(w) AS word, first_neg > 0 AND generate_subscripts(w, 1) > first_neg AS negated FROM {name}_w)"""
+
+
+# Written so that a query may put other rows in the place of the documents whose sentences are judged, not of those taught.
+POLARITY_SQL = rf"""lesson AS (SELECT toxic = 0 AS positive, unnest(string_split_regex(text, '[.!?\n]+')) AS s from documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL),
+{scoped_words_sql("taught", "lesson")},
+seen AS (SELECT word, count(*) FILTER (positive <> negated) AS up, count(*) FILTER (positive = negated) AS down FROM taught GROUP BY 1),
+told AS (SELECT sum(up)::DOUBLE AS n_up, sum(down)::DOUBLE AS n_down FROM seen),
+leaning AS (SELECT word, n_up, n_down, up + 1000.0::DOUBLE * (up + down) / (n_up + n_down) AS a, down + 1000.0::DOUBLE * (up + down) / (n_up + n_down) AS b FROM seen, told),
+odds AS (SELECT word, a, b, ln(a / (n_up + 1000.0::DOUBLE - a)) - ln(b / (n_down + 1000.0::DOUBLE - b)) AS score FROM leaning),
+pol AS MATERIALIZED (SELECT word, score, score / sqrt(1 / a + 1 / b) AS z FROM odds WHERE abs(round(score / sqrt(1 / a + 1 / b), 9)) >= 1.96)"""
+
+
+def polarity(spark: SparkSession, folder: str) -> DataFrame:
+    """Learned from the sentences of labelled documents: those of toxic ones are negative. Staged."""
+    labels = table(spark, folder, "labels").select("doc_id", (F.col("toxic") == 0).alias("positive"))
+    taught = table(spark, folder, "documents").select("doc_id", "text").join(labels, "doc_id")
+    return stage(sentiment.learn_polarity(taught, "text", "positive", NEGATORS), "polarity")
+
+
+_SHARED: dict[tuple[str, str, str], object] = {}
+
+
+def shared(spark: SparkSession, folder: str, name: str, build):
+    """What several queries of a session read from the same tables is fitted once; it lies in stored tables."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _SHARED:
+        _SHARED[key] = build()
+    return _SHARED[key]
 
 
 def draw_sql(key: str, purpose: str, seed: int) -> str:

@@ -6,24 +6,29 @@ properties that hold exactly. Each query still fits the whole model and goes ove
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from catalog.common import COMMENTS_SQL, STOP, comments, draw_sql, polarity, rounded, table
+from catalog import svd_sql, tree_sql
+from catalog.common import COMMENTS_SQL, NEGATORS, STOP, STOP_SQL, TOKENS_SQL, WORD_SQL, comments, draw_sql, polarity, rounded, shared, table
 from catalog.tables import _anova_sql
 from catalog.texts import DIMS, LEMMAS_SQL, SMOOTH_SQL, _embeddings, _sentiment_sql, _tokens, _word_vectors
-from textpulse.operators import embeddings, learning, lemmas, lsa, sampling, sentiment, terms
+from textpulse.functions.tokens import words
+from textpulse.operators import cooccurrence, embeddings, learning, lemmas, lsa, sampling, sentiment, subspace, terms, trees
 from textpulse.operators.engagement import normalise_in_group
 from textpulse.operators.tests_stat import chi_square_ml
 from textpulse.plans.reports import sentiment_anova
-from textpulse.session import scratch_path, stage
+from textpulse.session import local_rows, scratch_path, stage
 from textpulse.sources.tables import load_word_model, save_word_model
 
 QUERIES = {}
 ORACLE = {}
 SEED = 1
+# Lemmas with their places among those that are kept.
+LEMMAS_AT_SQL = f"""placed AS MATERIALIZED (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM (
+  SELECT doc_id, [t for t in {TOKENS_SQL} if length(t) > 2 AND t NOT IN {STOP_SQL}] AS w FROM documents))"""
 
 
 def query(name: str, sql: str | None = None):
@@ -86,90 +91,123 @@ def word_model_saved(spark, d):
 
 
 def _factors(spark, d) -> lsa.Factors:
-    return lsa.factorise(embeddings.longer_than(_staged_tokens(spark, d), "tokens", embeddings.MIN_LSA_TOKENS), "doc_id", "tokens")
+    def fit() -> lsa.Factors:
+        long = embeddings.longer_than(_staged_tokens(spark, d), "tokens", embeddings.MIN_LSA_TOKENS)
+        return subspace.factorise_postings(long, "doc_id", "tokens")
 
+    return shared(spark, d, "factors", fit)
 
-def _norms(factor: DataFrame) -> DataFrame:
-    """Length of each column: 1 for the factors of a decomposition."""
-    parts = factor.select(F.posexplode("vector").alias("concept", "x"))
-    return parts.groupBy("concept").agg(F.round(F.sqrt(F.sum(F.col("x") * F.col("x"))), 5).alias("norm"))
 
+@query("lsa_top_terms", svd_sql.top_sql("v", "t", "term"))
+def lsa_top_terms(spark, d):
+    return rounded(lsa.top_per_concept(_factors(spark, d).terms, "term", digits=9), "weight")
 
-def _ordered(top: DataFrame, key: str) -> DataFrame:
-    """The top list by concept and rank: does no weight exceed the one before, is no key listed twice?"""
-    before = F.lag("weight").over(W.partitionBy("concept").orderBy("rank"))
-    checked = top.withColumn("falls", F.coalesce(F.col("weight") <= before, F.lit(True)))
-    return checked.groupBy("concept").agg(
-        F.count(F.lit(1)).alias("n_listed"), F.count_distinct(key).alias("n_keys"), F.every("falls").alias("falls")
-    )
 
+@query("lsa_top_documents", svd_sql.top_sql("u", "d", "doc_id"))
+def lsa_top_documents(spark, d):
+    return rounded(lsa.top_per_concept(_factors(spark, d).documents, "doc_id", digits=9), "weight")
 
-LSA_SQL = "SELECT i::INTEGER AS concept, 10::BIGINT AS n_listed, 10::BIGINT AS n_keys, true AS falls, 1.0::DOUBLE AS norm FROM range(10) r(i)"
 
+@query("lsa_singular_values", svd_sql.factors_sql() + " SELECT c::INTEGER AS concept, round(s, 6) AS value FROM s")
+def lsa_singular_values(spark, d):
+    values = enumerate(_factors(spark, d).singular_values)
+    return rounded(local_rows(spark, list(values), "concept int, value double"), "value")
 
-@query("lsa_top_terms", LSA_SQL)
-def lsa_top_terms(spark, d):
-    factor = _factors(spark, d).terms
-    return _ordered(lsa.top_per_concept(factor, "term"), "term").join(_norms(factor), "concept")
 
+@query("lsa_documents_for_document", svd_sql.LIKE_SQL)
+def lsa_documents_for_document(spark, d):
+    found = _factors(spark, d)
+    unit = lsa.normalise_rows(lsa.scale_columns(found.documents, found.singular_values))
+    return rounded(lsa.docs_like_doc(unit, 1, digits=9), "score")
 
-@query("lsa_top_documents", LSA_SQL)
-def lsa_top_documents(spark, d):
-    factor = _factors(spark, d).documents
-    return _ordered(lsa.top_per_concept(factor, "doc_id"), "doc_id").join(_norms(factor), "concept")
 
+def cluster_sql(low: int, high: int, rounds: int) -> str:
+    """Lloyd's iterations for each k from low to high: c{rounds} (k, cluster, v), final (vec_id, k, cluster, distance)."""
+    parts = [
+        "rows AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)",
+        f"pick AS (SELECT v, row_number() OVER (ORDER BY {draw_sql('vec_id', 'start', SEED)}, vec_id) - 1 AS place FROM rows)",
+        f"c0 AS MATERIALIZED (SELECT k, place AS cluster, v FROM range({low}, {high + 1}) m(k), pick WHERE place < k)",
+    ]
+    for r in range(rounds + 1):
+        near = "min({'d': pow(list_distance(r.v, c.v), 2), 'c': c.cluster})"
+        parts.append(f"a{r} AS MATERIALIZED (SELECT vec_id, k, best.c AS cluster, best.d AS distance FROM (SELECT vec_id, k, {near} AS best FROM rows r, c{r} c GROUP BY 1, 2))")
+        if r < rounds:
+            parts.append(f"m{r} AS (SELECT k, cluster, list(x ORDER BY dim) AS v FROM (SELECT k, cluster, dim, avg(x) AS x FROM (SELECT k, cluster, generate_subscripts(v, 1) AS dim, unnest(v) AS x FROM a{r} JOIN rows USING (vec_id)) GROUP BY 1, 2, 3) GROUP BY 1, 2)")
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT k, cluster, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} USING (k, cluster))")
+    parts += [f"final AS (SELECT * FROM a{rounds})", "sizes AS (SELECT cluster, count(*) AS n FROM final GROUP BY 1)"]
+    return "WITH " + ", ".join(parts)
 
-@query("lsa_documents_for_document", "SELECT 10::BIGINT AS n_listed, 1.0::DOUBLE AS best, true AS itself")
-def lsa_documents_for_document(spark, d):
-    found = _factors(spark, d)
-    like = lsa.docs_like_doc(lsa.normalise_rows(lsa.scale_columns(found.documents, found.singular_values)), 1)
-    itself = F.bool_or((F.col("doc_id") == 1) & (F.col("score") > 0.999999))
-    return like.agg(F.count(F.lit(1)).alias("n_listed"), F.round(F.max("score"), 6).alias("best"), itself.alias("itself"))
+
+PAIRS_SQL = f"""{LEMMAS_AT_SQL}, near AS (SELECT a.term AS a, b.term AS b, count(*) AS n FROM placed a JOIN placed b ON a.doc_id = b.doc_id AND b.i > a.i AND b.i <= a.i + {cooccurrence.WINDOW} GROUP BY 1, 2),
+pairs AS MATERIALIZED (SELECT word, context, sum(n)::BIGINT AS n FROM (SELECT a AS word, b AS context, n FROM near UNION ALL SELECT b, a, n FROM near) GROUP BY 1, 2)"""
+LEAST = 40
+PMI_SQL = f"""{PAIRS_SQL}, margin AS (SELECT word, sum(n) AS total FROM pairs GROUP BY 1 HAVING sum(n) >= {LEAST}),
+met AS (SELECT p.word, p.context, p.n, a.total AS n_word, b.total AS n_context FROM pairs p JOIN margin a ON a.word = p.word JOIN margin b ON b.word = p.context),
+pmi AS MATERIALIZED (SELECT word, context, ln(n * (SELECT sum(n) FROM met) / (n_word * n_context)) AS weight FROM met)"""
+
+
+def _pairs(spark, d) -> DataFrame:
+    return stage(cooccurrence.cooccurrences(_staged_tokens(spark, d), "tokens"), "pairs")
 
 
-@query("k_means_centers", f"SELECT i::INTEGER AS cluster, {DIMS}::BIGINT AS dims, true AS within FROM range(10) r(i)")
+@query("cooccurrence_counts", f"WITH {PAIRS_SQL} SELECT word, context, n FROM pairs")
+def cooccurrence_counts(spark, d):
+    return _pairs(spark, d)
+
+
+@query("shifted_pmi", f"WITH {PMI_SQL} SELECT word, context, round(weight, 6) AS weight FROM pmi WHERE round(weight, 12) > 0")
+def shifted_pmi(spark, d):
+    return rounded(cooccurrence.shifted_pmi(_pairs(spark, d), least=LEAST), "weight")
+
+
+@query(
+    "nlp_result_fields",
+    f"""SELECT doc_id, len(regexp_extract_all(lower(text), '{WORD_SQL}'))::INTEGER AS n_tokens, positive, negative, neutral FROM documents JOIN ({_sentiment_sql()}) USING (doc_id)""",
+)
+def nlp_result_fields(spark, d):
+    """Tokens and sentiment shares as one struct, stored, and its fields again, with the check that there are three shares."""
+    rows = table(spark, d, "documents").select("doc_id", "text")
+    shares = ["positive", "negative", "neutral"]
+    profile = sentiment.sentiment_profile(rows, "doc_id", "text", polarity(spark, d), negators=NEGATORS).withColumn("found", words("text", lower=True))
+    parts = sentiment.nlp_parts(stage(profile.select("doc_id", sentiment.nlp_result("found", shares).alias("nlp")), "nlp"), "nlp")
+    return rounded(parts.select("doc_id", F.size("tokens").alias("n_tokens"), *[F.get("sentiments", F.lit(i)).alias(c) for i, c in enumerate(shares)]), *shares)
+
+
+ROUNDS = 5
+
+
+@query("k_means_centers", f"{cluster_sql(10, 10, ROUNDS)} SELECT cluster::INTEGER AS cluster, dim::INTEGER AS dim, round(x, 6) AS value, coalesce(n, 0) AS n FROM (SELECT cluster, generate_subscripts(v, 1) - 1 AS dim, unnest(v) AS x FROM c{ROUNDS}) LEFT JOIN sizes USING (cluster)")
 def k_means_centers(spark, d):
-    """No coordinate of a centre, a mean, lies outside those of the rows."""
-    vectors = _embeddings(spark, d)
-    ends = vectors.select(F.posexplode("vector").alias("dim", "x")).groupBy("dim").agg(F.min("x").alias("low"), F.max("x").alias("high"))
-    centers = learning.k_means(vectors, 10, DIMS, seed=SEED).centers.select("cluster", F.posexplode("vector").alias("dim", "value"))
-    within = F.every((F.col("value") >= F.col("low") - 1e-9) & (F.col("value") <= F.col("high") + 1e-9))
-    return centers.join(ends, "dim").groupBy("cluster").agg(F.count(F.lit(1)).alias("dims"), within.alias("within"))
+    found = learning.lloyd(_embeddings(spark, d), {10: _start(spark, d, 10)}, DIMS, rounds=ROUNDS)
+    return rounded(found.select("cluster", F.posexplode("vector").alias("dim", "value"), "n"), "value")
 
 
-@query("k_means_assignments", "SELECT vec_id, true AS nearest, true AS cost_agrees FROM embeddings")
+@query("k_means_assignments", f"{cluster_sql(10, 10, ROUNDS)} SELECT vec_id, cluster::INTEGER AS cluster, round(distance, 6) AS distance FROM final")
 def k_means_assignments(spark, d):
-    """Every row is with its nearest centre, and the rows' distances add to the model's cost."""
-    vectors = _embeddings(spark, d)
-    found = learning.k_means(vectors, 10, DIMS, seed=SEED)
-    assigned = stage(learning.assign_clusters(vectors, found.centers).select("vec_id", "cluster", "distance"), "assigned")
-    cost = assigned.agg(F.sum("distance")).scalar()
-    told = found.model.transform(learning.ml_vectors(vectors)).select("vec_id", F.col("prediction").alias("told"))
-    agrees = F.abs(cost / F.lit(found.cost) - 1) < 1e-6
-    return assigned.join(told, "vec_id").select("vec_id", (F.col("cluster") == F.col("told")).alias("nearest"), agrees.alias("cost_agrees"))
+    found = learning.lloyd(_embeddings(spark, d), {10: _start(spark, d, 10)}, DIMS, rounds=ROUNDS)
+    return rounded(learning.assign_clusters(_embeddings(spark, d), found).select("vec_id", "cluster", "distance"), "distance")
 
 
-@query("k_means_center_words", "SELECT i::INTEGER AS cluster, 10::BIGINT AS n_words, true AS bounded FROM range(5) r(i)")
+@query(
+    "k_means_center_words",
+    f"""{cluster_sql(5, 5, ROUNDS)}, near AS (SELECT cluster, 'w' || vec_id AS word, round(list_cosine_similarity(r.v, c.v), 9) AS s FROM c{ROUNDS} c, rows r),
+    top AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY s DESC, word) AS rank FROM near)
+    SELECT cluster::INTEGER AS cluster, rank::INTEGER AS rank, word, round(s, 6) AS similarity FROM top WHERE rank <= 10""",
+)
 def k_means_center_words(spark, d):
-    vectors = _embeddings(spark, d)
-    named = vectors.select(F.concat(F.lit("w"), "vec_id").alias("word"), "vector")
-    found = learning.words_of_centers(learning.k_means(vectors, 5, DIMS, seed=SEED), named)
-    bounded = F.every(F.abs("similarity") <= 1 + 1e-9)
-    return found.groupBy("cluster").agg(F.count_distinct("word").alias("n_words"), bounded.alias("bounded"))
+    found = learning.lloyd(_embeddings(spark, d), {5: _start(spark, d, 5)}, DIMS, rounds=ROUNDS)
+    named = _embeddings(spark, d).select(F.concat(F.lit("w"), "vec_id").alias("word"), "vector")
+    return rounded(learning.words_of_centers(found, named, digits=9), "similarity")
 
 
-@query(
-    "inertia_curve",
-    """WITH flat AS (SELECT generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
-    one AS (SELECT round(sum(s), 4) AS cost FROM (SELECT var_pop(x) * count(*) AS s FROM flat GROUP BY i))
-    SELECT k::INTEGER AS k, CASE WHEN k = 1 THEN cost END AS single_cost, true AS not_above FROM range(1, 21) r(k), one""",
-)
+def _start(spark, d, k: int) -> list[list[float]]:
+    return learning.start_rows(_embeddings(spark, d), "vec_id", k, seed=SEED)
+
+
+@query("inertia_curve", f"{cluster_sql(1, 20, ROUNDS)} SELECT k::INTEGER AS k, round(sum(distance), 4) AS cost FROM final GROUP BY 1")
 def inertia_curve(spark, d):
-    """The cost of one cluster, and for each k that no more clusters cost more than one."""
-    curve = learning.inertia_curve(_embeddings(spark, d), DIMS, ks=range(1, 21), seed=SEED)
-    single = F.max(F.when(F.col("k") == 1, F.col("cost"))).over(W.partitionBy(F.lit(1)))
-    own = F.when(F.col("k") == 1, F.round("cost", 4))
-    return curve.select("k", own.alias("single_cost"), ((F.col("cost") >= 0) & (F.col("cost") <= single + 1e-6)).alias("not_above"))
+    kept = stage(_embeddings(spark, d), "vectors")
+    return rounded(learning.lloyd_curve(kept, "vec_id", DIMS, rounds=ROUNDS, seed=SEED), "cost", digits=4)
 
 
 @query(
@@ -198,14 +236,14 @@ def _sentiment_anova_sql() -> str:
         f"""SELECT *, '{share}' AS measure FROM ({_anova_sql("joined", "flag", share)})"""
         for share in ("positive", "negative", "neutral")
     ]
-    return f"""WITH shares AS ({_sentiment_sql("false").replace("round(", "(").replace(", 6)", ")")}),
+    return f"""WITH shares AS ({_sentiment_sql(digits=None)}),
     joined AS (SELECT (quality = 0)::VARCHAR AS flag, positive, negative, neutral FROM shares LEFT JOIN labels USING (doc_id)) """ + " UNION ALL ".join(parts)
 
 
 @query("anova_sentiment_by_selection", _sentiment_anova_sql())
 def anova_sentiment_by_selection(spark, d):
     rows = comments(spark, d).select("commentID", "commentBody", "editorsSelection")
-    found = sentiment_anova(sentiment.sentiment_profile(rows, "commentID", "commentBody", polarity(spark)))
+    found = sentiment_anova(sentiment.sentiment_profile(rows, "commentID", "commentBody", polarity(spark, d), negators=NEGATORS))
     return rounded(found.drop("p_value"), "f_value", "eta_sq", "omega_sq")
 
 
@@ -220,67 +258,111 @@ def _tree_input(spark, d, labelled: bool = True) -> DataFrame:
     vectors = embeddings.text_vectors(
         postings, _word_vectors(spark, d, lemmas.vocabulary(tokens, "tokens")), "commentID", DIMS, documents=tokens
     )
-    profile = sentiment.sentiment_profile(texts, "commentID", "commentBody", polarity(spark)).select(
-        "commentID", "positive", "negative", "neutral"
+    # Adding 0 makes a rounded -0 a 0.
+    vectors = vectors.select("commentID", F.transform("vector", lambda x: F.round(x, 6) + 0.0).alias("text_vector"))
+    profile = rounded(
+        sentiment.sentiment_profile(texts, "commentID", "commentBody", polarity(spark, d), negators=NEGATORS).drop("commentBody", "n_sentences"),
+        "positive", "negative", "neutral",
     )
-    joined = stage(rows.drop("commentBody").join(vectors, "commentID").join(profile, "commentID"), "features")
-    return normalise_in_group(joined, "articleID", "recommandations").withColumn("text_vector", array_to_vector("vector"))
+    joined = rows.drop("commentBody").join(vectors, "commentID").join(profile, "commentID")
+    grouped = normalise_in_group(stage(joined, "features"), "articleID", "recommandations")
+    return grouped.withColumn("label", F.col("editorsSelection").cast("int").cast("double"))
 
 
 TREE_FEATURES = [
     "text_vector", "positive", "negative", "neutral", "articleWordCount", "printPage", "count_class", "share_class",
 ]
+DEPTH = 5
 
 
-def _classified(spark, d) -> learning.TreeResult:
-    rows = sampling.rebalance(_tree_input(spark, d), F.col("editorsSelection"), 0.2, "commentID", SEED)
-    return learning.classify_tree(rows, TREE_FEATURES, "editorsSelection", "commentID", SEED)
+def _class_tree(spark, d) -> tuple[trees.Tree, DataFrame]:
+    """The tree of the training part, and the test part routed through it."""
 
+    def fit() -> tuple[trees.Tree, DataFrame]:
+        rows = sampling.rebalance(_tree_input(spark, d), F.col("editorsSelection"), 0.2, "commentID", SEED)
+        train, test = sampling.random_split(rows, "commentID", SEED, 0.7)
+        tree = trees.grow_tree(train, TREE_FEATURES, "label", "commentID", depth=DEPTH, seed=SEED)
+        return tree, stage(trees.route(test, tree.nodes, TREE_FEATURES, DEPTH).select("commentID", "label", "leaf", "prediction"), "routed")
 
-# The test part: comments with a positive group total, rebalanced, then split, by the same draws.
-TEST_SQL = f"""{COMMENTS_SQL}, base AS (SELECT * FROM comments WHERE "editorsSelection" IS NOT NULL),
-totals AS (SELECT "articleID" FROM base GROUP BY 1 HAVING sum("recommandations") > 0),
-test AS (SELECT "editorsSelection" AS y FROM base JOIN totals USING ("articleID")
-  WHERE ("editorsSelection" OR {draw_sql('"commentID"', "rebalance", SEED)} < 0.2) AND {draw_sql('"commentID"', "split", SEED)} >= 0.7)"""
+    return shared(spark, d, "class tree", fit)
 
 
-@query("tree_confusion_matrix", f"WITH {TEST_SQL} SELECT CASE WHEN y THEN 1.0 ELSE 0.0 END::DOUBLE AS label, count(*)::BIGINT AS n FROM test GROUP BY 1")
-def tree_confusion_matrix(spark, d):
-    """The matrix by its label margin: every test row is in it, with its own label."""
-    matrix = learning.confusion_matrix(_classified(spark, d).predictions)
-    return matrix.groupBy("label").agg(F.sum("n").alias("n"))
+def _number_tree(spark, d) -> tuple[trees.Tree, DataFrame]:
+    """All comments: the target needs no label."""
 
+    def fit() -> tuple[trees.Tree, DataFrame]:
+        train, test = sampling.random_split(_tree_input(spark, d, labelled=False), "commentID", SEED, 0.7)
+        inputs = TREE_FEATURES[:5]
+        tree = trees.grow_tree(train, inputs, "log_value", "commentID", classes=False, depth=DEPTH, bins=64, max_categories=60, min_rows=2, seed=SEED)
+        return tree, stage(trees.route(test, tree.nodes, inputs, DEPTH).select("commentID", "log_value", "prediction"), "routed")
 
-@query("tree_scores", f"WITH {TEST_SQL} SELECT count(*)::BIGINT AS n_test, true AS consistent FROM test")
-def tree_scores(spark, d):
-    """Scores lie between 0 and 1, accuracy and error add to 1."""
-    predictions = _classified(spark, d).predictions
-    scores = learning.class_scores(predictions)
-    shares = F.forall(F.array("accuracy", "test_error", "recall", "precision", "f_measure"), lambda x: x.between(0, 1))
-    consistent = shares & (F.abs(F.col("accuracy") + F.col("test_error") - 1) < 1e-9)
-    return scores.select(predictions.agg(F.count(F.lit(1))).scalar().alias("n_test"), consistent.alias("consistent"))
+    return shared(spark, d, "number tree", fit)
+
+
+def _node_rows(tree: trees.Tree) -> DataFrame:
+    listed = F.array_join(F.transform("categories", lambda c: F.format_string("%.6f", c)), ", ")
+    told = tree.nodes.select("node", "depth", F.coalesce("feature", F.lit(-1)).alias("feature"), "kind", "threshold", listed.alias("categories"), "n", "prediction", "impurity", "gain")
+    return rounded(told, "threshold", "prediction", "impurity", "gain")
 
 
-@query("tree_importances", "SELECT 1.0::DOUBLE AS total, true AS known")
+@query("tree_nodes", f"{tree_sql.CLASS_TREE_SQL} {tree_sql.NODES_SQL}")
+def tree_nodes(spark, d):
+    return _node_rows(_class_tree(spark, d)[0])
+
+
+@query("tree_text", f"{tree_sql.CLASS_TREE_SQL} {tree_sql.TEXT_SQL}")
+def tree_text(spark, d):
+    return trees.tree_text(_class_tree(spark, d)[0])
+
+
+@query("tree_importances", f"{tree_sql.CLASS_TREE_SQL} {tree_sql.IMPORTANCES_SQL}")
 def tree_importances(spark, d):
-    """Importances add to 1, and belong to features of the tree."""
-    found = _classified(spark, d).importances()
-    return found.agg(F.round(F.sum("importance"), 6).alias("total"), F.every(F.col("feature").between(0, DIMS + 6)).alias("known"))
+    return rounded(trees.importances(_class_tree(spark, d)[0]), "importance")
 
 
 @query(
-    "regression_tree_error",
-    f"""WITH {COMMENTS_SQL}, totals AS (SELECT "articleID" FROM comments GROUP BY 1 HAVING sum("recommandations") > 0),
-    test AS (SELECT CASE WHEN "recommandations" = 0 THEN -1.0 ELSE log10("recommandations") END AS y FROM comments JOIN totals USING ("articleID")
-      WHERE {draw_sql('"commentID"', "split", SEED)} >= 0.7)
-    SELECT count(*) AS n_test, round(sum(y), 4)::DOUBLE AS target_sum, true AS better_than_nothing FROM test""",
+    "tree_feature_values",
+    f"{tree_sql.CLASS_TREE_SQL} SELECT feature::INTEGER AS feature, kind, (generate_subscripts(edges, 1) - 1)::INTEGER AS place, round(unnest(edges), 6) AS value FROM kinds",
 )
+def tree_feature_values(spark, d):
+    """Which features are categories, and their values; of the others the thresholds that were tried."""
+    bins = _class_tree(spark, d)[0].bins
+    return rounded(bins.select("feature", "kind", F.posexplode("edges").alias("place", "value")), "value")
+
+
+@query(
+    "tree_predictions",
+    f"""{tree_sql.CLASS_ROUTED_SQL} SELECT key AS "commentID", label, leaf, prediction::DOUBLE AS prediction, CASE WHEN prediction = 1 THEN 'true' ELSE 'false' END AS "predictedLabel" FROM routed""",
+)
+def tree_predictions(spark, d):
+    back = F.when(F.col("prediction") == 1, "true").otherwise("false")
+    return _class_tree(spark, d)[1].select("commentID", "label", "leaf", "prediction", back.alias("predictedLabel"))
+
+
+@query("tree_confusion_matrix", f"{tree_sql.CLASS_ROUTED_SQL} SELECT label, prediction::DOUBLE AS prediction, count(*) AS n FROM routed GROUP BY 1, 2")
+def tree_confusion_matrix(spark, d):
+    return learning.confusion_matrix(_class_tree(spark, d)[1], "label")
+
+
+@query(
+    "tree_scores",
+    f"""{tree_sql.CLASS_ROUTED_SQL}, c AS (SELECT count(*) AS n, count(*) FILTER (label = prediction) AS good, count(*) FILTER (label = 1 AND prediction = 1) AS tp,
+    count(*) FILTER (label = 1) AS actual, count(*) FILTER (prediction = 1) AS predicted FROM routed)
+    SELECT round(good / n, 6) AS accuracy, round(1 - good / n, 6) AS test_error, round(coalesce(tp / nullif(actual, 0), 0), 6) AS recall, round(coalesce(tp / nullif(predicted, 0), 0), 6) AS precision,
+    round(coalesce(2 * tp / nullif(actual + predicted, 0), 0), 6) AS f_measure FROM c""",
+)
+def tree_scores(spark, d):
+    scores = learning.class_scores(_class_tree(spark, d)[1], "label")
+    return rounded(scores, "accuracy", "test_error", "recall", "precision", "f_measure")
+
+
+@query("regression_tree_nodes", f"{tree_sql.NUMBER_TREE_SQL} {tree_sql.NODES_SQL}")
+def regression_tree_nodes(spark, d):
+    return _node_rows(_number_tree(spark, d)[0])
+
+
+@query("regression_tree_error", f"{tree_sql.NUMBER_ROUTED_SQL} SELECT count(*) AS n_test, round(sqrt(avg((log_value - prediction) * (log_value - prediction))), 6) AS rmse FROM routed")
 def regression_tree_error(spark, d):
-    """All comments: the target needs no label. The tree errs less than 0 as an answer does."""
-    found = learning.regress_tree(_tree_input(spark, d, labelled=False), TREE_FEATURES[:5], "log_value", "commentID", SEED)
-    scored = stage(found.predictions, "predictions")
+    scored = _number_tree(spark, d)[1]
     error = learning.rmse(scored, "log_value").scalar()
-    plain = F.sqrt(F.avg(F.col("log_value") * F.col("log_value")))
-    return scored.agg(
-        F.count(F.lit(1)).alias("n_test"), F.round(F.sum("log_value"), 4).alias("target_sum"), plain.alias("plain")
-    ).select("n_test", "target_sum", (error < F.col("plain")).alias("better_than_nothing"))
+    return scored.agg(F.count(F.lit(1)).alias("n_test")).select("n_test", F.round(error, 6).alias("rmse"))

@@ -9,7 +9,7 @@ from catalog.common import ARTICLES_SQL, COMMENTS_SQL, articles, comments, draw_
 from textpulse.functions.engagement import flag_double, flag_int
 from textpulse.functions.names import parse_byline, parse_keywords
 from textpulse.functions.tokens import only_letters
-from textpulse.operators import factors, profiles, sampling
+from textpulse.operators import factors, numbering, profiles, sampling, sketches
 from textpulse.operators.engagement import group_totals, normalise_in_group, positive_totals
 from textpulse.operators.histogram import equal_width_histogram
 from textpulse.operators.joins import name_rows
@@ -17,6 +17,7 @@ from textpulse.operators.learning import class_scores, confusion_matrix, rmse
 from textpulse.operators.tests_stat import anova, chi_square, contingency
 from textpulse.operators.unnest import unnest
 from textpulse.plans import reports
+from textpulse.session import stage
 
 QUERIES = {}
 ORACLE = {}
@@ -91,16 +92,50 @@ def positive_group_totals(spark, d):
 TARGET_SUMMARY_SQL = f"""WITH {NORMALISED_SQL},
 long AS (SELECT 'l_quantity' AS "column", l_quantity AS v FROM classed UNION ALL SELECT 'share', share FROM classed
   UNION ALL SELECT 'log_value', log_value FROM classed)
-SELECT "column", count(v) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS stddev, round(min(v), 6) AS min,
-  round(quantile_disc(v, 0.25), 6) AS q25, round(quantile_disc(v, 0.5), 6) AS q50, round(quantile_disc(v, 0.75), 6) AS q75, round(max(v), 6) AS max
+SELECT "column", count(v) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS stddev, round(min(v), 6) AS min, true AS quartiles_hold, round(max(v), 6) AS max
 FROM long GROUP BY 1"""
+PROBS = [0.25, 0.5, 0.75]
+
+
+def _holds(ranked):
+    """Does the asked rank lie within the sketch's error of the ranks that the told value has?"""
+    bound = sketches.rank_error()
+    return (F.col("below") <= F.col("prob") + bound) & (F.col("upto") >= F.col("prob") - bound)
 
 
 @query("target_summary", TARGET_SUMMARY_SQL)
 def target_summary(spark, d):
     rows = reports.target_report(_lines(spark, d), "l_orderkey", "l_quantity")["rows"]
-    out = profiles.describe(rows, ["l_quantity", "share", "log_value"], quartiles=True, accuracy=200_000)
-    return rounded(out, "mean", "stddev", "min", "q25", "q50", "q75", "max")
+    names = ["l_quantity", "share", "log_value"]
+    long = rows.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in names])))
+    told = sketches.sketch_quantiles(sketches.quantile_sketches(long, ["column"], "v"), ["column"], PROBS)
+    held = sketches.exact_ranks(long, ["column"], "v", told)
+    flags = held.groupBy("column").agg(F.every(_holds(held)).alias("quartiles_hold"))
+    out = profiles.describe(rows, names).join(F.broadcast(flags), "column")
+    return rounded(out, "mean", "stddev", "min", "max")
+
+
+SKETCH_PROBS = [0.1, 0.25, 0.5, 0.75, 0.9]
+
+
+@query(
+    "merged_quantile_sketches",
+    f"""SELECT l_returnflag, prob::DOUBLE AS prob, count(*) AS n, true AS holds, count(DISTINCT l_linenumber || l_linestatus) AS n_merged FROM lineitem, (SELECT unnest({SKETCH_PROBS}) AS prob) GROUP BY 1, 2""",
+)
+def merged_quantile_sketches(spark, d):
+    """Sketches per flag, status and line number are stored, then merged per flag; ranks of the told prices against exact ones."""
+    lines = table(spark, d, "lineitem")
+    kept = stage(sketches.quantile_sketches(lines, ["l_returnflag", "l_linestatus", "l_linenumber"], "l_extendedprice"), "sketches")
+    told = sketches.sketch_quantiles(sketches.merge_sketches(kept, ["l_returnflag"]), ["l_returnflag"], SKETCH_PROBS)
+    ranked = sketches.exact_ranks(lines, ["l_returnflag"], "l_extendedprice", told)
+    merged = kept.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n_merged"))
+    return ranked.join(merged, "l_returnflag").select("l_returnflag", "prob", "n", _holds(ranked).alias("holds"), "n_merged")
+
+
+@query("row_numbers", "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS number FROM lineitem")
+def row_numbers(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    return numbering.row_numbers(lines, ["l_shipdate", "l_orderkey", "l_linenumber"], "number").drop("l_shipdate")
 
 
 def _histogram_sql(source: str, value: str, prefix: str = "") -> str:
@@ -548,6 +583,37 @@ def normalised_indicators(spark, d):
     return rounded(rows, "value")
 
 
+ONE_HOT_SQL = f"""{LONG_SQL}, lab AS (SELECT o_orderkey, {_LABELLED} AS label FROM long),
+size AS (SELECT label, count(*)::DOUBLE AS n FROM lab GROUP BY 1), every AS (SELECT count(*)::DOUBLE AS n FROM orders),
+z AS MATERIALIZED (SELECT o.o_orderkey, s.label, CASE WHEN l.label IS NULL THEN 0 ELSE 1 END / (s.n / e.n) - 1 AS value
+  FROM orders o CROSS JOIN size s CROSS JOIN every e LEFT JOIN lab l ON l.o_orderkey = o.o_orderkey AND l.label = s.label)"""
+
+
+@query("normalised_gram", f"WITH {ONE_HOT_SQL} SELECT a.label AS row_label, b.label AS col_label, round(sum(a.value * b.value), 4) AS value FROM z a JOIN z b USING (o_orderkey) GROUP BY 1, 2")
+def normalised_gram(spark, d):
+    return rounded(factors.normalised_gram(table(spark, d, "orders"), FACTOR_COLUMNS), "value", digits=4)
+
+
+FEW = [MODALITIES[0], MODALITIES[4], MODALITIES[7]]
+
+
+@query("normalised_indicator_rows", f"WITH {ONE_HOT_SQL} SELECT o_orderkey, label, round(value, 6) AS value FROM z WHERE label IN ({', '.join(repr(m) for m in FEW)})")
+def normalised_indicator_rows(spark, d):
+    rows = factors.affine_rows(table(spark, d, "orders"), "o_orderkey", FACTOR_COLUMNS)
+    return rounded(factors.affine_values(rows, "o_orderkey", FEW), "value")
+
+
+@query(
+    "normalised_row_products",
+    f"WITH {ONE_HOT_SQL} SELECT a.o_orderkey, round(sum(a.value * b.value), 6) AS product FROM z a JOIN (SELECT * FROM z WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)) b USING (label) GROUP BY 1",
+)
+def normalised_row_products(spark, d):
+    orders = table(spark, d, "orders")
+    rows = stage(factors.affine_rows(orders, "o_orderkey", FACTOR_COLUMNS), "affine")
+    first = orders.agg(F.min("o_orderkey")).first()[0]
+    return rounded(factors.affine_products(rows, "o_orderkey", first, len(MODALITIES)), "product")
+
+
 # --- reports and evaluation ----------------------------------------------------------------------
 
 

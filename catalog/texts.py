@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalog.common import (
-    COMMENTS_SQL, POLARITY_SQL, STOP, STOP_SQL, TOKENS_SQL, WORD_SQL, comments, draw_sql, polarity, rounded, table,
+    COMMENTS_SQL, NEGATORS, POLARITY_SQL, STOP, STOP_SQL, TOKENS_SQL, WORD_SQL, comments, draw_sql, polarity, rounded,
+    scoped_words_sql, table,
 )
 from catalog.stem_sql import stem_ctes
 from textpulse.functions import wiki
@@ -176,32 +177,46 @@ def measure_summary(spark, d):
 
 # --- sentiment -----------------------------------------------------------------------------------
 
-SENTENCES_SQL = f"""pol(word, score) AS (VALUES {POLARITY_SQL}),
-parts AS (SELECT doc_id, unnest(string_split_regex(text, '[.!?\\n]+')) AS s FROM documents),
-sent AS (SELECT doc_id, row_number() OVER () AS sid, s FROM parts WHERE regexp_matches(s, '{WORD_SQL}')),
-tok AS (SELECT doc_id, sid, unnest(regexp_extract_all(lower(s), '{WORD_SQL}')) AS word FROM sent),
-scored AS (SELECT doc_id, sid, sum(coalesce(score, 0)) AS score FROM tok LEFT JOIN pol USING (word) GROUP BY 1, 2)"""
+@query("polarity_table", f"WITH {POLARITY_SQL} SELECT word, round(score, 6) AS score, round(z, 6) AS z FROM pol")
+def polarity_table(spark, d):
+    return rounded(polarity(spark, d), "score", "z")
 
 
-def _sentiment_sql(strong: str) -> str:
+SENTENCES_SQL = rf"""{POLARITY_SQL},
+parts AS (SELECT doc_id, unnest(string_split_regex(text, '[.!?\n]+')) AS s FROM documents),
+sent AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS sid, s FROM parts WHERE regexp_matches(s, '{WORD_SQL}')),
+{scoped_words_sql("spoken", "sent")},
+scored AS (SELECT doc_id, sid, round(sum(coalesce(CASE WHEN negated THEN -score ELSE score END, 0)), 9) AS score FROM spoken LEFT JOIN pol USING (word) GROUP BY 1, 2)"""
+STRONG, WEAK = 1.0, 0.1
+
+
+def _sentiment_sql(strong: float | None = None, weak: float = 0.0, digits: int | None = 6) -> str:
+    very = "false" if strong is None else f"abs(score) >= {strong}"
+
+    def share(part: str) -> str:
+        value = f"coalesce({part} / nullif(p + n + z, 0), 0)"
+        return value if digits is None else f"round({value}, {digits})"
+
     return f"""WITH {SENTENCES_SQL},
-lab AS (SELECT doc_id, CASE WHEN {strong} THEN 'very' WHEN score > 0 THEN 'p' WHEN score < 0 THEN 'n' ELSE 'z' END AS l FROM scored),
+lab AS (SELECT doc_id, CASE WHEN {very} THEN 'very' WHEN score > {weak} THEN 'p' WHEN score < -{weak} THEN 'n' ELSE 'z' END AS l FROM scored),
 c AS (SELECT doc_id, count(*) AS all_s, count(*) FILTER (l = 'p') AS p, count(*) FILTER (l = 'n') AS n, count(*) FILTER (l = 'z') AS z FROM lab GROUP BY 1)
-SELECT d.doc_id, coalesce(all_s, 0)::INTEGER AS n_sentences, round(coalesce(p / nullif(p + n + z, 0), 0), 6) AS positive,
-round(coalesce(n / nullif(p + n + z, 0), 0), 6) AS negative, round(coalesce(z / nullif(p + n + z, 0), 0), 6) AS neutral
+SELECT d.doc_id, coalesce(all_s, 0)::INTEGER AS n_sentences, {share("p")} AS positive, {share("n")} AS negative, {share("z")} AS neutral
 FROM documents d LEFT JOIN c USING (doc_id)"""
 
 
-@query("sentiment_profile", _sentiment_sql("false"))
+def _sentiment(spark, d, **classes) -> DataFrame:
+    out = sentiment.sentiment_profile(_documents(spark, d), "doc_id", "text", polarity(spark, d), negators=NEGATORS, **classes)
+    return rounded(out.drop("text"), "positive", "negative", "neutral")
+
+
+@query("sentiment_profile", _sentiment_sql())
 def sentiment_profile(spark, d):
-    out = sentiment.sentiment_profile(_documents(spark, d), "doc_id", "text", polarity(spark)).drop("text")
-    return rounded(out, "positive", "negative", "neutral")
+    return _sentiment(spark, d)
 
 
-@query("sentiment_profile_strong", _sentiment_sql("abs(score) >= 3"))
+@query("sentiment_profile_strong", _sentiment_sql(STRONG, WEAK))
 def sentiment_profile_strong(spark, d):
-    out = sentiment.sentiment_profile(_documents(spark, d), "doc_id", "text", polarity(spark), strong=3.0).drop("text")
-    return rounded(out, "positive", "negative", "neutral")
+    return _sentiment(spark, d, strong=STRONG, weak=WEAK)
 
 
 @query(
@@ -585,7 +600,7 @@ def _prepared_sql() -> str:
     drawn AS (SELECT * FROM groups WHERE {draw_sql('"articleID"', "group", 1)} < CASE WHEN "selectionDone" THEN 1.0 ELSE 0.5 END),
     sampled AS (SELECT c.*, d."selectionDone", c."commentID" AS doc_id, c."commentBody" AS text FROM comments c JOIN drawn d USING ("articleID"))"""
     words_ = WORDS_SQL.replace("FROM documents", "FROM sampled")
-    moods = _sentiment_sql("false").replace("FROM documents", "FROM sampled").replace("WITH ", "", 1)
+    moods = _sentiment_sql().replace("FROM documents", "FROM sampled").replace("WITH ", "", 1)
     moods, final = moods.rsplit("\nSELECT ", 1)
     return f"""WITH {sampled}, {words_},
     moods AS (WITH {moods} SELECT {final}),
@@ -606,7 +621,7 @@ def _prepared_sql() -> str:
 def prepared_comments(spark, d):
     rows = comments(spark, d)
     vectors = stage(_word_vectors(spark, d, lemmas.vocabulary(_tokens(spark, d), "tokens")), "words")
-    out = prepare.prepare(rows, vectors, DIMS, polarity(spark), STOP, rate_selected=1.0, rate_others=0.5)
+    out = prepare.prepare(rows, vectors, DIMS, polarity(spark, d), STOP, rate_selected=1.0, rate_others=0.5, negators=NEGATORS)
     total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)
     shares = [F.get("sentiment", F.lit(i)).alias(name) for i, name in enumerate(("positive", "negative", "neutral"))]
     flat = out.select(

@@ -369,7 +369,7 @@ def test_prepare(spark, small):
 
     source = comments(spark, small)
     known = local_rows(spark, [("the", [1.0, 0.0]), ("thand", [0.0, 1.0])], "word string, vector array<double>")
-    out = prepare(source, known, 2, polarity(spark), ["and"], rate_selected=1.0, rate_others=1.0)
+    out = prepare(source, known, 2, polarity(spark, small), ["and"], rate_selected=1.0, rate_others=1.0)
     got = out.collect()
     assert len({r["commentID"] for r in got}) == len(got) > 150
     assert {len(r["vector"]) for r in got} == {2} and {len(r["sentiment"]) for r in got} == {3}
@@ -378,7 +378,7 @@ def test_prepare(spark, small):
     for r in got:
         shares[r["articleID"]] = shares.get(r["articleID"], 0) + r["share"]
     assert all(math.isclose(x, 1.0) for x in shares.values())
-    none = prepare(source, known, 2, polarity(spark), ["and"], rate_selected=0.0, rate_others=0.0)
+    none = prepare(source, known, 2, polarity(spark, small), ["and"], rate_selected=0.0, rate_others=0.0)
     assert none.count() == 0
 
 

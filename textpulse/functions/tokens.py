@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 WORD_CHARACTER = r"[\p{L}\p{N}_]"
 WORD = WORD_CHARACTER + "+"
 SENTENCE_END = r"[.!?\n]+"
+CLAUSE_END = r"[,;:.!?()]+"
 LETTERS_ONLY = r"^\p{L}*$"
 MIN_LEMMA_CHARS = 3
 
@@ -66,6 +67,24 @@ def sentences(text: Column | str) -> Column:
     return F.filter(parts, lambda s: s.rlike(WORD))
 
 
+def scoped_words(sentence: Column | str, negators: list[str]) -> Column:
+    """``array<struct<word, negated>>`` of a sentence, in lower case. A word is negated from the first negator before it
+    up to the next mark; "n't" is "not". The negator itself is not."""
+    text = F.regexp_replace(F.lower(_col(sentence)), "n['’]t", " not")
+
+    def clause(part: Column) -> Column:
+        def flagged(x: Column) -> Column:
+            return F.transform(x["w"], lambda word, i: F.struct(word.alias("word"), ((x["at"] > 0) & (i >= x["at"])).alias("negated")))
+
+        def placed(w: Column) -> Column:
+            return F.struct(w.alias("w"), F.array_position(F.transform(w, lambda word: word.isin(negators)), True).alias("at"))
+
+        # One-element arrays hold the words and the negator's place, so that they are worked out once.
+        return F.get(F.transform(F.transform(F.array(words(part)), placed), flagged), F.lit(0))
+
+    return F.flatten(F.transform(F.split(text, CLAUSE_END), clause))
+
+
 def term_runs(sorted_tokens: Column | str) -> Column:
     """``array<struct<term, tf>>`` of one document from its sorted tokens.
 

@@ -6,9 +6,10 @@ from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textpulse.functions.vectors import as_doubles, cosine, literal_vector
+from textpulse.functions.vectors import as_doubles, cosine, dot, literal_vector, norm, unit
 from textpulse.operators.joins import lookup_join
 
 VECTOR_SIZE = 200
@@ -83,3 +84,22 @@ def nearest(table: DataFrame, key: str, query: Column, k: int = 10, vector: str
 def nearest_to_word(table: DataFrame, word: str, k: int = 10) -> DataFrame:
     """Nearest words of a word, the word itself left out."""
     return nearest(table.where(F.col("word") != word), "word", vector_of(table, "word", word), k)
+
+
+def nearest_each(
+    table: DataFrame, key: str, queries: DataFrame, query: str, k: int = 10, vector: str = "vector", digits: int | None = None
+) -> DataFrame:
+    """``(query, rank, key, similarity)``: for each row of ``queries(query, vector)`` the ``k`` rows of ``table`` with the
+    highest cosine, in one scan of ``table``.
+
+    The queries are one value, so there are to be some hundreds at most. A task keeps ``k`` rows per query before
+    the shuffle (group limit). With ``digits`` similarities are rounded before they are ranked. Zero vectors drop out.
+    """
+    asked = queries.agg(F.collect_list(F.struct(F.col(query).alias("query"), unit(as_doubles("vector")).alias("u")))).scalar()
+    rows = table.select(F.col(key).alias("key"), as_doubles(vector).alias("v")).withColumn("length", norm("v")).withColumn("asked", asked)
+    scored = F.transform("asked", lambda q: F.struct(q["query"].alias("query"), F.try_divide(dot(F.col("v"), q["u"]), F.col("length")).alias("similarity")))
+    pairs = rows.select("key", F.explode(scored).alias("pair")).select("key", "pair.query", "pair.similarity")
+    pairs = pairs if digits is None else pairs.withColumn("similarity", F.round("similarity", digits))
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc_nulls_last("similarity"), "key"))
+    top = pairs.withColumn("rank", rank).where(F.col("rank") <= k).where(F.col("similarity").isNotNull())
+    return top.select(F.col("query").alias(query), "rank", F.col("key").alias(key), "similarity")

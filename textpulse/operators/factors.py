@@ -88,3 +88,47 @@ def normalised_indicators(df: DataFrame, row_id: str, columns: list[str]) -> Dat
     shares = counts.select("variable", "modality", (total / F.col("n") - 1).alias("value"))
     met = lookup_join(disjunctive(df, row_id, columns), shares, ["variable", "modality"], counts=counts, spread=[row_id])
     return met.select(row_id, "variable", "modality", "value")
+
+
+def affine_rows(df: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
+    """``(row_id, entries)``: rows of the normalised table as a common background of -1 and what lies above it,
+    ``array<struct<label, weight>>`` with weight ``1 / p`` at the row's own modalities."""
+    counts = modalities(df, columns)
+    total = df.agg(F.count(F.lit(1))).scalar()
+    shares = counts.select("variable", "modality", (total / F.col("n")).alias("weight"))
+    met = lookup_join(disjunctive(df, row_id, columns), shares, ["variable", "modality"], counts=counts, spread=[row_id])
+    entry = F.struct(modality_label("variable", "modality").alias("label"), "weight")
+    return met.groupBy(row_id).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+
+
+def affine_values(rows: DataFrame, row_id: str, labels: list[str]) -> DataFrame:
+    """Full rows for a few of the columns: ``(row_id, label, value)``, background included."""
+    held = F.map_from_entries("entries")
+    told = [F.struct(F.lit(name).alias("label"), (F.coalesce(F.try_element_at(held, F.lit(name)), F.lit(0.0)) - 1).alias("value")) for name in labels]
+    return rows.select(row_id, F.inline(F.array(*told)))
+
+
+def affine_products(rows: DataFrame, row_id: str, value, width: int) -> DataFrame:
+    """``(row_id, product)``: dot product of every row with one of them over all ``width`` columns, from the sparse parts:
+    sum of the weights both have, multiplied, less the weights of either, plus one per column."""
+    found = rows.where(F.col(row_id) == F.lit(value)).select("entries").take(1)
+    if not found:
+        raise KeyError(value)
+    own = {e["label"]: e["weight"] for e in found[0]["entries"]}
+    mine = F.create_map(*[x for name, weight in own.items() for x in (F.lit(name), F.lit(weight))])
+    met = F.aggregate("entries", F.lit(0.0), lambda s, e: s + e["weight"] * (F.coalesce(F.try_element_at(mine, e["label"]), F.lit(0.0)) - 1))
+    return rows.select(row_id, (met - sum(own.values()) + width).alias("product"))
+
+
+def normalised_gram(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(row_label, col_label, value)``: Z'Z of the normalised table for all pairs of modalities, worked out from the Burt
+    table: ``n^2 B / (n_j n_k) - n``, so -n where two modalities never meet. Rows are not gone through again."""
+    counts = modalities(df, columns)
+    total = df.agg(F.count(F.lit(1))).scalar()
+    sizes = counts.select(modality_label("variable", "modality").alias("label"), "n")
+    listed = sizes.agg(F.sort_array(F.collect_list(F.struct(F.col("label").alias("col_label"), F.col("n").alias("n_col"))))).scalar()
+    # As many rows as the result has: the modalities are one value, each row of them is unnested with it.
+    pairs = sizes.select(F.col("label").alias("row_label"), F.col("n").alias("n_row"), listed.alias("listed")).select("row_label", "n_row", F.inline("listed"))
+    met = pairs.join(burt_table(df, columns).withColumnRenamed("n", "b"), ["row_label", "col_label"], "left")
+    weight = total.cast("double") * total / (F.col("n_row").cast("double") * F.col("n_col"))
+    return met.select("row_label", "col_label", (weight * F.coalesce("b", F.lit(0)) - total).alias("value"))

@@ -15,9 +15,9 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textpulse.functions.vectors import as_doubles, literal_vector, squared_distance
-from textpulse.operators.embeddings import nearest
-from textpulse.operators.sampling import random_split
+from textpulse.functions.vectors import as_doubles, squared_distance
+from textpulse.operators.embeddings import nearest_each
+from textpulse.operators.sampling import draw, random_split
 from textpulse.session import local_rows
 
 
@@ -98,13 +98,63 @@ def assign_clusters(df: DataFrame, centers: DataFrame, vector: str = "vector") -
     return nearest_center.select(*df.columns, "__best.cluster", "__best.distance")
 
 
-def words_of_centers(clusters: Clusters, words: DataFrame, k: int = 10) -> DataFrame:
-    """``(cluster, word, similarity)``: nearest words of each centre, one top-k per cluster."""
-    out = None
-    for row in clusters.centers.collect():  # k rows
-        part = nearest(words, "word", literal_vector(row["vector"]), k).select(F.lit(row["cluster"]).alias("cluster"), "word", "similarity")
-        out = part if out is None else out.unionByName(part)
-    return out
+def start_rows(df: DataFrame, key: str, k: int, vector: str = "vector", seed: int = 1) -> list[list[float]]:
+    """The vectors of ``k`` rows drawn by a hash of their keys, to start from; fewer if there are fewer rows."""
+    drawn = df.select(draw(key, seed, "start").alias("__draw"), F.col(key).alias("__key"), as_doubles(vector).alias("v"))
+    return [list(r["v"]) for r in drawn.orderBy("__draw", "__key").limit(k).collect()]
+
+
+def _set_of_centers(spark, models: dict[int, list[list[float]]]) -> Column:
+    """Centres of all models as one value, ``array<struct<model, centers>>``; bounded by the numbers of centres."""
+    rows = local_rows(spark, sorted(models.items()), "model int, centers array<array<double>>")
+    return rows.agg(F.collect_list(F.struct("model", "centers"))).scalar()
+
+
+def _nearest_of_each(df: DataFrame, models: dict[int, list[list[float]]], vector: str) -> DataFrame:
+    """``(v, model, distance, cluster)``: a row of ``df`` for each model, with its nearest centre; of equally near ones
+    the first."""
+    listed = df.select(as_doubles(vector).alias("v"), _set_of_centers(df.sparkSession, models).alias("models"))
+    ranked = F.transform(
+        "models",
+        lambda m: F.struct(
+            m["model"].alias("model"),
+            F.array_min(F.transform(m["centers"], lambda c, i: F.struct(squared_distance(F.col("v"), c).alias("distance"), i.alias("cluster")))).alias("best"),
+        ),
+    )
+    near = listed.select("v", F.explode(ranked).alias("near"))
+    return near.select("v", "near.model", "near.best.distance", "near.best.cluster")
+
+
+def lloyd(df: DataFrame, models: dict[int, list[list[float]]], size: int, vector: str = "vector", rounds: int = 10) -> DataFrame:
+    """Lloyd's iterations of several models at once, from given centres, for a fixed number of rounds:
+    ``(model, cluster, vector, n, cost)`` with the rows and the sum of squared distances of each final cluster.
+
+    A round is one pass over ``df`` for all models: rows meet the centres, which the driver sends with the query, and
+    means are partial before the shuffle. A cluster without rows keeps its centre. ``df`` is best a stored table.
+    """
+    means = [F.avg(F.get("v", F.lit(i))).alias(f"m{i}") for i in range(size)]
+    for _ in range(rounds):
+        moved = _nearest_of_each(df, models, vector).groupBy("model", "cluster").agg(*means).collect()
+        models = {m: list(centers) for m, centers in models.items()}
+        for r in moved:
+            models[r["model"]][r["cluster"]] = [r[f"m{i}"] for i in range(size)]
+    sums = _nearest_of_each(df, models, vector).groupBy("model", "cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("distance").alias("cost"))
+    rows = [(m, i, [float(x) for x in c]) for m, centers in sorted(models.items()) for i, c in enumerate(centers)]
+    centers = local_rows(df.sparkSession, rows, "model int, cluster int, vector array<double>")
+    return centers.join(sums, ["model", "cluster"], "left").na.fill({"n": 0, "cost": 0.0})
+
+
+def lloyd_curve(df: DataFrame, key: str, size: int, ks=range(1, 21), vector: str = "vector", rounds: int = 10, seed: int = 1) -> DataFrame:
+    """``(k, cost)``: within-class inertia for each number of clusters, all models in the same passes. The model of k
+    clusters starts from the first k drawn rows."""
+    start = start_rows(df, key, max(ks), vector, seed)
+    found = lloyd(df, {k: start[:k] for k in ks}, size, vector, rounds)
+    return found.groupBy(F.col("model").alias("k")).agg(F.sum("cost").alias("cost"))
+
+
+def words_of_centers(centers: DataFrame, words: DataFrame, k: int = 10, digits: int | None = None) -> DataFrame:
+    """``(cluster, rank, word, similarity)``: nearest words of each centre ``(cluster, vector)``, in one scan of the words."""
+    return nearest_each(words, "word", centers, "cluster", k, digits=digits)
 
 
 # --- trees ------------------------------------------------------------------------------------

@@ -77,13 +77,15 @@ def project_documents(
     return every.select(row_id, F.array(*parts).alias("vector"))
 
 
-def top_per_concept(factor: DataFrame, key: str, concepts: int = CONCEPTS, k: int = TOP) -> DataFrame:
+def top_per_concept(factor: DataFrame, key: str, concepts: int = CONCEPTS, k: int = TOP, digits: int | None = None) -> DataFrame:
     """``(concept, rank, key, weight)``: the ``k`` largest entries of each column.
 
     The rank filter is pushed below the shuffle as a group limit, so each task sends ``k`` rows per
-    concept.
+    concept. With ``digits``, weights are rounded before they are ranked, so that rows that differ by
+    errors of the last places only are ranked by their key.
     """
     long = factor.select(key, F.posexplode("vector").alias("concept", "weight")).where(F.col("concept") < concepts)
+    long = long if digits is None else long.withColumn("weight", F.round("weight", digits))
     rank = F.row_number().over(W.partitionBy("concept").orderBy(F.desc("weight"), key))
     return long.withColumn("rank", rank).where(F.col("rank") <= k).select("concept", "rank", key, "weight")
 
@@ -104,8 +106,9 @@ def normalise_rows(factor: DataFrame, vector: str = "vector") -> DataFrame:
     return factor.withColumn(vector, unit(as_doubles(vector)))
 
 
-def _top_scores(factor: DataFrame, key: str, query: Column, k: int, vector: str = "vector") -> DataFrame:
+def _top_scores(factor: DataFrame, key: str, query: Column, k: int, vector: str = "vector", digits: int | None = None) -> DataFrame:
     valid = F.nanvl(dot(as_doubles(vector), query), F.lit(None).cast("double"))
+    valid = valid if digits is None else F.round(valid, digits)
     scored = factor.select(key, valid.alias("score"))
     # Filtered after the limit, so that the score is worked out once per row.
     return scored.orderBy(F.desc_nulls_last("score"), key).limit(k).where(F.col("score").isNotNull())
@@ -116,9 +119,9 @@ def terms_like_term(unit_vs: DataFrame, term, k: int = TOP, key: str = "term") -
     return _top_scores(unit_vs, key, vector_of(unit_vs, key, term), k)
 
 
-def docs_like_doc(unit_us: DataFrame, doc, k: int = TOP, key: str = "doc_id") -> DataFrame:
-    """Documents by dot product on normalised U·S; zero rows have no score and drop out."""
-    return _top_scores(unit_us, key, vector_of(unit_us, key, doc), k)
+def docs_like_doc(unit_us: DataFrame, doc, k: int = TOP, key: str = "doc_id", digits: int | None = None) -> DataFrame:
+    """Documents by dot product on normalised U·S; zero rows have no score and drop out. ``digits`` as above."""
+    return _top_scores(unit_us, key, vector_of(unit_us, key, doc), k, digits=digits)
 
 
 def docs_for_term(us: DataFrame, v: DataFrame, term, k: int = TOP, key: str = "doc_id", term_key: str = "term") -> DataFrame:

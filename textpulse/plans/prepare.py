@@ -31,7 +31,7 @@ class Columns:
 def prepare(
     comments: DataFrame, word_vectors: DataFrame, size: int, polarity: DataFrame, stop: list[str],
     names: Columns = Columns(), seed: int = 1, rate_selected: float = 1.0, rate_others: float = 1.0,
-    lemmas: DataFrame | None = None,
+    lemmas: DataFrame | None = None, negators: list[str] | None = None,
 ) -> DataFrame:
     """The prepared table: comments of all articles, or of those sampled at the given rates, with tokens, sentiment shares, text vector,
     normalised target and label. Comments whose TF-IDF vanishes drop out.
@@ -46,7 +46,7 @@ def prepare(
     )
     texts = sampled.select(names.row_id, names.text)
     tokens = stage(text_lemmas(texts, names.row_id, names.text, stop, lemmas), "tokens")
-    profile = sentiment_profile(texts, names.row_id, names.text, polarity).select(
+    profile = sentiment_profile(texts, names.row_id, names.text, polarity, negators=negators).select(
         names.row_id, F.array("positive", "negative", "neutral").alias("sentiment")
     )
     counts = stage(term_counts(tokens, names.row_id, "tokens"), "counts")
