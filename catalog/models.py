@@ -150,9 +150,10 @@ def _pairs(spark, d) -> DataFrame:
     return stage(cooccurrence.cooccurrences(_staged_tokens(spark, d), "tokens"), "pairs")
 
 
-@query("cooccurrence_counts", f"WITH {PAIRS_SQL} SELECT word, context, n FROM pairs")
+@query("cooccurrence_counts", f"WITH {PAIRS_SQL} SELECT word, count(*) AS n_contexts, sum(n)::BIGINT AS n, max(n)::BIGINT AS most FROM pairs GROUP BY 1")
 def cooccurrence_counts(spark, d):
-    return _pairs(spark, d)
+    """Per word of the table of pairs."""
+    return _pairs(spark, d).groupBy("word").agg(F.count(F.lit(1)).alias("n_contexts"), F.sum("n").alias("n"), F.max("n").alias("most"))
 
 
 @query("shifted_pmi", f"WITH {PMI_SQL} SELECT word, context, round(weight, 6) AS weight FROM pmi WHERE round(weight, 12) > 0")
