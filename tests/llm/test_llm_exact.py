@@ -85,3 +85,12 @@ def test_a_fuse_filter_lets_one_in_256_through():
     f = fuse.build(draw.integers(0, 2**63, 20_000).astype(np.uint64))
     share = fuse.ask(f, draw.integers(0, 2**63, 200_000).astype(np.uint64)).mean()
     assert 0.5 < share * 256 < 2 and len(f.slots) < 1.4 * 20_000
+
+
+def test_a_batch_larger_than_the_snapshot_is_screened_in_parts(spark):
+    rows = [(k, bytes(hashlib.sha256(str(k).encode()).digest()), 1) for k in range(500)]
+    groups = spark.createDataFrame(rows, "first_id long, digest binary, n long")
+    snapshot = exact.take_snapshot(groups.where("first_id < 20"))
+    found = exact.screen(groups, snapshot, bucket_keys=50)
+    want = {bytes(d) for k, d, _ in rows if k < 20}
+    assert want <= {bytes(r.digest) for r in found.collect()} and found.count() < 60

@@ -5,7 +5,9 @@ buckets, with one filter per bucket. An incoming batch is first grouped by itsel
 distinct and its buckets even; what the filters let through joins the snapshot's buckets. Rows whose digest
 occurs more than once, and only those, have their whole texts compared.
 
-Null texts count as empty. Null ids come after all others. Rows repeated with the same id are copies of one
+Null texts count as empty. Very long texts are digested whole; only the smallest and largest text of a group with copies is
+compared. Columns besides id and text are kept by distinct_texts and read by nothing; helper columns have a prefix of
+their own. Null ids come after all others. Rows repeated with the same id are copies of one
 another: all of them carry the same keep_id; `distinct_texts` still returns one row of a group.
 """
 
@@ -84,10 +86,15 @@ def _screen(asked: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
     return asked.loc[maybe, ["digest"]]
 
 
-def screen(groups: DataFrame, snapshot: Snapshot) -> DataFrame:
-    """Digests of an incoming batch that the snapshot's filters let through."""
-    asked = groups.select(_bucket(snapshot.buckets).alias("bucket"), "digest")
-    pairs = asked.groupBy("bucket").cogroup(snapshot.filters.groupBy("bucket"))
+def screen(groups: DataFrame, snapshot: Snapshot, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    """Digests of an incoming batch that the snapshot's filters let through. A batch that is larger than the snapshot
+    has its buckets cut into parts by a second hash, and each part gets the bucket's filter, so that a task holds
+    about bucket_keys digests whatever the two sizes are."""
+    parts = max(1, -(-groups.count() // (snapshot.buckets * bucket_keys)))
+    part = F.pmod(F.xxhash64("digest", F.lit("part")), F.lit(parts)).cast("int").alias("part")
+    asked = groups.select(_bucket(snapshot.buckets).alias("bucket"), part, "digest")
+    filters = snapshot.filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    pairs = asked.groupBy("bucket", "part").cogroup(filters.groupBy("bucket", "part"))
     return pairs.applyInPandas(_screen, "digest binary")
 
 
