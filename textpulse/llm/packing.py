@@ -8,7 +8,7 @@ Then the gaps are updated and the next round begins. As pieces of one length dif
 enter a sweep as runs (a length or size, a first rank, a count): never more lengths or sizes than the capacity,
 however many documents there are. Every piece finds its run by its length and rank in the task that holds it.
 
-Null texts count as empty; a document has at least its end id. Null ids of documents come first. Rows repeated
+Columns besides id and text are not read. Null texts count as empty; a document has at least its end id. Null ids of documents come first. Rows repeated
 with the same id are packed as often as they occur.
 """
 
@@ -129,7 +129,9 @@ def written_places(docs: DataFrame, id: str = "doc_id") -> DataFrame:
     """(doc_id, position) of documents read from Parquet: where the first row of an id stands in the order in which
     the table was written, by file and row. Staged."""
     at = docs.metadataColumn("_metadata")
-    position = F.struct(at["file_name"].alias("file"), at["row_index"].alias("row"))
+    # The number in a file's name has five digits or more; as text, the sixth would change the order.
+    number = F.regexp_extract(at["file_name"], r"part-(\d+)", 1)
+    position = F.struct(F.try_to_number(number, F.lit("999999999999")).cast("long").alias("number"), at["file_name"].alias("file"), at["row_index"].alias("row"))
     return stage(docs.select(F.col(id).alias("doc_id"), position.alias("position")).groupBy("doc_id").agg(F.min("position").alias("position")), "places")
 
 
