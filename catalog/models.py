@@ -6,9 +6,7 @@ properties that hold exactly. Each query still fits the whole model and goes ove
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catalog import svd_sql, tree_sql
@@ -57,7 +55,8 @@ def count_vector_tfidf(spark, d):
     weighed = model.transform(tokens)
 
     def total(column: str):
-        return F.aggregate(vector_to_array(column), F.lit(0.0), lambda s, x: s + x)
+        # Over the values that a sparse vector holds, not over its width.
+        return F.aggregate(F.unwrap_udt(column)["values"], F.lit(0.0), lambda s, x: s + x)
 
     sums = weighed.select("doc_id", total("token_count").alias("n_counted"), total("tfidf").alias("weight"))
     return rounded(sums, "n_counted", "weight", digits=4)
@@ -161,6 +160,16 @@ def shifted_pmi(spark, d):
     return rounded(cooccurrence.shifted_pmi(_pairs(spark, d), least=LEAST), "weight")
 
 
+PMI_POSTINGS_SQL = f"{PMI_SQL}, p AS MATERIALIZED (SELECT word AS d, context AS t, weight AS w FROM pmi WHERE round(weight, 12) > 0)"
+
+
+@query("pmi_vectors", f"{svd_sql.factors_sql(PMI_POSTINGS_SQL)} SELECT d AS word, c::INTEGER AS dim, round(x * sqrt(s), 5) + 0.0::DOUBLE AS value FROM u JOIN s USING (c)")
+def pmi_vectors(spark, d):
+    vectors, _ = cooccurrence.pmi_vectors(cooccurrence.shifted_pmi(_pairs(spark, d), least=LEAST), lsa.CONCEPTS)
+    # Adding 0 makes a rounded -0 a 0, on both sides.
+    return vectors.select("word", F.posexplode("vector").alias("dim", "value")).withColumn("value", F.round("value", 5) + 0.0)
+
+
 @query(
     "nlp_result_fields",
     f"""SELECT doc_id, len(regexp_extract_all(lower(text), '{WORD_SQL}'))::INTEGER AS n_tokens, positive, negative, neutral FROM documents JOIN ({_sentiment_sql()}) USING (doc_id)""",
@@ -177,10 +186,10 @@ def nlp_result_fields(spark, d):
 ROUNDS = 5
 
 
-@query("k_means_centers", f"{cluster_sql(10, 10, ROUNDS)} SELECT cluster::INTEGER AS cluster, dim::INTEGER AS dim, round(x, 6) AS value, coalesce(n, 0) AS n FROM (SELECT cluster, generate_subscripts(v, 1) - 1 AS dim, unnest(v) AS x FROM c{ROUNDS}) LEFT JOIN sizes USING (cluster)")
+@query("k_means_centers", f"{cluster_sql(10, 10, ROUNDS)} SELECT cluster::INTEGER AS cluster, dim::INTEGER AS dim, round(x, 6) + 0.0::DOUBLE AS value, coalesce(n, 0) AS n FROM (SELECT cluster, generate_subscripts(v, 1) - 1 AS dim, unnest(v) AS x FROM c{ROUNDS}) LEFT JOIN sizes USING (cluster)")
 def k_means_centers(spark, d):
     found = learning.lloyd(_embeddings(spark, d), {10: _start(spark, d, 10)}, DIMS, rounds=ROUNDS)
-    return rounded(found.select("cluster", F.posexplode("vector").alias("dim", "value"), "n"), "value")
+    return found.select("cluster", F.posexplode("vector").alias("dim", "value"), "n").withColumn("value", F.round("value", 6) + 0.0)
 
 
 @query("k_means_assignments", f"{cluster_sql(10, 10, ROUNDS)} SELECT vec_id, cluster::INTEGER AS cluster, round(distance, 6) AS distance FROM final")

@@ -240,3 +240,9 @@ def test_planted_synonyms_are_near(spark):
         near = embeddings.nearest(kept, "word", embeddings.vector_of(kept, "word", a), 30).collect()
         similar = {r["word"]: r["similarity"] for r in near}
         assert similar[b] > 0.9 and all(similar.get(o, -1) < 0.5 for o in ("big", "red", "quick") if o != a)
+
+
+def test_too_many_words_for_the_driver(spark):
+    df = spark.createDataFrame([(["a", "b", "c"] * 5,)], "t array<string>")
+    with pytest.raises(ValueError, match="3 words are more than the 2"):
+        embeddings.train_word_vectors(df, "t", size=4, max_words=2)

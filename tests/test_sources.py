@@ -147,6 +147,8 @@ def test_prepared_round_trip(spark, tmp_path):
 def test_small_scans_are_spread(spark, small):
     df = spark.read.parquet(f"{small}/documents.parquet")
     assert tables.spread_rows(df, "doc_id").rdd.getNumPartitions() == 8
+    many = df.repartition(20)
+    assert tables.spread_rows(many, "doc_id") is many
 
 
 def test_stream_equals_batch(spark, small, tmp_path):

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from textpulse.functions.vectors import as_doubles, cosine, dot, literal_vector, norm, unit
 from textpulse.operators.joins import lookup_join
+from textpulse.operators.unnest import unnest
 
 VECTOR_SIZE = 200
+#: Words whose vectors of the default size take about 2 GB.
+MAX_WORDS = 1_000_000
 MIN_CORPUS_TOKENS = 5
 MIN_LSA_TOKENS = 10
 
@@ -31,9 +34,14 @@ def training_corpus(frames: list[DataFrame], tokens: str = "tokens", longer: int
 
 def train_word_vectors(
     corpus: DataFrame, tokens: str = "tokens", size: int = VECTOR_SIZE, partitions: int = 1,
-    min_count: int = 5, seed: int = 1,
+    min_count: int = 5, seed: int = 1, max_words: int = MAX_WORDS,
 ) -> Word2VecModel:
-    """Spark's word2vec. ``min_count`` bounds the vocabulary, which the driver holds while training."""
+    """Spark's word2vec. The driver and every task hold all vectors while training, so more than ``max_words`` words of
+    at least ``min_count`` occurrences are an error; ``cooccurrence.pmi_vectors`` has no such limit."""
+    counts = unnest(corpus, [], F.col(tokens), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.where(F.col("n") >= min_count).count()
+    if found > max_words:
+        raise ValueError(f"{found} words are more than the {max_words} whose vectors the driver may hold")
     return Word2Vec(
         inputCol=tokens, outputCol="vector", vectorSize=size, numPartitions=partitions, minCount=min_count, seed=seed
     ).fit(corpus)

@@ -21,8 +21,10 @@ def write_prepared(df: DataFrame, path: str) -> None:
 
 
 def spread_rows(df: DataFrame, key: str) -> DataFrame:
-    """Deal the rows of a scan out evenly by key before heavy work per row, in as many parts as a shuffle has."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    """Deal the rows of a scan out evenly by key before heavy work per row, in as many parts as a shuffle has. A scan that
+    has as many splits already stays as it is: only few large files need the shuffle."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df if df.rdd.getNumPartitions() >= parts else df.repartition(parts, key)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
