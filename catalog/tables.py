@@ -92,9 +92,9 @@ def positive_group_totals(spark, d):
 TARGET_SUMMARY_SQL = f"""WITH {NORMALISED_SQL},
 long AS (SELECT 'l_quantity' AS "column", l_quantity AS v FROM classed UNION ALL SELECT 'share', share FROM classed
   UNION ALL SELECT 'log_value', log_value FROM classed)
-SELECT "column", count(v) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS stddev, round(min(v), 6) AS min, true AS quartiles_hold, round(max(v), 6) AS max
+SELECT "column", count(v) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS stddev, round(min(v), 6) AS min,
+  round(quantile_disc(v, 0.25), 6) AS q25, round(quantile_disc(v, 0.5), 6) AS q50, round(quantile_disc(v, 0.75), 6) AS q75, round(max(v), 6) AS max
 FROM long GROUP BY 1"""
-PROBS = [0.25, 0.5, 0.75]
 
 
 def _holds(ranked):
@@ -106,13 +106,8 @@ def _holds(ranked):
 @query("target_summary", TARGET_SUMMARY_SQL)
 def target_summary(spark, d):
     rows = reports.target_report(_lines(spark, d), "l_orderkey", "l_quantity")["rows"]
-    names = ["l_quantity", "share", "log_value"]
-    long = rows.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in names])))
-    told = sketches.sketch_quantiles(sketches.quantile_sketches(long, ["column"], "v"), ["column"], PROBS)
-    held = sketches.exact_ranks(long, ["column"], "v", told)
-    flags = held.groupBy("column").agg(F.every(_holds(held)).alias("quartiles_hold"))
-    out = profiles.describe(rows, names).join(F.broadcast(flags), "column")
-    return rounded(out, "mean", "stddev", "min", "max")
+    out = profiles.numeric_describe(rows, ["l_quantity", "share", "log_value"], linear=False)
+    return rounded(out, "mean", "stddev", "min", "q25", "q50", "q75", "max")
 
 
 SKETCH_PROBS = [0.1, 0.25, 0.5, 0.75, 0.9]

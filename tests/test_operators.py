@@ -256,6 +256,18 @@ def test_smoothed_tfidf_and_trim(spark):
     assert rows(terms.trim_terms(frequencies, 1, keep="most"), "term", "df") == [("b", 3)]
 
 
+def test_target_summary_tells_quartiles_that_occur(spark, tmp_path):
+    from catalog.tables import target_summary
+
+    lines = [(1, i, float(q)) for i, q in enumerate((1, 2, 3, 10))] + [(2, 0, 5.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    told = {r["column"]: (r["q25"], r["q50"], r["q75"]) for r in target_summary(spark, str(tmp_path)).collect()}
+    assert told["l_quantity"] == (2.0, 3.0, 5.0) and told["share"] == (0.125, 0.1875, 0.625)
+    df = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 10)] + [(None,)], "v double")
+    found = {r["prob"]: r["quantile"] for r in profiles.exact_quantiles(df, ["v"], (0.0, 0.25, 0.5, 0.6, 1.0), linear=False).collect()}
+    assert found == {0.0: 1.0, 0.25: 1.0, 0.5: 2.0, 0.6: 3.0, 1.0: 10.0}
+
+
 def test_text_vectors_by_hand(spark):
     postings = spark.createDataFrame(
         [(1, "a", 1.0), (1, "b", 3.0), (1, "no", 9.0), (2, "no", 1.0), (3, "a", 0.0)], "id int, term string, tfidf double"

@@ -97,8 +97,8 @@ def object_describe(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probs: tuple[float, ...] = QUARTILES) -> DataFrame:
-    """Exact quantiles with linear interpolation, rows ``(column, prob, quantile)``.
+def exact_quantiles(df: DataFrame, columns: list[str], probs: tuple[float, ...] = QUARTILES, linear: bool = True) -> DataFrame:
+    """Exact quantiles with linear interpolation, or else values that occur, rows ``(column, prob, quantile)``.
 
     Values are counted, then dealt by range of column and value, and written once. Rows per part tell
     which part holds a wanted rank; only those parts are gone through in order. A part has about as
@@ -120,7 +120,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: tuple[float, ...]
     before = F.sum("held").over(column.orderBy("part")) - F.col("held")
     sized = sums.select("i", "part", "held", before.alias("before"), F.sum("held").over(column).alias("total"))
     asked = sized.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
-    asked = asked.withColumn("place", (F.col("total") - 1) * F.col("prob"))
+    place = (F.col("total") - 1) * F.col("prob") if linear else F.greatest(F.ceil(F.col("total") * F.col("prob")) - 1, F.lit(0)).cast("double")
+    asked = asked.withColumn("place", place)
     asked = asked.select("*", F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))).alias("rank"))
     asked = asked.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("held")))
 
@@ -137,19 +138,19 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: tuple[float, ...]
     return hits.groupBy(name.alias("column"), "prob").agg((low + share * (high - low)).alias("quantile"))
 
 
-def _quartile_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+def _quartile_rows(df: DataFrame, columns: list[str], linear: bool = True) -> DataFrame:
     """``(column, q25, q50, q75)``."""
-    rows = exact_quantiles(df, columns)
+    rows = exact_quantiles(df, columns, linear=linear)
     names = ("q25", "q50", "q75")
     return rows.groupBy("column").agg(
         *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n) for p, n in zip(QUARTILES, names)]
     )
 
 
-def numeric_describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, deviation, extremes and exact linear quartiles, one row per column."""
+def numeric_describe(df: DataFrame, columns: list[str], linear: bool = True) -> DataFrame:
+    """Count, mean, deviation, extremes and exact quartiles, linear or values that occur, one row per column."""
     # One row per column on both sides.
-    joined = describe(df, columns).join(F.broadcast(_quartile_rows(df, columns)), "column", "left")
+    joined = describe(df, columns).join(F.broadcast(_quartile_rows(df, columns, linear)), "column", "left")
     return joined.select("column", "n", "mean", "stddev", "min", "q25", "q50", "q75", "max")
 
 
