@@ -277,6 +277,31 @@ def test_text_vectors_by_hand(spark):
     assert got == {1: [0.25, 0.75], 2: [0.0, 0.0], 3: [0.0, 0.0]}
 
 
+def test_sums_of_vectors_stay_in_their_block(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    lists = [(i, [f"w{x}" for x in rng.zipf(1.5, rng.integers(0, 40)) if x < 60]) for i in range(200)] + [(None, ["w1"]), (7, ["w2", "w2"])]
+    df = stage(spark.createDataFrame(lists, "id long, tokens array<string>"), "test-tokens")
+    known = stage(local_rows(spark, [(f"w{x}", [float(x), 1.0, -x / 7]) for x in range(0, 60, 2)], "word string, vector array<double>"), "test-words")
+    plans = []
+    monkeypatch.setattr(embeddings, "stage", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stage(df, name))
+    docs, postings = [x for x in lists if x[0] is not None], {}
+    for i, tokens in lists:
+        for t in tokens:
+            postings.setdefault(i, {}).setdefault(t, 0)
+            postings[i][t] += 1
+    df_of = {t: sum(t in tokens for _, tokens in lists) for t in {t for _, tokens in lists for t in tokens}}
+    idf = {t: math.log((len(lists) + 1) / (n + 1)) for t, n in df_of.items()}
+    got = {r["id"]: r for r in embeddings.tfidf_vectors(df, "id", "tokens", known, 3).collect()}
+    for i, _ in docs:
+        w = {t: n * idf[t] for t, n in postings.get(i, {}).items()}
+        mine = {t: x for t, x in w.items() if int(t[1:]) % 2 == 0}
+        total = sum(mine.values())
+        want = [sum(x * v for x, v in zip(mine.values(), c)) / total for c in zip(*[(float(t[1:]), 1.0, -int(t[1:]) / 7) for t in mine])] if total else [0.0] * 3
+        assert np.allclose(got[i]["vector"], want) and math.isclose(got[i]["l1"], sum(map(abs, w.values())), abs_tol=1e-12)
+    # What is shuffled after the join would be a row per document and part.
+    assert len(plans) == 1 and "hashpartitioning(__block" in plans[0] and ", id#" not in "".join(x for x in plans[0].splitlines() if "hashpartitioning" in x)
+
+
 def test_nearest_word_leaves_the_word_out(spark):
     known = local_rows(spark, [("a", [1.0, 0.0]), ("b", [1.0, 1.0]), ("z", [0.0, 0.0])], "word string, vector array<double>")
     assert [r["word"] for r in embeddings.nearest_to_word(known, "a").collect()] == ["b"]

@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textpulse.functions.engagement import flag_int
-from textpulse.operators.embeddings import text_vectors
+from textpulse.operators.embeddings import tfidf_vectors
 from textpulse.operators.engagement import normalise_in_group
 from textpulse.operators.lemmas import text_lemmas
 from textpulse.operators.sampling import sample_by_group
 from textpulse.operators.sentiment import sentiment_profile
-from textpulse.operators.terms import non_empty, smoothed_tfidf, term_counts
 from textpulse.session import stage
 
 
@@ -38,7 +37,7 @@ def prepare(
 
     ``row_id`` is unique. Text features are made from ``(row_id, text)`` only and joined back once,
     so the wide comment rows are not carried through the text steps. What several steps read (the
-    sampled rows, tokens, postings, features) is written once to the shared folder.
+    sampled rows, tokens, features) is written once to the shared folder.
     """
     sampled = stage(
         sample_by_group(comments, names.group, F.col(names.flag), rate_selected, rate_others, seed, out="selectionDone"),
@@ -49,16 +48,9 @@ def prepare(
     profile = sentiment_profile(texts, names.row_id, names.text, polarity, negators=negators).select(
         names.row_id, F.array("positive", "negative", "neutral").alias("sentiment")
     )
-    counts = stage(term_counts(tokens, names.row_id, "tokens"), "counts")
-    postings = smoothed_tfidf(tokens, names.row_id, "tokens", postings=counts)
-    vectors = text_vectors(postings, word_vectors, names.row_id, size, documents=tokens)
-    kept = non_empty(postings, names.row_id).select(names.row_id)
+    vectors = tfidf_vectors(tokens, names.row_id, "tokens", word_vectors, size).where(F.col("l1") > 0).drop("l1")
     featured = stage(
-        sampled.join(tokens, names.row_id)
-        .join(profile, names.row_id)
-        .join(vectors, names.row_id)
-        .join(kept, names.row_id, "left_semi"),
-        "featured",
+        sampled.join(tokens, names.row_id).join(profile, names.row_id).join(vectors, names.row_id), "featured"
     )
-    target = normalise_in_group(featured, names.group, names.measure, out=f"sum_{names.measure}")
+    target = normalise_in_group(featured, names.group, names.measure, out=f"sum_{names.measure}", spread=[names.row_id])
     return target.withColumn("label", flag_int(names.flag))
