@@ -41,6 +41,21 @@ def test_svd_of_low_rank_has_no_more_directions(spark):
     assert {len(r["vector"]) for r in u.collect()} == {1} and v.count() == 3
 
 
+def test_few_columns_give_the_same_without_shuffled_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    a = np.where(rng.random((50, 20)) < 0.4, rng.random((50, 20)), 0)
+    rows = matrix_rows(spark, a)
+    u, s, v = subspace.truncated_svd(rows, "r", "c", 3, max_held=0)
+    wanted = [{x[0]: x[1] for x in f.collect()} for f in (u, v)]
+    # A round that shuffles the rows goes through ``times``.
+    monkeypatch.setattr(subspace, "times", None)
+    u, found, v = subspace.truncated_svd(rows, "r", "c", 3)
+    assert np.allclose(found, s, rtol=1e-9)
+    for want, f in zip(wanted, (u, v)):
+        got = {x[0]: x[1] for x in f.collect()}
+        assert set(got) == set(want) and all(np.allclose(got[x], want[x], atol=1e-7) for x in want)
+
+
 def test_all_terms_are_factors_without_a_limit(spark):
     docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b", "c"]), (3, ["c", "d", "a"]), (4, [])], "id long, tokens array<string>")
     found = subspace.factorise_postings(docs, "id", "tokens", num_terms=None, k=2)
@@ -224,6 +239,16 @@ def test_cooccurrences_by_hand(spark):
     assert got == {("a", "b"): 2, ("b", "a"): 2, ("a", "a"): 2, ("b", "c"): 1, ("c", "b"): 1, ("a", "c"): 1, ("c", "a"): 1}
 
 
+def test_cooccurrences_are_shuffled_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(cooccurrence, "stage", lambda df, name: plans.append(plan(df)) or stage(df, name))
+    df = spark.createDataFrame([(["a", "b", "a", None],)], "t array<string>")
+    out = cooccurrence.cooccurrences(df, "t")
+    assert "".join([*plans, plan(out)]).count("Exchange hashpartitioning") == 1
+    wanted = {("a", "b"): 2, ("b", "a"): 2, ("a", "a"): 2, ("a", None): 2, (None, "a"): 2, ("b", None): 1, (None, "b"): 1}
+    assert [(r["word"], r["context"], r["n"]) for r in out.collect() if wanted.pop((r["word"], r["context"])) != r["n"]] == [] and not wanted
+
+
 def test_planted_synonyms_are_near(spark):
     rng = np.random.default_rng(9)
     rows = []

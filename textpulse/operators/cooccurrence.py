@@ -6,7 +6,7 @@ Nothing that grows with the vocabulary comes to the driver: counts and weights a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textpulse.functions.vectors import multiply
@@ -17,22 +17,32 @@ from textpulse.session import stage
 WINDOW = 3
 
 
+def _in_order(a: Column, b: Column) -> Column:
+    """The two words, the lesser one first; null is less than any word."""
+    def pair(x, y):
+        return F.struct(x.alias("a"), y.alias("b"))
+
+    return F.when(F.coalesce(a <= b, a.isNull()), pair(a, b)).otherwise(pair(b, a))
+
+
 def cooccurrences(df: DataFrame, tokens: str, window: int = WINDOW) -> DataFrame:
     """``(word, context, n)``: how often two tokens stand at most ``window`` places apart, both ways round.
 
-    Pairs are made within the row, one way round, and summed before the shuffle; a row of n tokens makes n times the
-    window of them.
+    Pairs are made within the row, in the order of their words, and summed before the only shuffle; a row of n tokens
+    makes n times the window of them. Counts are the same both ways round, so one way is stored and the other told from it.
     """
     t = F.col(tokens)
     size = F.size(t)
     # A list that is too short for a distance has no pair at it.
     pairs = [
-        F.zip_with(F.slice(t, F.lit(1), F.greatest(size - d, F.lit(0))), F.slice(t, F.lit(d + 1), F.greatest(size - d, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        F.zip_with(F.slice(t, F.lit(1), F.greatest(size - d, F.lit(0))), F.slice(t, F.lit(d + 1), F.greatest(size - d, F.lit(0))), _in_order)
         for d in range(1, window + 1)
     ]
-    rows = df.select(F.inline(F.concat(*pairs))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    sides = F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("context")), F.struct(F.col("b").alias("word"), F.col("a").alias("context")))
-    return rows.select("n", F.inline(sides)).groupBy("word", "context").agg(F.sum("n").alias("n"))
+    rows = stage(df.select(F.inline(F.concat(*pairs))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "pairs")
+    twice = F.col("a").eqNullSafe(F.col("b"))
+    one = F.struct(F.col("a").alias("word"), F.col("b").alias("context"), F.when(twice, 2 * F.col("n")).otherwise(F.col("n")).alias("n"))
+    other = F.struct(F.col("b").alias("word"), F.col("a").alias("context"), "n")
+    return rows.select(F.inline(F.when(twice, F.array(one)).otherwise(F.array(one, other))))
 
 
 def shifted_pmi(counts: DataFrame, shift: float = 1.0, least: int = 1) -> DataFrame:
