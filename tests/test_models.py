@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textpulse.operators import cooccurrence, embeddings, factors, learning, numbering, sentiment, sketches, subspace, trees
+from textpulse.operators import cooccurrence, embeddings, factors, learning, numbering, sentiment, sketches, skipgram, subspace, trees
 from textpulse.session import local_rows, stage
 
 
@@ -271,3 +271,42 @@ def test_too_many_words_for_the_driver(spark):
     df = spark.createDataFrame([(["a", "b", "c"] * 5,)], "t array<string>")
     with pytest.raises(ValueError, match="3 words are more than the 2"):
         embeddings.train_word_vectors(df, "t", size=4, max_words=2)
+
+
+def test_word_vectors_by_blocks(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(3000):
+        topic = k % 3
+        words = [f"t{topic}w{rng.integers(0, 6)}" for _ in range(12)]
+        words[6] = rng.choice([["big", "large"], ["red", "crimson"], ["quick", "fast"]][topic])
+        rows.append(([str(w) for w in words],))
+    rows += [(["rare", "rare", "t0w1"],), ([],), (None,)]
+    df = spark.createDataFrame(rows, "t array<string>")
+    one, three = (skipgram.train_by_blocks(df, "t", size=16, blocks=n) for n in (1, 3))
+    kept = {"big", "large", "red", "crimson", "quick", "fast", *(f"t{a}w{b}" for a in range(3) for b in range(6))}
+    for table in (one, three):
+        got = {r["word"]: np.array(r["vector"]) for r in table.collect()}
+        assert got.keys() == kept and all(len(v) == 16 and np.isfinite(v).all() for v in got.values())
+        unit = {w: v / np.linalg.norm(v) for w, v in got.items()}
+        for a, b in (("big", "large"), ("red", "crimson"), ("quick", "fast")):
+            assert unit[a] @ unit[b] > 0.8
+            assert all(unit[a] @ unit[b] > unit[a] @ unit[o] + 0.3 for o in ("big", "red", "quick") if o != a)
+    again = skipgram.train_by_blocks(df, "t", size=16, blocks=3)
+    assert sorted(again.collect()) == sorted(three.collect())
+
+
+def test_word_vectors_of_no_words(spark):
+    assert skipgram.train_by_blocks(spark.createDataFrame([(["a", "b"],)], "t array<string>"), "t", size=4).collect() == []
+
+
+def test_word_vectors_stay_off_the_driver(spark, small, monkeypatch):
+    from catalog import models
+
+    def whole(*_, **__):
+        raise AssertionError("a model of all words on the driver")
+
+    monkeypatch.setattr(embeddings, "train_word_vectors", whole)
+    out = models.word_vectors_trained(spark, small).collect()
+    assert len(out) > 0
+    assert {(r["dims"], r["finite"]) for r in out} == {(embeddings.VECTOR_SIZE, True)}

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textpulse.session import scratch_path
+from textpulse.session import importable, scratch_path
 
 #: A key is hot from this part of all rows on; so there are never more hot keys than this number.
 HOT_PARTS = 1000
@@ -18,14 +17,6 @@ SALTS = 64
 MARK = "__tp_"
 
 
-def importable(spark: SparkSession) -> None:
-    """Lets workers on this machine import the package from where the driver has it, whatever their folder is.
-    A cluster gets it by its own means (--py-files, an image); there the path is one more that does not exist."""
-    root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in known.get("PYTHONPATH", "").split(":"):
-        known["PYTHONPATH"] = ":".join(filter(None, [known.get("PYTHONPATH"), root]))
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     importable(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
