@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textpulse.operators import cooccurrence, embeddings, factors, learning, numbering, sentiment, sketches, skipgram, subspace, trees
+from textpulse.operators import cooccurrence, embeddings, factors, learning, numbering, sentiment, sketches, skipgram, sparse, subspace, terms, trees
 from textpulse.session import local_rows, stage
 
 
@@ -310,3 +310,30 @@ def test_word_vectors_stay_off_the_driver(spark, small, monkeypatch):
     out = models.word_vectors_trained(spark, small).collect()
     assert len(out) == models.word_model_saved(spark, small).first()["n_words"] > 0
     assert {(r["dims"], r["finite"]) for r in out} == {(embeddings.VECTOR_SIZE, True)}
+
+
+def test_sparse_vectors_are_those_of_the_vectoriser(spark):
+    rows = [(0, ["a", "b", "a"]), (1, ["b"]), (2, []), (3, ["b", "c", None, "a"]), (4, None), (5, [None]), (6, ["d", "b", "d"])]
+    df = stage(spark.createDataFrame(rows, "id long, tokens array<string>"), "test-lists")
+    got = {r["id"]: r for r in sparse.sparse_tfidf(df, ["id"]).collect()}
+    assert got.keys() == {r[0] for r in rows}
+    full = df.select("id", F.coalesce(F.filter("tokens", lambda t: t.isNotNull()), F.array().cast("array<string>")).alias("tokens"))
+    model = terms.fit_tfidf(full, 10)
+    order = {"b": 0, "a": 1, "c": 2, "d": 3}  # by documents, then by term
+    places = [order[w] for w in model.stages[0].vocabulary]
+    for r in model.transform(full).collect():
+        mine = got[r["id"]]
+        for name, vector in (("counts", r["token_count"]), ("tfidf", r["tfidf"])):
+            want = {places[i]: v for i, v in zip(vector.indices, vector.values)}
+            assert mine["indices"] == sorted(want)
+            assert mine[name] == pytest.approx([want[i] for i in mine["indices"]])
+
+
+def test_count_vectors_need_no_vocabulary_on_the_driver(spark, small, monkeypatch):
+    from catalog import models
+
+    def whole(*_, **__):
+        raise AssertionError("a vocabulary on the driver")
+
+    monkeypatch.setattr(terms, "fit_tfidf", whole)
+    assert models.count_vector_tfidf(spark, small).count() == spark.read.parquet(f"{small}/documents.parquet").count()
