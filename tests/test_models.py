@@ -1,13 +1,15 @@
 """Models as tables: factors, clusters, trees, polarities, sketches, numbers, against NumPy and brute force."""
 
 import math
+import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from textpulse.operators import cooccurrence, embeddings, factors, learning, numbering, sentiment, sketches, skipgram, sparse, subspace, terms, trees
-from textpulse.session import local_rows, stage
+from textpulse.session import FREE_SHUFFLES, discard, local_rows, scratch_path, stage
 
 
 def plan(df) -> str:
@@ -300,6 +302,46 @@ def test_word_vectors_of_no_words(spark):
     assert skipgram.train_by_blocks(spark.createDataFrame([(["a", "b"],)], "t array<string>"), "t", size=4).collect() == []
 
 
+def test_word_vectors_are_trained_in_waves(spark):
+    """Waves hold the vectors of their blocks only: nothing that was shuffled and no table but the result is left."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [f"w{x}" for x in rng.integers(0, 60, rng.integers(0, 30))]) for i in range(400)]
+    df = stage(spark.createDataFrame([*rows, (400, None), (401, ["once"])], "i int, t array<string>").repartition(4), "test-texts")
+    folder = scratch_path(spark, "x").rsplit("/", 1)[0].removeprefix("file:")
+    before = set(os.listdir(folder))
+    got = skipgram.train_by_blocks(df, "t", size=8, blocks=6, waves=3)
+    assert len(set(os.listdir(folder)) - before) == 1
+    vectors = {r["word"]: r["vector"] for r in got.collect()}
+    assert vectors.keys() == {f"w{i}" for i in range(60)} and all(len(v) == 8 and np.isfinite(v).all() for v in vectors.values())
+    assert sorted(got.collect()) == sorted(skipgram.train_by_blocks(df, "t", size=8, blocks=6, waves=3).collect())
+    assert skipgram._ends([(0, 10, 100), (3, 10, 300)], 2) == [0, (3 << 33) + 3, 1 << 62]
+
+
+def test_merged_means_are_those_of_all_blocks():
+    def batch(block, ids, n, seed):
+        vectors = np.random.default_rng(seed).random((len(ids), 3), np.float32)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block, np.int32)), pa.array(ids), pa.array(n), skipgram._vectors(vectors)], ["block", "id", "n", "vector"])
+
+    a, b, c = batch(0, [1, 2], [4, 1], 1), batch(1, [2, 3], [2, 7], 2), batch(2, [1, 2], [1, 5], 3)
+    once = pa.Table.from_batches(skipgram._means([a, b, c], 3)).to_pydict()
+    twice = pa.Table.from_batches(skipgram._means([c, *skipgram._means([a, b], 3)], 3)).to_pydict()
+    assert once["id"] == twice["id"] == [1, 2, 3] and once["n"] == twice["n"] == [5, 8, 7]
+    assert np.allclose(once["vector"], twice["vector"], atol=1e-6)
+
+
+def test_staged_tables_leave_no_shuffle(spark):
+    def kept():
+        store = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+        blocks = store.getAllBlocks()
+        return sum(str(blocks.apply(i)).startswith("shuffle_") for i in range(blocks.size()))
+
+    before = kept()
+    out = stage(spark.range(1000).repartition(5, "id"), "test-rows")
+    assert kept() <= before and out.count() == 1000
+    discard(out)
+    assert out.sparkSession.conf.get(FREE_SHUFFLES, None) is None
+
+
 def test_word_vectors_stay_off_the_driver(spark, small, monkeypatch):
     from catalog import models
 

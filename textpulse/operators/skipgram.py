@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textpulse.operators.unnest import unnest
-from textpulse.session import importable, stage
+from textpulse.session import discard, importable, stage
 
 WINDOW = 5
 NEGATIVES = 5
@@ -30,49 +30,84 @@ LEAST_TOKENS = 200_000
 PLACES, DRAWN, GROUPS, STEPS = 32, 16, 32, 2000
 RATE = 0.05
 OUT_ROWS = 8192
+#: Bits of a row number that number the rows of one part of a scan.
+PART_BITS = 33
+_VECTORS = "block int, id long, n long, vector array<float>"
 
 
 def block_number(spark, tokens: int) -> int:
-    """One block per task slot, more when blocks would have over ``BLOCK_TOKENS``, fewer when they would be tiny."""
-    slots = min(spark.sparkContext.defaultParallelism, tokens // LEAST_TOKENS)
-    return max(1, slots, -(-tokens // BLOCK_TOKENS))
+    """One block per task slot, whole rounds of slots when blocks would have over ``BLOCK_TOKENS``, fewer when they would be tiny."""
+    slots = spark.sparkContext.defaultParallelism
+    most = -(-tokens // BLOCK_TOKENS)
+    return max(1, min(slots, tokens // LEAST_TOKENS)) if most <= slots else -(-most // slots) * slots
 
 
 def train_by_blocks(
-    corpus: DataFrame, tokens: str = "tokens", size: int = 200, min_count: int = 5, seed: int = 1, blocks: int | None = None
+    corpus: DataFrame, tokens: str = "tokens", size: int = 200, min_count: int = 5, seed: int = 1, blocks: int | None = None,
+    waves: int | None = None,
 ) -> DataFrame:
     """``(word, vector array<float>)`` of every word with at least ``min_count`` occurrences, stored.
 
     Each text is trained on whole, without its rarer words. What is shuffled are the tokens' hashes, once, and a vector
-    per block and word of it.
+    per block and word of it. Blocks are trained in ``waves`` of one per task slot: the means of a wave and of those before are
+    stored and its vectors deleted, so that disk holds those of one wave and not those of all blocks. ``corpus`` is read once.
     """
     spark = corpus.sparkSession
     importable(spark)
     # The number of a row is settled by storing it; copies of a text go to several blocks.
     texts = stage(corpus.select(F.monotonically_increasing_id().alias("at"), F.col(tokens).alias("tokens")), "texts")
-    if blocks is None:
-        blocks = block_number(spark, texts.agg(F.sum(F.greatest(F.size("tokens"), F.lit(0)))).first()[0] or 0)
-    block = F.pmod("at", F.lit(blocks)).cast("int").alias("block")
+    of_part = texts.groupBy(F.shiftright("at", PART_BITS).alias("part")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.greatest(F.size("tokens"), F.lit(0))).alias("n"))
+    read = [tuple(r) for r in of_part.orderBy("part").collect()]  # a row per part of the scan
+    blocks = blocks or block_number(spark, sum(n for _, _, n in read))
+    waves = waves or -(-blocks // spark.sparkContext.defaultParallelism)
+    per = -(-blocks // waves)
+    ends = _ends(read, waves)
+    wave = sum((F.col("at") >= e).cast("int") for e in ends[1:-1]) if waves > 1 else F.lit(0)
+    block = (wave * per + F.pmod("at", F.lit(per))).cast("int").alias("block")
     cells = stage(unnest(texts, [block], F.col("tokens"), "word").groupBy("block", "word").agg(F.count(F.lit(1)).alias("n")), "cells")
     kept = stage(cells.groupBy("word").agg(F.sum("n").alias("total")).where(F.col("total") >= min_count), "words")
-    none = F.lit(None).cast("long")
-    needed = cells.join(kept, "word").select("block", none.alias("at"), F.array(F.xxhash64("word")).alias("ids"), "total")
-    hashed = texts.select(block, "at", F.transform("tokens", lambda t: F.xxhash64(t)).alias("ids"), none.alias("total"))
-    dealt = hashed.unionByName(needed).repartitionById(blocks, "block")
-    parts = 4 * blocks
+    none, no_word = F.lit(None).cast("long"), F.lit(None).cast("string").alias("word")
+    names = kept.select(F.lit(-1).alias("block"), F.xxhash64("word").alias("id"), F.lit(0).cast("long").alias("n"), F.array().cast("array<float>").alias("vector"), "word")
+    part = F.pmod("id", F.lit(4 * per)).cast("int")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_block(batches):
             yield from _trained(rows, size, seed)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _means(batches, size, seed)
+        return _means(batches, size)
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _means(batches, size, named=True)
+
+    means = None
+    for w, (start, end) in enumerate(zip(ends, ends[1:])):
+        # A range of row numbers, which parts that hold none of them are skipped by.
+        mine = texts.where((F.col("at") >= start) & (F.col("at") < end))
+        needed = cells.where(F.col("block").between(w * per, w * per + per - 1)).join(kept, "word")
+        hashed = mine.select(block, "at", F.transform("tokens", lambda t: F.xxhash64(t)).alias("ids"), none.alias("total"))
+        dealt = hashed.unionByName(needed.select("block", none.alias("at"), F.array(F.xxhash64("word")).alias("ids"), "total"))
+        met = dealt.repartitionById(per, F.col("block") - w * per).mapInArrow(train, _VECTORS)
+        met = met if means is None else met.unionByName(means)
+        if w < waves - 1:
+            before, means = means, stage(met.repartitionById(4 * per, part).mapInArrow(merge, _VECTORS), "means")
+            if before is not None:
+                discard(before)
+    met = met.withColumn("word", no_word).unionByName(names).repartitionById(4 * per, part)
+    out = stage(met.mapInArrow(name, "word string, vector array<float>"), "vectors")
+    for done in [texts, cells, kept, *[means] * (means is not None)]:
+        discard(done)
+    return out
 
-    trained = dealt.mapInArrow(train, "block int, id long, n long, vector array<float>").withColumn("word", F.lit(None).cast("string"))
-    names = kept.select(F.lit(-1).alias("block"), F.xxhash64("word").alias("id"), F.lit(0).cast("long").alias("n"), F.array().cast("array<float>").alias("vector"), "word")
-    part = F.pmod("id", F.lit(parts)).cast("int")
-    met = trained.unionByName(names).withColumn("part", part).repartitionById(parts, "part").drop("part")
-    return stage(met.mapInArrow(merge, "word string, vector array<float>"), "vectors")
+
+def _ends(parts: list[tuple[int, int, int]], waves: int) -> list[int]:
+    """Row numbers that deal the tokens of parts ``(part, rows, tokens)`` in ``waves`` about equal ranges, from 0 to above all."""
+    total, so_far, inner = sum(n for _, _, n in parts), 0, []
+    for part, rows, n in parts:
+        while len(inner) < waves - 1 and n and so_far + n >= (goal := total * (len(inner) + 1) / waves):
+            inner.append((part << PART_BITS) + int(rows * (goal - so_far) / n))
+        so_far += n
+    return [0, *inner, *[1 << 62] * (waves - len(inner))]
 
 
 # --- within a task --------------------------------------------------------------------------------
@@ -177,22 +212,33 @@ def _move(vectors: np.ndarray, moved: np.ndarray, ids: np.ndarray, by: np.ndarra
     vectors[which] += sums * (RATE / np.sqrt(moved[which] + 1e-12))[:, None]
 
 
-def _means(batches: Iterator[pa.RecordBatch], size: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """``(word, vector)``: the mean of a word's vectors over its blocks, by its occurrences."""
+def _means(batches: Iterator[pa.RecordBatch], size: int, named: bool = False) -> Iterator[pa.RecordBatch]:
+    """``(block, id, n, vector)``: the mean of a word's vectors over its blocks, by its occurrences, and their sum; the
+    block is -1, as means are merged with those of later blocks. Or ``(word, vector)`` of the words that have a name here."""
     rows = list(batches)
     if not rows:
         return
     table = pa.Table.from_batches(rows)
-    is_name = pc.is_valid(table["word"])
-    names, found = table.filter(is_name).sort_by("word"), table.filter(pc.invert(is_name))
-    if not names.num_rows:
+    if named:
+        is_name = pc.is_valid(table["word"])
+        names, table = table.filter(is_name).sort_by("word"), table.filter(pc.invert(is_name))
+        if not names.num_rows:
+            return
+    elif not table.num_rows:
         return
-    vectors = pc.list_flatten(found["vector"]).to_numpy().reshape(-1, size)
-    ids, n = found["id"].to_numpy(), found["n"].to_numpy()
-    order = np.lexsort((found["block"].to_numpy(), ids))
+    vectors = pc.list_flatten(table["vector"]).to_numpy().reshape(-1, size)
+    ids, n = table["id"].to_numpy(), table["n"].to_numpy()
+    order = np.lexsort((table["block"].to_numpy(), ids))
     known, first = np.unique(ids[order], return_index=True)
-    share = (n / np.add.reduceat(n[order], first)[np.searchsorted(known, ids)]).astype(np.float32)
+    sums = np.add.reduceat(n[order], first)
+    share = (n / sums[np.searchsorted(known, ids)]).astype(np.float32)
     means = np.add.reduceat(vectors[order] * share[order][:, None], first, axis=0)
+    if not named:
+        for i in range(0, len(known), OUT_ROWS):
+            s = slice(i, i + OUT_ROWS)
+            columns = [pa.array(np.full(len(known[s]), -1, np.int32)), pa.array(known[s]), pa.array(sums[s]), _vectors(means[s])]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "id", "n", "vector"])
+        return
     at = np.searchsorted(known, names["id"].to_numpy())
     words = names["word"].combine_chunks()
     for i in range(0, len(at), OUT_ROWS):
