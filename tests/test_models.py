@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textpulse.operators import cooccurrence, embeddings, factors, learning, numbering, sentiment, sketches, skipgram, sparse, subspace, terms, trees
+from textpulse.operators import cooccurrence, embeddings, factors, learning, numbering, paircells, sentiment, sketches, skipgram, sparse, subspace, terms, trees
 from textpulse.session import FREE_SHUFFLES, discard, local_rows, scratch_path, stage
 
 
@@ -269,6 +269,56 @@ def test_planted_synonyms_are_near(spark):
         assert similar[b] > 0.9 and all(similar.get(o, -1) < 0.5 for o in ("big", "red", "quick") if o != a)
 
 
+def test_pairs_in_cells_are_those_of_the_rows(spark, monkeypatch):
+    """Counts, weights and vectors against brute force, with chunks within a text, several cells, null words and pairs of a word with itself."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(30)] + ["ä", "\U0001d54f", None]
+    lists = [[words[i] for i in (rng.random(rng.integers(0, 40)) ** 2 * len(words)).astype(int)] for _ in range(60)] + [None, [], ["w1", "w1"]]
+    counts = {}
+    for t in lists:
+        for i, x in enumerate(t or []):
+            for y in (t[j] for j in range(max(i - 3, 0), min(i + 4, len(t))) if j != i):
+                counts[x, y] = counts.get((x, y), 0) + 1
+    df = stage(spark.createDataFrame([(t,) for t in lists], "t array<string>").repartition(3), "test-lists")
+    monkeypatch.setattr(paircells, "groups_for", lambda pairs, slots: 4)
+    monkeypatch.setattr(paircells, "CHUNK", 7)
+    pairs = cooccurrence.cooccurrences(df, "t")
+    got = pairs.collect()
+    assert {(r["word"], r["context"]): r["n"] for r in got} == counts and len(got) == len(counts)
+    totals = {w: sum(n for (x, _), n in counts.items() if x == w) for w in words if w is not None}
+    least = sorted(totals.values())[10]
+    kept = {w for w, n in totals.items() if n >= least}
+    met = {p: n for p, n in counts.items() if set(p) <= kept}
+    all_n = sum(met.values())
+    wanted = {p: math.log(n * all_n / (totals[p[0]] * totals[p[1]])) for p, n in met.items()}
+    wanted = {p: x for p, x in wanted.items() if round(x, 12) > 0}
+    assert 3 < len(kept) < len(totals) and len(wanted) < len(met)
+    by_cells = cooccurrence.shifted_pmi(pairs, least=least)
+    by_rows = cooccurrence.shifted_pmi(pairs.select("word", "context", "n"), least=least)
+    for weights in (by_cells, by_rows):
+        found = {(r["word"], r["context"]): r["weight"] for r in weights.collect()}
+        assert found.keys() == wanted.keys() and all(abs(found[p] - x) < 1e-9 for p, x in wanted.items())
+    results = [cooccurrence.pmi_vectors(w, 3, max_held=m) for w, m in ((by_cells, 0), (by_rows, 0), (by_cells, 100))]
+    tables = [{r["word"]: np.array(r["vector"]) for r in v.collect()} for v, _ in results]
+    for (_, s), table in zip(results[1:], tables[1:]):
+        assert np.allclose(s, results[0][1]) and table.keys() == tables[0].keys() == {w for w, _ in wanted}
+        assert all(np.allclose(table[w], tables[0][w], atol=1e-6) for w in table)
+
+
+def test_cells_bound_what_a_task_holds():
+    assert paircells.groups_for(0, 8) == 2
+    for pairs, slots in ((10**6, 8), (6 * 10**8, 12), (4 * 10**9, 12)):
+        cells = (g := paircells.groups_for(pairs, slots)) * (g + 1) // 2
+        assert pairs / cells <= paircells.CELL_PAIRS and sorted(paircells.place(i, j, g) for i in range(g) for j in range(i, g)) == list(range(cells))
+
+
+def test_pairs_go_to_the_next_step_in_cells(spark):
+    """No table of pairs, weights or vectors by word pair is shuffled once the pairs are counted: only cells and rows by word."""
+    df = stage(spark.createDataFrame([(["a", "b", "c", "a"] * 5,)], "t array<string>"), "test-lists")
+    weights = cooccurrence.shifted_pmi(cooccurrence.cooccurrences(df, "t"), least=1)
+    assert "Exchange" not in plan(weights) and "Join" not in plan(weights)
+
+
 def test_too_many_words_for_the_driver(spark):
     df = spark.createDataFrame([(["a", "b", "c"] * 5,)], "t array<string>")
     with pytest.raises(ValueError, match="3 words are more than the 2"):

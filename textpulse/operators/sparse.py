@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textpulse.functions.tokens import term_runs
@@ -20,15 +20,18 @@ def term_indices(cells: DataFrame) -> DataFrame:
     return row_numbers(table.withColumn("__rare", -F.col("df")), ["__rare", "term"], "index").drop("__rare")
 
 
-def _in_even_blocks(df: DataFrame, key: str) -> DataFrame:
-    """``df`` dealt in blocks of whole rows, one per part of a shuffle; ``in_blocks`` leaves some parts with several
-    blocks and others with none. A block's number is the first whose hash leads to its part."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def part_numbers(spark: SparkSession, parts: int) -> list[int]:
+    """A number for each of so many parts of a shuffle, the first whose hash leads to it. A part that no number leads to, if any, has none."""
     number = F.col("id").cast("int")
     tried = spark.range(parts * 32).groupBy(F.pmod(F.hash(number), F.lit(parts)).alias("part")).agg(F.min(number).alias("n"))
-    numbers = sorted(r["n"] for r in tried.collect())  # one per part
-    # By place in the list: a part that no number leads to, if any, goes without rows.
+    return sorted(r["n"] for r in tried.collect())
+
+
+def _in_even_blocks(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt in blocks of whole rows, one per part of a shuffle."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbers = part_numbers(df.sparkSession, parts)
+    # By place in the list: a part that no number leads to goes without rows.
     place = F.pmod(F.xxhash64(key), F.lit(len(numbers))).cast("int")
     return df.withColumn(BLOCK, F.get(F.lit(numbers), place)).repartition(parts, BLOCK)
 

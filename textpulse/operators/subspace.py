@@ -9,6 +9,9 @@ same factors under any partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,7 +23,7 @@ from textpulse.operators.joins import lookup_join
 from textpulse.operators.lsa import CONCEPTS, Factors
 from textpulse.operators.sampling import draw
 from textpulse.operators.terms import NUM_TERMS, document_frequencies, plain_idf, term_counts, term_table
-from textpulse.session import local_rows, stage
+from textpulse.session import discard, local_rows, stage
 
 #: Rounds of multiplication, vectors carried besides those asked for, and steps of the small eigenproblem.
 ROUNDS, OVERSAMPLE, STEPS = 5, 4, 200
@@ -108,17 +111,29 @@ def truncated_svd(
     width = min(k + oversample, n_columns)
     if n_columns <= max_held:
         return _svd_of_few_columns(postings, counts, row, column, k, width, rounds, seed)
-    block = stage(start_block(counts, column, width, seed), "block")
-    block = block.withColumn("vector", combine("vector", orthonormal_weights(gram(block, width))))
+    forth, back = partial(times, postings, on=column, to=row, width=width, counts=counts), partial(times, postings, on=row, to=column, width=width)
+    return iterated_svd(counts.select(column), forth, back, column, k, width, rounds, seed)
+
+
+def iterated_svd(
+    columns: DataFrame, forth: Callable[[DataFrame], DataFrame], back: Callable[[DataFrame], DataFrame], column: str,
+    k: int, width: int, rounds: int, seed: int,
+) -> tuple[DataFrame, list[float], DataFrame]:
+    """The iteration over a stored table of the columns, with the products of a factor with the matrix and with its transpose."""
+    held = stage(start_block(columns, column, width, seed), "block")
+    block = held.withColumn("vector", combine("vector", orthonormal_weights(gram(held, width))))
     for _ in range(rounds):
-        rows = times(postings, block, column, row, width, counts)
-        block = stage(times(postings, rows, row, column, width), "block")
-        block = block.withColumn("vector", combine("vector", orthonormal_weights(gram(block, width))))
-    rows = stage(times(postings, block, column, row, width, counts), "rows")
+        rows = stage(forth(block), "rows")
+        discard(held)
+        held = stage(back(rows), "block")
+        discard(rows)
+        block = held.withColumn("vector", combine("vector", orthonormal_weights(gram(held, width))))
+    rows = stage(forth(block), "rows")
     values, turn = small_eigen(gram(rows, width))
     kept = [j for j in range(min(k, width)) if values[j] > 1e-12 * max(values[0], 1e-300)]
     s = np.sqrt(values[kept])
     turned = stage(block.withColumn("vector", combine("vector", turn[:, kept])), "columns")
+    discard(held)
     largest = [F.expr(f"max_by(vector[{i}], struct(abs(vector[{i}]), `{column}`))") for i in range(len(kept))]
     signs = np.array([1.0 if x >= 0 else -1.0 for x in turned.agg(*largest).first()]) if kept else np.zeros(0)
     flipped = turned.withColumn("vector", combine("vector", np.diag(signs)))
