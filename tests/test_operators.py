@@ -277,6 +277,30 @@ def test_text_vectors_by_hand(spark):
     assert got == {1: [0.25, 0.75], 2: [0.0, 0.0], 3: [0.0, 0.0]}
 
 
+def test_text_vectors_in_waves(spark):
+    """The same vectors from waves as at once, with null and repeated ids, null tokens, empty lists and words without a vector."""
+    rows = [(i % 37, [f"w{j % 11}" for j in range(i % 7)] + ([None] if i % 5 == 0 else [])) for i in range(60)]
+    rows += [(None, ["w1", "w2"]), (100, None), (101, []), (102, ["none"]), (103, ["w1"] * 3)]
+    df = stage(spark.createDataFrame(rows, "id long, tokens array<string>"), "test-tokens")
+    known = stage(local_rows(spark, [(f"w{j}", [j / 3, -1.0, 2.0]) for j in range(9)], "word string, vector array<double>"), "test-words")
+    idf = {t: math.log((len(rows) + 1) / (1 + sum(t in (r[1] or []) for r in rows))) for r in rows for t in r[1] or [] if t}
+    once, more = ([r for r in embeddings.tfidf_vectors(df, "id", "tokens", known, 3, waves=n).collect()] for n in (1, 3))
+    assert len(once) == len(more) == len(rows)
+    for table in (once, more):
+        for r in table:
+            mine = [t for i, ts in rows if i == r["id"] and i is not None for t in ts or [] if t]
+            named = [t for t in mine if t != "none" and int(t[1:]) < 9]
+            total = sum(idf[t] for t in named)
+            want = [sum(idf[t] * v[k] for t in named for v in [(int(t[1:]) / 3, -1.0, 2.0)]) / total for k in range(3)] if total else [0.0] * 3
+            assert np.allclose(r["vector"], want) and math.isclose(r["l1"], sum(idf[t] for t in mine), abs_tol=1e-12)
+
+
+def test_each_block_has_a_part_of_its_own(spark):
+    df = embeddings.in_blocks(spark.range(2000), "id", 12)
+    assert df.select(embeddings.BLOCK, F.spark_partition_id().alias("p")).distinct().count() == 12
+    assert df.select(F.spark_partition_id()).distinct().count() == 12
+
+
 def test_sums_of_vectors_stay_in_their_block(spark, monkeypatch):
     rng = np.random.default_rng(4)
     lists = [(i, [f"w{x}" for x in rng.zipf(1.5, rng.integers(0, 40)) if x < 60]) for i in range(200)] + [(None, ["w1"]), (7, ["w2", "w2"])]

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from textpulse.functions.vectors import multiply
 from textpulse.operators import paircells
+from textpulse.operators.embeddings import part_numbers
 from textpulse.operators.joins import lookup_join
 from textpulse.operators.paircells import PACKED, Cells, Weights
-from textpulse.operators.sparse import part_numbers
 from textpulse.operators.subspace import MAX_HELD, OVERSAMPLE, ROUNDS, iterated_svd, truncated_svd
 from textpulse.session import discard, importable, stage
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textpulse.functions.tokens import term_runs
-from textpulse.operators.embeddings import ALL_KEYS, BLOCK
+from textpulse.operators.embeddings import ALL_KEYS, BLOCK, in_blocks
 from textpulse.operators.numbering import row_numbers
 from textpulse.operators.terms import n_docs, smoothed_idf
 from textpulse.operators.unnest import unnest, unnest_structs
@@ -20,22 +20,6 @@ def term_indices(cells: DataFrame) -> DataFrame:
     return row_numbers(table.withColumn("__rare", -F.col("df")), ["__rare", "term"], "index").drop("__rare")
 
 
-def part_numbers(spark: SparkSession, parts: int) -> list[int]:
-    """A number for each of so many parts of a shuffle, the first whose hash leads to it. A part that no number leads to, if any, has none."""
-    number = F.col("id").cast("int")
-    tried = spark.range(parts * 32).groupBy(F.pmod(F.hash(number), F.lit(parts)).alias("part")).agg(F.min(number).alias("n"))
-    return sorted(r["n"] for r in tried.collect())
-
-
-def _in_even_blocks(df: DataFrame, key: str) -> DataFrame:
-    """``df`` dealt in blocks of whole rows, one per part of a shuffle."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    numbers = part_numbers(df.sparkSession, parts)
-    # By place in the list: a part that no number leads to goes without rows.
-    place = F.pmod(F.xxhash64(key), F.lit(len(numbers))).cast("int")
-    return df.withColumn(BLOCK, F.get(F.lit(numbers), place)).repartition(parts, BLOCK)
-
-
 def sparse_tfidf(df: DataFrame, keys: list[str], tokens: str = "tokens") -> DataFrame:
     """``keys`` and the row's vectors, stored: ``indices`` in ascending order, with the ``counts`` and the smoothed ``tfidf``
     of those terms. ``keys`` name a row, the first of them alone; ``df`` is best a stored table.
@@ -44,7 +28,7 @@ def sparse_tfidf(df: DataFrame, keys: list[str], tokens: str = "tokens") -> Data
     dealt in blocks, as by ``embeddings.tfidf_vectors``: a block gets the index and weight of its terms once, and
     postings never leave their block.
     """
-    dealt = _in_even_blocks(df.select(*keys, F.sort_array(F.array_compact(tokens)).alias("tokens")), keys[0])
+    dealt = in_blocks(df.select(*keys, F.sort_array(F.array_compact(tokens)).alias("tokens")), keys[0])
     cells = unnest(dealt, [BLOCK], F.array_distinct("tokens"), "term").groupBy(BLOCK, "term").agg(F.count(F.lit(1)).alias("n"))
     table = term_indices(cells).select("index", "term", "blocks", smoothed_idf("df", n_docs(df)).alias("idf"))
     spark = df.sparkSession

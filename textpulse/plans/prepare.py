@@ -13,7 +13,7 @@ from textpulse.operators.engagement import normalise_in_group
 from textpulse.operators.lemmas import text_lemmas
 from textpulse.operators.sampling import sample_by_group
 from textpulse.operators.sentiment import sentiment_profile
-from textpulse.session import stage
+from textpulse.session import discard, stage
 
 
 @dataclass
@@ -52,5 +52,7 @@ def prepare(
     featured = stage(
         sampled.join(tokens, names.row_id).join(profile, names.row_id).join(vectors, names.row_id), "featured"
     )
+    for done in (sampled, vectors):  # with the tokens
+        discard(done)
     target = normalise_in_group(featured, names.group, names.measure, out=f"sum_{names.measure}", spread=[names.row_id])
     return target.withColumn("label", flag_int(names.flag))
